@@ -379,7 +379,7 @@ def words_to_lines(words: DataFrame, keys: tuple[str, ...] = ("doc_id", "page"))
         ),
     )
     rows = pages.select(*keys, F.explode(assigned).alias("z")).select(
-        *keys, F.col("z")["0"].alias("line_no"), F.col("z")["1"]["w"].alias("w")
+        *keys, F.col("z.line").alias("line_no"), F.col("z.word.w").alias("w")
     )
     # the pages are already partitioned by a subset of these keys, so this adds no shuffle
     return rows.groupBy(*keys, "line_no").agg(

@@ -264,6 +264,12 @@ ORACLE = {
                count(*) AS table_rows, max(last) AS table_columns
         FROM (SELECT *, list_max(list_transform(range(1, 6), lambda i: CASE WHEN v[i] <> '' THEN i END)) AS last FROM row_cells)
         WHERE last IS NOT NULL GROUP BY sheet"""),
+    # lines of the grid are 14 apart and words jitter by at most 2, so a grid line is a visual line
+    "words_to_lines": query(f"""
+        SELECT doc_id, page, CAST(ord % {PAGE_WORDS} // 10 AS INTEGER) AS line_no, string_agg(text, ' ' ORDER BY x0, ord) AS text,
+               min(x0) AS x0, min(y0) AS y0, max(x0 + 50) AS x1, max(y0 + 10) AS y1,
+               round(avg(0.5 + (ord % 50) / 100.0), 6) AS confidence
+        FROM words GROUP BY ALL"""),
     "page_columns": query("""
         SELECT doc_id, page, CASE WHEN lowest = 1 THEN 0 ELSE side END AS "column", count(*) AS words, max(x0 + 50) AS right_edge
         FROM (SELECT *, min(side) OVER (PARTITION BY doc_id, page) AS lowest FROM sides) GROUP BY ALL"""),

@@ -137,6 +137,7 @@ def queries(spark: SparkSession, d: str) -> DataFrame:
             F.sequence(F.lit(0), F.lit(19)), lambda i: F.concat(F.lit("src"), (i + n) % 20)
         ).alias("all_kbs"),
         "text",
+        F.when(n % 6 == 5, F.array(F.lit("xx"))).when(n % 3 == 1, F.array(F.lit("en"), F.lit("fr"))).alias("languages"),
     ).withColumn("knowledge_base_ids", F.slice("all_kbs", 1, 15)).drop("all_kbs")
 
 
