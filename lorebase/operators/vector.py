@@ -37,6 +37,11 @@ def _unit(matrix: np.ndarray) -> np.ndarray:
     return matrix / np.where(length == 0, 1.0, length)
 
 
+def _round6(values: np.ndarray) -> np.ndarray:
+    """Half-up at six digits, after removing the noise of the summation order."""
+    return np.floor(np.round(values, 9) * 1e6 + 0.5) / 1e6
+
+
 def _membership(column, vocabulary: pa.Array) -> np.ndarray:
     """Rows x vocabulary 0/1 matrix of a string-array column."""
     array = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
@@ -86,10 +91,10 @@ def _best(queries: pa.Table, vectors: pa.Table, k: int, facets: list[str], addit
             wanted = part.column("q_words").combine_chunks()
             vocabulary = pc.unique(wanted.flatten())
             shared = _membership(wanted, vocabulary) @ _membership(vectors.column("v_words"), vocabulary).T
-            score = np.round(shared.astype(np.float64) + cosine, 6)
+            score = _round6(shared.astype(np.float64) + cosine)
             score = np.where(score > 0, score, -1.0)
         else:
-            score = np.round((1.0 + cosine) / 2.0, 6)
+            score = _round6((1.0 + cosine) / 2.0)
         mask = _passes(part, vectors, facets)
         if mask is not None:
             score = np.where(mask, score, -1.0)

@@ -10,6 +10,7 @@ from lorebase.functions.vectors import hash_embedding, unit
 from lorebase.operators import index, rank, search, vector
 from lorebase.plans.sqlkit import define, query
 from lorebase.sources import derived
+from lorebase.sources.staging import staged
 from lorebase.sources.tables import table
 
 DIMS = 64
@@ -21,14 +22,17 @@ CONTEXT_TOKENS = 256
 
 
 class Corpus:
-    """Chunks, postings and statistics one retrieval plan reads."""
+    """The index tables one retrieval plan reads: chunks with vectors, postings, frequencies."""
 
     def __init__(self, spark: SparkSession, d: str) -> None:
-        self.chunks = derived.chunks(spark, d)
         self.queries = derived.queries(spark, d)
-        self.postings = index.postings(self.chunks, tuple(c for c in search.SCOPE))
-        self.frequencies = index.document_frequencies(index.postings(self.chunks))
-        stats = index.corpus_statistics(self.chunks)
+        self.chunks = staged(spark, d, "chunks", lambda: derived.chunks(spark, d).withColumns({
+            "embedding": hash_embedding(F.col("content"), DIMS),
+            "n_words": F.size(tx.words(F.col("content"))),
+        }))
+        self.postings = staged(spark, d, "postings", lambda: index.postings(self.chunks, search.SCOPE))
+        self.frequencies = staged(spark, d, "frequencies", lambda: index.document_frequencies(self.postings))
+        stats = self.chunks.agg(F.count(F.lit(1)).alias("n_chunks"), F.avg("n_words").alias("avg_length"))
         self.n_chunks = stats.select("n_chunks").scalar()
         self.average = stats.select("avg_length").scalar()
 
@@ -48,7 +52,7 @@ class Corpus:
         )
         v = self.chunks.filter(predicates.searchable()).select(
             F.concat_ws("|", "chunk_id", "document_id").alias("vector_id"),
-            hash_embedding(F.col("content"), DIMS).alias("embedding"),
+            "embedding",
             F.array("tenant_id").alias("tenant"),
             F.array("knowledge_base_id").alias("kb"),
             predicates.access_tokens().alias("access"),
@@ -268,7 +272,7 @@ def context_pack(spark: SparkSession, d: str) -> DataFrame:
 def _families(spark: SparkSession, d: str) -> DataFrame:
     """Chunks with parents: groups of four share one, every fifth group has none."""
     n = F.floor(F.col("sequence") / 4)
-    return derived.chunks(spark, d).select(
+    return Corpus(spark, d).chunks.select(
         "chunk_id", "document_version_id", "sequence", "token_count",
         F.when(n % 5 != 4, F.concat_ws(":", "document_version_id", n)).alias("parent_chunk_id"))
 
@@ -403,12 +407,12 @@ define("query_slots", f"""
 define("query_norms", "SELECT query_id, sqrt(sum(n * n)) AS norm FROM query_slots GROUP BY 1")
 define("cosines", """
     SELECT q.query_id, c.chunk_id, sum(q.n * c.n) AS dot FROM query_slots q JOIN term_slots c ON c.position = q.position GROUP BY ALL""")
-define("similar", """
+define("vector_pairs", """
     SELECT p.query_id, p.chunk_id, p.document_id, p.in_filter, coalesce(d.dot / (a.norm * b.norm), 0) AS cosine,
-           round((1 + coalesce(d.dot / (a.norm * b.norm), 0)) / 2, 6) AS score
+           round(round((1 + coalesce(d.dot / (a.norm * b.norm), 0)) / 2, 9), 6) AS score
     FROM permitted p LEFT JOIN cosines d ON d.query_id = p.query_id AND d.chunk_id = p.chunk_id
     LEFT JOIN query_norms a ON a.query_id = p.query_id LEFT JOIN chunk_norms b ON b.chunk_id = p.chunk_id""")
-define("vector_hits", _ranked("similar", TOP_K))
+define("vector_hits", _ranked("vector_pairs", TOP_K))
 _FUSE = """
     SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY fusion_score DESC, chunk_id) AS fusion_rank FROM (
         SELECT {keys}, chunk_id, document_id, max(tr) AS full_text_rank, max(vr) AS vector_rank,
@@ -442,7 +446,7 @@ define("label_means", """
     GROUP BY label""")
 define("label_pairs", """
     SELECT 'label' || m.label AS query_id, CAST(e.vec_id AS VARCHAR) AS vector_id,
-           round((1 + list_dot_product(m.m, e.embedding::DOUBLE[]) / sqrt(list_dot_product(m.m, m.m) * list_dot_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[]))) / 2, 6) AS score
+           round(round((1 + list_dot_product(m.m, e.embedding::DOUBLE[]) / sqrt(list_dot_product(m.m, m.m) * list_dot_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[]))) / 2, 9), 6) AS score
     FROM label_means m, embeddings e""")
 define("phrases", f"""
     SELECT b.query_id, b.chunk_id, b.idf_sum, len(c.w) AS length,
@@ -464,14 +468,14 @@ define("variant_scores", f"""
     SELECT p.query_id, q.variant_no, p.chunk_id, p.document_id, round(sum(q.weight * {_PART}), 6) AS score
     FROM variant_terms q JOIN freq f ON f.term = q.term JOIN terms t ON t.term = q.term
     JOIN permitted p ON p.query_id = q.query_id AND p.chunk_id = t.chunk_id, corpus s GROUP BY ALL""")
-define("overlaps", "SELECT q.query_id, t.chunk_id, count(*) AS overlap FROM qterms q JOIN terms t ON t.term = q.term GROUP BY ALL")
+define("shared_words", "SELECT q.query_id, t.chunk_id, count(*) AS overlap FROM qterms q JOIN terms t ON t.term = q.term GROUP BY ALL")
 define("active_versions", "SELECT tenant_id, knowledge_base_id, current_version_id AS document_version_id FROM kb_documents WHERE current_version_id IS NOT NULL")
 define("pools", """
     SELECT query_id, 'free' AS pool, chunk_id, document_id, score, channel FROM (SELECT *, 't' AS channel FROM (SELECT query_id, chunk_id, document_id, in_filter, score FROM bm25)
-        UNION ALL SELECT *, 'v' FROM (SELECT query_id, chunk_id, document_id, in_filter, score FROM similar))
+        UNION ALL SELECT *, 'v' FROM (SELECT query_id, chunk_id, document_id, in_filter, score FROM vector_pairs))
     UNION ALL
     SELECT query_id, 'filtered', chunk_id, document_id, score, channel FROM (SELECT *, 't' AS channel FROM (SELECT query_id, chunk_id, document_id, in_filter, score FROM bm25)
-        UNION ALL SELECT *, 'v' FROM (SELECT query_id, chunk_id, document_id, in_filter, score FROM similar)) WHERE in_filter""")
+        UNION ALL SELECT *, 'v' FROM (SELECT query_id, chunk_id, document_id, in_filter, score FROM vector_pairs)) WHERE in_filter""")
 define("pool_hits", _ranked("pools", EXPANDED, "query_id, pool, channel", "query_id, pool, channel, chunk_id, document_id, score"))
 define("attempts", f"""
     SELECT query_id, attempt, mode, least(10000, CASE WHEN attempt = 0 THEN {TOP_K} ELSE {EXPANDED} END) AS candidate_top_k,
@@ -524,7 +528,7 @@ ORACLE = {
         SELECT query_id, chunk_id, fusion_score, r AS fusion_rank FROM (SELECT * EXCLUDE (fusion_rank), row_number() OVER (
             PARTITION BY query_id ORDER BY fusion_score DESC, full_text_rank NULLS LAST, vector_rank NULLS LAST) AS r FROM fused) WHERE r <= 10"""),
     "hybrid_additive": query(f"""
-        {_ranked("(SELECT s.query_id, s.chunk_id, round(coalesce(o.overlap, 0) + s.cosine, 6) AS score FROM similar s LEFT JOIN overlaps o ON o.query_id = s.query_id AND o.chunk_id = s.chunk_id WHERE coalesce(o.overlap, 0) + s.cosine > 0)", 10, columns="query_id, chunk_id, score")}"""),
+        {_ranked("(SELECT s.query_id, s.chunk_id, round(round(coalesce(o.overlap, 0) + s.cosine, 9), 6) AS score FROM vector_pairs s LEFT JOIN shared_words o ON o.query_id = s.query_id AND o.chunk_id = s.chunk_id WHERE coalesce(o.overlap, 0) + s.cosine > 0)", 10, columns="query_id, chunk_id, score")}"""),
     "rerank": query("""
         SELECT query_id, chunk_id, fusion_rank, rerank_rank, round(final_score, 6) AS final_score, applied,
                CASE WHEN applied THEN '' ELSE 'reranker_error:ValueError' END AS fallback_reason FROM reranked"""),
