@@ -21,18 +21,18 @@ def idempotent_commands(spark: SparkSession, d: str) -> DataFrame:
     return lifecycle.idempotent_commands(commands).select("key", "seq", "job_id", "outcome")
 
 
-def status_log(spark: SparkSession, d: str) -> DataFrame:
+def status_of(events: DataFrame) -> DataFrame:
     t = F.col("event_type")
     status = (
         F.when((t == "error") & (F.col("event_id") % 11 == 0), "deleted").when(t == "click", "ingesting").when(t == "view", "ready")
         .when(t == "purchase", "failed").when(t == "signup", "superseded").otherwise("ingesting")
     )
-    return table(spark, d, "events").select(F.col("user_id").alias("entity_id"), F.col("event_id").alias("seq"), status.alias("status"))
+    return events.select(F.col("user_id").alias("entity_id"), F.col("event_id").alias("seq"), status.alias("status"))
 
 
 def status_replay(spark: SparkSession, d: str) -> DataFrame:
     """Cut into small pieces here, so the composition of pieces is exercised."""
-    return lifecycle.replay(status_log(spark, d), segment=5_000)
+    return lifecycle.replay(status_of(table(spark, d, "events")), segment=5_000)
 
 
 def illegal_transitions(spark: SparkSession, d: str) -> DataFrame:
