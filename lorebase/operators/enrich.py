@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from lorebase.functions import ids
 from lorebase.functions.text import KEYWORD_TOKEN, fold, let, matches, strip
@@ -75,25 +76,26 @@ def chunk_summaries(chunks: DataFrame, max_tokens: int) -> DataFrame:
     ).select("chunk_id", "document_version_id", "tenant_id", "level", F.concat_ws(": ", "level", "s.text").alias("text"), "s.token_count")
 
 
-def document_summaries(chunks: DataFrame, level: str, max_tokens: int) -> DataFrame:
-    """First ``max_tokens`` words over the ordered chunks of a document version.
+def document_summaries(chunks: DataFrame, budgets: dict[str, int]) -> DataFrame:
+    """First words over the ordered chunks of a document version, for every level and its budget.
 
-    Only chunks that start within the budget can contribute, and every chunk has at least one
-    word, so chunks with a sequence beyond the budget are dropped before they are gathered: what
-    one task collects is bounded by the budget however large a document is.
+    Only chunks that start within the largest budget can contribute, because every chunk has at
+    least one word: what is gathered per document is bounded by that budget however large the
+    document is. All levels come from one aggregation.
     """
     key = ["tenant_id", "document_version_id"]
+    most = max(budgets.values())
     words = _split_words(F.col("content"))
-    near = chunks.filter(F.col("sequence") < max_tokens).select(
-        *key, "sequence", F.slice(words, 1, max_tokens).alias("words"))
-    totals = chunks.groupBy(*key).agg(F.sum(F.size(words)).alias("all_words"))
-    gathered = near.groupBy(*key).agg(
-        F.array_sort(F.collect_list(F.struct("sequence", "words"))).alias("parts"))
-    joined = F.slice(F.flatten(F.transform("parts", lambda p: p["words"])), 1, max_tokens)
-    return gathered.join(totals, key).select(
-        *key, F.lit(level).alias("level"),
-        F.concat(F.lit(f"{level}: "), F.array_join(joined, " ")).alias("text"),
-        F.least(F.col("all_words"), F.lit(max_tokens)).cast("int").alias("token_count"),
+    part = F.when(F.col("sequence") < most, F.struct("sequence", F.slice("words", 1, most).alias("words")))
+    gathered = chunks.select(*key, "sequence", words.alias("words")).groupBy(*key).agg(
+        F.array_sort(F.collect_list(part)).alias("parts"), F.sum(F.size("words")).alias("all_words"))
+    joined = gathered.select(
+        *key, "all_words", F.slice(F.flatten(F.transform("parts", lambda p: p["words"])), 1, most).alias("words"),
+        F.explode(F.array(*[F.struct(F.lit(n).alias("level"), F.lit(b).alias("budget")) for n, b in budgets.items()])).alias("b"))
+    return joined.select(
+        *key, "b.level",
+        F.concat_ws(": ", "b.level", F.array_join(F.slice("words", F.lit(1), F.col("b.budget")), " ")).alias("text"),
+        F.least("all_words", F.col("b.budget")).cast("int").alias("token_count"),
     )
 
 
@@ -128,35 +130,39 @@ def table_of_contents(blocks: DataFrame, links: DataFrame) -> DataFrame:
 def summary_tree(chunks: DataFrame, *, levels: int = TREE_LEVELS, words: int = TREE_WORDS, build: str = "b1") -> DataFrame:
     """Pairwise summary tree of every document version: leaves plus up to ``levels - 1`` rounds.
 
-    A round pairs neighbours by position, so a group never has more than two members. A version
-    climbs while it has more than one node; its node count halves, which is known from the leaf
-    count without another pass.
+    A node of level ``n`` covers ``2^n`` neighbouring leaves. Truncating at every round to the
+    first ``words`` words gives the same text as truncating once over those leaves, so all levels
+    come from one grouping with at most ``2^(levels-1)`` leaves each, instead of round after
+    round. A level exists while the level below has more than one node.
     """
     counts = chunks.groupBy("document_version_id").agg(F.count(F.lit(1)).alias("leaves"))
-    current = chunks.join(counts, "document_version_id").select(
-        "document_version_id", "leaves", F.lit(0).alias("level"), F.col("sequence").cast("long").alias("position"),
-        F.concat(F.lit("raptor_leaf_"), "chunk_id").alias("node_id"), F.col("content").alias("text"),
-        F.array("chunk_id").alias("sources"), F.expr("cast(array() as array<string>)").alias("children"),
+    leaf_id = F.concat(F.lit("raptor_leaf_"), "chunk_id")
+    node = lambda level, position: F.concat_ws("_", F.lit("raptor"), F.lit(build), "document_version_id", level, position)
+    leaves = chunks.select(
+        "document_version_id", F.lit(0).alias("level"), F.col("sequence").cast("long").alias("position"), leaf_id.alias("node_id"),
+        F.col("content").alias("text"), F.array("chunk_id").alias("sources"), F.expr("cast(array() as array<string>)").alias("children"))
+    spread = chunks.join(counts, "document_version_id").select(
+        "document_version_id", "sequence", "chunk_id", "leaves",
+        F.slice(_split_words(F.col("content")), 1, words).alias("words"),
+        F.explode(F.sequence(F.lit(1), F.lit(levels - 1))).alias("level"))
+    below = F.pow(F.lit(2), F.col("level") - 1)
+    nodes = (
+        spread.filter(F.ceil(F.col("leaves") / below) > 1)
+        .groupBy("document_version_id", "level", F.floor(F.col("sequence") / (below * 2)).alias("position"))
+        .agg(F.array_sort(F.collect_list(F.struct("sequence", "chunk_id", "words"))).alias("kids"))
     )
-    result = current
-    for level in range(1, levels):
-        # ceil(leaves / 2^(level-1)) nodes exist on the level below
-        climbing = current.filter(F.ceil(F.col("leaves") / (2 ** (level - 1))) > 1)
-        pairs = climbing.groupBy("document_version_id", "leaves", F.floor(F.col("position") / 2).alias("position")).agg(
-            F.array_sort(F.collect_list(F.struct(F.col("position").alias("at"), "node_id", "text", "sources"))).alias("kids"))
-        joined = _split_words(F.array_join(F.transform("kids", lambda k: k["text"]), " "))
-        current = pairs.select(
-            "document_version_id", "leaves", F.lit(level).alias("level"), "position",
-            F.concat_ws("_", F.lit("raptor"), F.lit(build), "document_version_id", F.lit(level), "position").alias("node_id"),
-            F.array_join(F.slice(joined, 1, words), " ").alias("text"),
-            F.array_distinct(F.flatten(F.transform("kids", lambda k: k["sources"]))).alias("sources"),
-            F.transform("kids", lambda k: k["node_id"]).alias("children"),
-        )
-        result = result.unionByName(current)
-    return result.drop("leaves")
-
-
-@F.pandas_udf("string")
+    child = F.transform("kids", lambda k: F.when(
+        F.col("level") == 1, F.concat(F.lit("raptor_leaf_"), k["chunk_id"])
+    ).otherwise(node(F.col("level") - 1, F.floor(k["sequence"] / F.pow(F.lit(2), F.col("level") - 1)))))
+    parents = nodes.select(
+        "document_version_id", "level", "position", node(F.col("level"), F.col("position")).alias("node_id"),
+        F.array_join(F.slice(F.flatten(F.transform("kids", lambda k: k["words"])), 1, words), " ").alias("text"),
+        F.array_distinct(F.transform("kids", lambda k: k["chunk_id"])).alias("sources"),
+        F.array_distinct(child).alias("children"))
+    return leaves.unionByName(parents)
+
+
+@F.pandas_udf(StringType())
 def _three_decimals(values: pd.Series) -> pd.Series:
     """Correctly rounded decimals of the exact binary value; JVM formatting rounds its shortest form."""
     return values.map("{:.3f}".format)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -81,31 +83,47 @@ def replay(
             lambda m, e: F.transform(m, lambda s: F.get(F.get(legal, s), e["target"]))).alias("map"))
     id_type = dict(log.dtypes)["entity_id"]
 
-    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, state, start = pdf.sort_values("piece"), start0, []
-        for mapping in pdf["map"]:
-            start.append(state)
-            state = int(mapping[state])
-        return pdf[["entity_id", "piece"]].assign(start=start)
-
-    starts = maps.groupBy("entity_id").applyInPandas(chain, f"entity_id {id_type}, piece long, start int")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq")
-        state, before = int(pdf["start"].iloc[0]), []
-        for target in pdf["target"]:
-            before.append(state)
-            state = steps[state][target]
-        outcome = [
-            "unchanged" if s == t else "applied" if steps[s][t] == t else "document_version_transition_invalid"
-            for s, t in zip(before, pdf["target"], strict=True)
-        ]
-        return pd.DataFrame({
-            "entity_id": pdf["entity_id"], "seq": pdf["seq"], "from_status": [names[s] for s in before],
-            "to_status": [names[t] for t in pdf["target"]], "outcome": outcome})
-
-    return coded.join(starts, ["entity_id", "piece"]).groupBy("entity_id", "piece").applyInPandas(
-        run, f"entity_id {id_type}, seq long, from_status string, to_status string, outcome string")
+    def chain(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        entity, state = None, start0
+        for frame in frames:
+            start = []
+            for key, mapping in zip(frame["entity_id"], frame["map"], strict=True):
+                if key != entity:
+                    entity, state = key, start0
+                start.append(state)
+                state = int(mapping[state])
+            yield frame[["entity_id", "piece"]].assign(start=start)
+
+    starts = (
+        maps.repartition("entity_id").sortWithinPartitions("entity_id", "piece")
+        .mapInPandas(chain, f"entity_id {id_type}, piece long, start int")
+    )
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # partitions are sorted by entity, piece and seq; a piece may span two Arrow batches
+        at, state = None, start0
+        for frame in frames:
+            before, outcome = [], []
+            for key, piece, start, target in zip(
+                frame["entity_id"], frame["piece"], frame["start"], frame["target"], strict=True
+            ):
+                if (key, piece) != at:
+                    at, state = (key, piece), int(start)
+                before.append(names[state])
+                after = steps[state][target]
+                outcome.append(
+                    "unchanged" if state == target
+                    else "applied" if after == target else "document_version_transition_invalid")
+                state = after
+            yield pd.DataFrame({
+                "entity_id": frame["entity_id"], "seq": frame["seq"], "from_status": before,
+                "to_status": [names[t] for t in frame["target"]], "outcome": outcome})
+
+    return (
+        coded.join(starts, ["entity_id", "piece"])
+        .repartition("entity_id", "piece").sortWithinPartitions("entity_id", "piece", "seq")
+        .mapInPandas(run, f"entity_id {id_type}, seq long, from_status string, to_status string, outcome string")
+    )
 
 
 def replay_summary(replayed: DataFrame) -> DataFrame:

@@ -359,40 +359,38 @@ def words_to_lines(words: DataFrame, keys: tuple[str, ...] = ("doc_id", "page"))
             ),
         )
     )
-    state = "cast(struct(-1 as line, 0D as total, 0 as n, cast(array() as array<int>) as lines) as struct<line:int,total:double,n:int,lines:array<int>>)"
+    state = "cast(struct(0 as i, 0D as total, 0 as n, cast(array() as array<int>) as starts) as struct<i:int,total:double,n:int,starts:array<int>>)"
 
     def visit(acc: Column, w: Column) -> Column:
+        # only line starts are appended, so the fold stays linear in the words of a page
         fresh = (acc["n"] == 0) | (F.abs(w["centre"] - acc["total"] / F.greatest(acc["n"], F.lit(1))) > F.col("tol"))
-        line = acc["line"] + F.when(fresh, 1).otherwise(0)
         return F.struct(
-            line.alias("line"),
+            (acc["i"] + 1).alias("i"),
             F.when(fresh, w["centre"]).otherwise(acc["total"] + w["centre"]).alias("total"),
             F.when(fresh, F.lit(1)).otherwise(acc["n"] + 1).alias("n"),
-            F.concat(acc["lines"], F.array(line)).alias("lines"),
+            F.when(fresh, F.concat(acc["starts"], F.array(acc["i"] + 1))).otherwise(acc["starts"]).alias("starts"),
         )
 
-    assigned = let(
-        ordered,
-        lambda ws: F.arrays_zip(
-            F.aggregate(ws, F.expr(state), visit, lambda acc: acc["lines"]).alias("line"),
-            ws.alias("word"),
-        ),
-    )
-    rows = pages.select(*keys, F.explode(assigned).alias("z")).select(
-        *keys, F.col("z.line").alias("line_no"), F.col("z.word.w").alias("w")
-    )
-    # the pages are already partitioned by a subset of these keys, so this adds no shuffle
-    return rows.groupBy(*keys, "line_no").agg(
-        F.array_join(
-            F.transform(
-                F.array_sort(F.collect_list(F.struct("w.x0", "w.ord", "w.text"))), lambda w: w["text"]
+    def line(members: Column) -> Column:
+        of = lambda name: F.transform(members, lambda m: m["w"][name])
+        placed = F.array_sort(F.transform(members, lambda m: F.struct(m["x0"], m["ord"], m["w"]["text"].alias("text"))))
+        return F.struct(
+            F.array_join(F.transform(placed, lambda m: m["text"]), " ").alias("text"),
+            F.array_min(of("x0")).alias("x0"), F.array_min(of("y0")).alias("y0"),
+            F.array_max(of("x1")).alias("x1"), F.array_max(of("y1")).alias("y1"),
+            (F.aggregate(of("confidence"), F.lit(0.0), lambda a, x: a + x) / F.size(members)).alias("confidence"),
+        )
+
+    def cut(ws: Column) -> Column:
+        return let(
+            F.aggregate(ws, F.expr(state), visit, lambda acc: acc["starts"]),
+            lambda starts: F.transform(
+                starts,
+                lambda s, j: line(F.slice(ws, s, F.coalesce(F.get(starts, j + 1), F.size(ws) + 1) - s)),
             ),
-            " ",
-        ).alias("text"),
-        F.min("w.x0").alias("x0"), F.min("w.y0").alias("y0"),
-        F.max("w.x1").alias("x1"), F.max("w.y1").alias("y1"),
-        F.avg("w.confidence").alias("confidence"),
-    )
+        )
+
+    return pages.select(*keys, F.posexplode(let(ordered, cut)).alias("line_no", "l")).select(*keys, "line_no", "l.*")
 
 
 def page_columns(words: DataFrame, page_width: float, keys: tuple[str, ...] = ("doc_id", "page")) -> DataFrame:

@@ -14,6 +14,8 @@ from lorebase.functions.text import words
 
 # fixed values: the public defaults of the ranking function and the phrase weight
 K1, B, PHRASE_BOOST = 1.2, 0.75, 2.0
+# query-term rows (a few hundred bytes each) that may be broadcast
+BROADCAST_TERMS = 100_000
 
 SCOPE = (
     "tenant_id", "knowledge_base_id", "owner_id", "visibility", "allowed_actor_ids", "allowed_roles",
@@ -63,32 +65,27 @@ def bm25(
     n_chunks: Column,
     average_length: Column,
     *,
+    broadcast_terms: int = BROADCAST_TERMS,
     salts: int = 8,
 ) -> DataFrame:
     """Score every permitted (query, chunk) pair that shares a term (OR semantics).
 
     Statistics cover all records; scope, access and liveness are applied below the aggregation.
-    Posting lists of frequent terms are spread over ``salts`` buckets and the (small) query side
-    is repeated per bucket, so one hot term or tenant never lands in a single task.
+
+    When the query terms are at most ``broadcast_terms`` rows (checked), the postings are probed
+    where they lie. On postings bucketed by chunk the scores then add up inside each bucket, so
+    neither the postings nor the pairs are shuffled, and buckets are even whatever term or tenant
+    is hot. A larger query table is joined by shuffle, with posting lists spread over ``salts``.
     """
-    q = (
-        terms.join(frequencies, "term")
-        .withColumn("idf", idf(n_chunks, F.col("df")))
-        .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        .alias("q")
-    )
-    p = (
-        postings.filter(searchable())
-        .withColumn("salt", F.pmod(F.xxhash64("chunk_id"), F.lit(salts)).cast("int"))
-        .alias("p")
-    )
-    matched = q.join(
-        p,
-        (F.col("q.tenant_id") == F.col("p.tenant_id"))
-        & (F.col("q.term") == F.col("p.term"))
-        & (F.col("q.salt") == F.col("p.salt"))
-        & allowed("q", "p"),
-    )
+    q = terms.join(frequencies, "term").withColumn("idf", idf(n_chunks, F.col("df")))
+    p = postings.filter(searchable())
+    on = (F.col("q.tenant_id") == F.col("p.tenant_id")) & (F.col("q.term") == F.col("p.term")) & allowed("q", "p")
+    if terms.limit(broadcast_terms + 1).count() <= broadcast_terms:
+        matched = p.alias("p").join(F.broadcast(q.alias("q")), on)
+    else:
+        q = q.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        p = p.withColumn("salt", F.pmod(F.xxhash64("chunk_id"), F.lit(salts)).cast("int"))
+        matched = q.alias("q").join(p.alias("p"), on & (F.col("q.salt") == F.col("p.salt")))
     part = F.col("q.weight") * F.col("q.idf") * saturation(F.col("p.tf"), F.col("p.length"), average_length)
     in_filter = F.col("q.languages").isNull() | F.array_contains("q.languages", F.col("p.language"))
     # only fixed-width aggregates, so this stays a hash aggregation with map-side combine

@@ -25,11 +25,9 @@ def questions(spark: SparkSession, d: str) -> DataFrame:
 def summaries(spark: SparkSession, d: str) -> DataFrame:
     chunks = derived.chunks(spark, d)
     columns = ["document_version_id", "level", "item", "text", "token_count"]
-    parts = [enrich.chunk_summaries(chunks, SUMMARY_WORDS).withColumn("item", F.col("chunk_id"))] + [
-        enrich.document_summaries(chunks, level, limit).withColumn("item", F.lit(""))
-        for level, limit in (("document", SUMMARY_WORDS), ("hierarchical", 3 * SUMMARY_WORDS))
-    ]
-    return parts[0].select(*columns).unionByName(parts[1].select(*columns)).unionByName(parts[2].select(*columns))
+    short = enrich.chunk_summaries(chunks, SUMMARY_WORDS).withColumn("item", F.col("chunk_id"))
+    long = enrich.document_summaries(chunks, {"document": SUMMARY_WORDS, "hierarchical": 3 * SUMMARY_WORDS}).withColumn("item", F.lit(""))
+    return short.select(*columns).unionByName(long.select(*columns))
 
 
 def toc(spark: SparkSession, d: str) -> DataFrame:

@@ -30,7 +30,7 @@ class Corpus:
             "embedding": hash_embedding(F.col("content"), DIMS),
             "n_words": F.size(tx.words(F.col("content"))),
         }))
-        self.postings = staged(spark, d, "postings", lambda: index.postings(self.chunks, search.SCOPE))
+        self.postings = staged(spark, d, "postings", lambda: index.postings(self.chunks, search.SCOPE), bucket_by="chunk_id")
         self.frequencies = staged(spark, d, "frequencies", lambda: index.document_frequencies(self.postings))
         stats = self.chunks.agg(F.count(F.lit(1)).alias("n_chunks"), F.avg("n_words").alias("avg_length"))
         self.n_chunks = stats.select("n_chunks").scalar()

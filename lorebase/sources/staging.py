@@ -6,6 +6,7 @@ folder of the cluster, so they survive lost executors and cut the lineage of wha
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,15 +21,27 @@ def _complete(spark: SparkSession, location: str) -> bool:
     return marker.getFileSystem(spark._jsc.hadoopConfiguration()).exists(marker)
 
 
-def staged(spark: SparkSession, directory: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+def staged(
+    spark: SparkSession, directory: str, name: str, build: Callable[[], DataFrame], *, bucket_by: str | None = None
+) -> DataFrame:
     """The table ``name`` of the corpus at ``directory``; built and written on first use.
 
-    A location is reused only within one application and only while its success marker exists.
+    With ``bucket_by`` the table is bucketed, so grouping by that column (and more) later needs no
+    shuffle. A location is reused only within one application and while its success marker exists.
     """
     key = (spark.sparkContext.applicationId, directory, name)
     location = _LOCATIONS.get(key)
+    table_name = "lore_" + hashlib.sha256("|".join(key).encode()).hexdigest()[:16]
     if location is None or not _complete(spark, location):
         location = shared_dir(spark, name)
-        build().write.mode("overwrite").parquet(location)
+        frame = build()
+        if bucket_by is None:
+            frame.write.mode("overwrite").parquet(location)
+        else:
+            buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+            (
+                frame.repartition(buckets, bucket_by).write.mode("overwrite").option("path", location)
+                .bucketBy(buckets, bucket_by).saveAsTable(table_name)
+            )
         _LOCATIONS[key] = location
-    return spark.read.parquet(location)
+    return spark.read.parquet(location) if bucket_by is None else spark.table(table_name)
