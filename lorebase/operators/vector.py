@@ -173,10 +173,6 @@ def _blocked(q: DataFrame, v: DataFrame, k: int, facets: list[str], additive: bo
     )
 
 
-def num_candidates(k: int) -> int:
-    return max(k, min(4 * k, 10_000))
-
-
 def _projections(dims: int, tables: int, seed: int) -> np.ndarray:
     return np.random.default_rng(seed).standard_normal((tables, dims))
 
@@ -193,10 +189,10 @@ def vector_topk_lsh(
     queries: DataFrame, vectors: DataFrame, k: int, *, dims: int, tables: int = 12, width: float = 0.3, seed: int = 7,
     salts: int = 8,
 ) -> DataFrame:
-    """Approximate top ``k``: meet in a bucket of any table, keep the ``num_candidates`` vectors
-    with the most shared tables, rescore those exactly.
+    """Approximate top ``k``: vectors that meet a query in a bucket of any table, rescored exactly.
 
-    An equi-join on (table, bucket, salt): salting spreads a bucket that holds a large share.
+    An equi-join on (table, bucket, salt): salting spreads a bucket that holds a large share. All
+    candidates are rescored; only vectors that never meet the query can be missed.
     """
     keyed = lambda df, key: df.select(
         F.col(key).cast("string").alias(key),
@@ -204,10 +200,7 @@ def vector_topk_lsh(
     )
     right = keyed(vectors, "vector_id").withColumn("salt", F.pmod(F.xxhash64("vector_id"), F.lit(salts)).cast("int"))
     left = keyed(queries, "query_id").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    met = left.join(right, ["t", "bucket", "salt"]).groupBy("query_id", "vector_id").agg(
-        F.count(F.lit(1)).cast("double").alias("score")
-    )
-    candidates = top_k(met, num_candidates(k), tie="vector_id").select("query_id", "vector_id")
+    candidates = left.join(right, ["t", "bucket", "salt"]).select("query_id", "vector_id").distinct()
     q = queries.select(F.col("query_id").cast("string"), F.col("embedding").alias("q_vector"))
     v = vectors.select(F.col("vector_id").cast("string"), F.col("embedding").alias("v_vector"))
     scored = candidates.join(q, "query_id").join(v, "vector_id").select(

@@ -119,17 +119,26 @@ def define(name: str, sql: str) -> None:
 MATERIALIZED = {"chunks", "blocks", "blocks0", "terms", "bm25", "text_hits", "vector_hits", "fused", "selected"}
 
 
-def query(body: str) -> str:
-    """Prefix ``body`` with the shared expressions it (transitively) names, in definition order."""
-    needed: set[str] = set()
-    todo = [body]
-    while todo:
-        for name in _names(todo.pop()) & CTE.keys():
-            if name not in needed:
-                needed.add(name)
-                todo.append(CTE[name])
-    parts = [
-        f"{name} AS {'MATERIALIZED ' if name in MATERIALIZED else ''}({CTE[name]})"
-        for name in CTE if name in needed
-    ]
-    return f"WITH RECURSIVE {', '.join(parts)} {body}" if parts else body
+class Body(str):
+    """A query body whose shared expressions are added by :func:`render`, once all are defined."""
+
+
+def query(body: str) -> Body:
+    return Body(body)
+
+
+def render(sql: str) -> str:
+    """Prefix a body with the shared expressions it (transitively) names, dependencies first."""
+    if not isinstance(sql, Body):
+        return sql
+    ordered: dict[str, None] = {}
+
+    def visit(text: str, path: tuple[str, ...]) -> None:
+        for name in sorted(_names(text) & CTE.keys()):
+            if name not in ordered and name not in path:  # a recursive expression names itself
+                visit(CTE[name], (*path, name))
+                ordered[name] = None
+
+    visit(str(sql), ())
+    parts = [f"{name} AS {'MATERIALIZED ' if name in MATERIALIZED else ''}({CTE[name]})" for name in ordered]
+    return f"WITH RECURSIVE {', '.join(parts)} {sql}" if parts else str(sql)
