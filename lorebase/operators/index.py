@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lorebase.functions.text import words
+from lorebase.functions.text import let, words
 from lorebase.functions.vectors import hash_embedding
 
 RECORD_COLUMNS = (
@@ -69,11 +69,16 @@ def postings(chunks: DataFrame, carried: tuple[str, ...] = ()) -> DataFrame:
     rows but does not shuffle. Scope and access columns are carried to filter before scoring.
     """
     keep = ["chunk_id", "document_id", *carried]
-    counted = chunks.select(*keep, words(F.col("content")).alias("terms")).select(
-        *keep, F.size("terms").alias("length"), "terms", F.explode(F.array_distinct("terms")).alias("term")
-    )
-    tf = F.size("terms") - F.size(F.array_remove("terms", F.col("term")))
-    return counted.select("term", *keep, tf.alias("tf"), "length")
+
+    def count(terms: Column) -> Column:
+        return F.transform(
+            F.array_distinct(terms),
+            lambda t: F.struct(
+                t.alias("term"), (F.size(terms) - F.size(F.array_remove(terms, t))).alias("tf"), F.size(terms).alias("length")),
+        )
+
+    # counted before the explode, so the token array is not copied into every posting
+    return chunks.select(*keep, F.explode(let(words(F.col("content")), count)).alias("p")).select("p.term", *keep, "p.tf", "p.length")
 
 
 def document_frequencies(posting: DataFrame) -> DataFrame:

@@ -55,6 +55,30 @@ def basic_hybrid(text: DataFrame, vector: DataFrame, top_n: int) -> DataFrame:
     return fused.withColumn("fusion_rank", F.row_number().over(order)).filter(F.col("fusion_rank") <= top_n)
 
 
+def score_with(candidates: DataFrame, queries: DataFrame, chunks: DataFrame, batch: Callable[[list[str], list[str]], list]) -> DataFrame:
+    """Score (query text, chunk text) pairs with a user's batch function on Arrow batches.
+
+    A batch that fails or returns the wrong number of scores leaves its pairs unscored, which
+    :func:`rerank` turns into the fusion order with a reason.
+    """
+    import pandas as pd
+
+    pairs = candidates.select("query_id", "chunk_id").join(queries.select("query_id", "text"), "query_id").join(
+        chunks.select("chunk_id", "content"), "chunk_id")
+
+    def run(frames):
+        for frame in frames:
+            try:
+                scores = [float(s) for s in batch(frame["text"].tolist(), frame["content"].tolist())]
+                ok = len(scores) == len(frame)
+            except Exception:  # a model failure is a documented fallback, not a failed job
+                ok = False
+            if ok:
+                yield pd.DataFrame({"query_id": frame["query_id"], "chunk_id": frame["chunk_id"], "rerank_score": scores})
+
+    return pairs.mapInPandas(run, "query_id string, chunk_id string, rerank_score double")
+
+
 def rerank(fused: DataFrame, scores: DataFrame | None = None, window: int = RERANK_WINDOW, *, keys: tuple[str, ...] = ("query_id",)) -> DataFrame:
     """Order the first ``window`` fused candidates by reranker scores.
 
@@ -174,24 +198,29 @@ def attempt_status(selected: Column, failed_channels: Column) -> Column:
     )
 
 
-def manifest_decision(manifests: DataFrame, requests: DataFrame, schema_version: int = 1) -> DataFrame:
+def manifest_decision(
+    requests: DataFrame, manifests: DataFrame, manifest_versions: DataFrame, active: DataFrame, schema_version: int = 1
+) -> DataFrame:
     """First failing compatibility reason per request, ``usable`` when there is none.
 
-    ``manifests``: tenant_id, knowledge_base_id, capability (lookup key) with ``m`` attributes;
-    ``requests``: tenant_id, knowledge_base_id, capability, active_versions.
+    ``manifests`` has one row per (tenant_id, knowledge_base_id, capability); the versions a
+    manifest covers are rows of ``manifest_versions``, and those not active are found by an
+    anti-join, so a knowledge base with a third of all documents is never one array.
     """
     key = ["tenant_id", "knowledge_base_id", "capability"]
-    m = manifests.withColumn("present", F.lit(True))
-    stale = F.size(F.array_except("document_version_ids", "active_versions")) > 0
+    stale = (
+        manifest_versions.join(active, ["tenant_id", "knowledge_base_id", "document_version_id"], "left_anti")
+        .groupBy(*key).agg(F.count(F.lit(1)).alias("stale"))
+    )
     reason = (
-        F.when(F.col("present").isNull(), "index_missing")
+        F.when(F.col("schema_version").isNull(), "index_missing")
         .when(F.col("schema_version") != schema_version, "schema_incompatible")
         .when(~F.col("complete"), "index_incomplete")
         .when(F.col("built_capability") != F.col("capability"), "capability_mismatch")
         .when((F.col("built_tenant") != F.col("tenant_id")) | (F.col("built_kb") != F.col("knowledge_base_id")), "scope_mismatch")
-        .when(stale, "stale_document_version")
+        .when(F.col("stale") > 0, "stale_document_version")
     )
-    return requests.join(m, key, "left").withColumn("fallback_reason", reason).withColumn(
+    return requests.join(manifests, key, "left").join(stale, key, "left").withColumn("fallback_reason", reason).withColumn(
         "usable", F.col("fallback_reason").isNull())
 
 

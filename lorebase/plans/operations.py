@@ -9,7 +9,8 @@ from lorebase.functions import text as tx
 from lorebase.operators import evaluate, index, lifecycle, rank, usage
 from lorebase.plans import retrieval
 from lorebase.plans.sqlkit import define, query
-from lorebase.sources import derived, files
+from lorebase.session import shared_dir
+from lorebase.sources import derived, files, sinks
 from lorebase.sources.tables import table
 
 
@@ -256,6 +257,32 @@ def dataset_violations(spark: SparkSession, d: str) -> DataFrame:
     return files.dataset_violations(records, ["en", "fr", "de", "es", "it"])
 
 
+def jsonl_scan(spark: SparkSession, d: str) -> DataFrame:
+    """The documents as JSON lines in the shared folder, scanned with a declared schema."""
+    path = shared_dir(spark, "dataset")
+    table(spark, d, "documents").select(
+        F.concat(F.lit("r"), "doc_id").alias("id"), F.col("lang").alias("split"), F.lit("CC0").alias("license"), F.col("source").alias("task"), "text"
+    ).write.json(path)
+    return files.jsonl(spark, path).select("id", "split", "license", "task", F.sha2("text", 256).alias("sha256"))
+
+
+def report_sink(spark: SparkSession, d: str) -> DataFrame:
+    """The release gate written as a JSON report and read back."""
+    path = shared_dir(spark, "report")
+    sinks.write_report(release_gate(spark, d), path)
+    return spark.read.schema("failures string, passed boolean, release string").json(path)
+
+
+def trace_store(spark: SparkSession, d: str) -> DataFrame:
+    """Traces written by tenant and expiry date; expired days are whole folders and are pruned."""
+    path = shared_dir(spark, "traces")
+    sinks.append_traces(table(spark, d, "events").select(
+        F.concat(F.lit("t"), F.col("user_id") % 4).alias("tenant_id"), F.concat(F.lit("tr"), "event_id").alias("trace_id"),
+        (F.col("ts").cast("timestamp") + F.expr("interval 30 days")).alias("expires_at")), path)
+    kept = spark.read.parquet(path).filter(F.col("expiry_date") >= F.lit("2024-02-06").cast("date"))
+    return kept.groupBy("tenant_id", F.date_format("expiry_date", "yyyy-MM-dd").alias("expiry_date")).agg(F.count(F.lit(1)).alias("traces"))
+
+
 def ablation(spark: SparkSession, d: str) -> DataFrame:
     corpus = retrieval.Corpus(spark, d)
     text, vector = retrieval.text_hits(corpus), corpus.semantic(retrieval.TOP_K)
@@ -271,7 +298,7 @@ QUERIES = {
     f.__name__: f for f in (
         idempotent_commands, status_replay, illegal_transitions, replay_summary, publish_versions, published_tables, rollback_check,
         soft_delete, restore_check, purge_due, reconcile, batch_rollup, outbox_due, retry_plan, budget_breach, run_cost,
-        active_memories, mrr, citation_pr, answer_score, scenario_report, release_gate, dataset_violations, ablation)
+        active_memories, mrr, citation_pr, answer_score, scenario_report, release_gate, dataset_violations, jsonl_scan, report_sink, trace_store, ablation)
 } | {
     "precision_at_k": _metric(evaluate.precision_at_k, K, columns=("precision",)),
     "recall_at_k": _metric(evaluate.recall_at_k, K, columns=("recall",)),
@@ -343,6 +370,12 @@ define("records", """
     SELECT CASE WHEN doc_id % 101 = 5 THEN '' WHEN doc_id % 50 = 9 THEN 'r' || (doc_id - 1) ELSE 'r' || doc_id END AS id,
            CASE WHEN doc_id % 70 = 11 THEN 'holdout' ELSE lang END AS split, doc_id % 90 <> 13 AS licensed FROM documents""")
 
+GATE = query("""
+        SELECT release, failures = '' AS passed, failures FROM (
+            SELECT release, array_to_string(list_filter([CASE WHEN release = 'MACHINERY' THEN 'critical_security_violations' END, CASE WHEN release = 'BUILDING' THEN 'recovery_failures' END,
+                   CASE WHEN share < .9 THEN 'retrieval_recall_at_10' END, CASE WHEN share + 0.05::DOUBLE < .9 THEN 'answer_faithfulness' END, CASE WHEN share + 0.1::DOUBLE < .95 THEN 'citation_recall' END,
+                   CASE WHEN low / 1000 >= .01 THEN 'internal_error_rate' END], lambda x: x IS NOT NULL), ',') AS failures FROM gate_shares)""")
+
 ORACLE = {
     "idempotent_commands": """
         SELECT key, seq, 'job_' || left(sha256(tenant || chr(31) || key), 32) AS job_id, CASE WHEN i = 1 THEN 'accepted' WHEN fp = f1 THEN 'duplicate' ELSE 'conflict' END AS outcome
@@ -429,17 +462,17 @@ ORACLE = {
                    round(sum(4 + event_id % 3 - CASE WHEN event_id % 25 = 0 THEN 1 ELSE 0 END) / sum(4 + event_id % 3), 6) AS citation_coverage,
                    round(sum(3 + event_id % 3 + CASE WHEN event_id % 4 > 0 THEN 1 ELSE 0 END) / sum(4 + event_id % 3), 6) AS groundedness,
                    count(*) FILTER (WHERE event_type = 'error' AND event_id % 1999 = 0) AS violations, count(*) FILTER (WHERE event_type = 'error' AND event_id % 50 = 7) AS unsafe FROM events)""",
-    "release_gate": query("""
-        SELECT release, failures = '' AS passed, failures FROM (
-            SELECT release, array_to_string(list_filter([CASE WHEN release = 'MACHINERY' THEN 'critical_security_violations' END, CASE WHEN release = 'BUILDING' THEN 'recovery_failures' END,
-                   CASE WHEN share < .9 THEN 'retrieval_recall_at_10' END, CASE WHEN share + 0.05::DOUBLE < .9 THEN 'answer_faithfulness' END, CASE WHEN share + 0.1::DOUBLE < .95 THEN 'citation_recall' END,
-                   CASE WHEN low / 1000 >= .01 THEN 'internal_error_rate' END], lambda x: x IS NOT NULL), ',') AS failures FROM gate_shares)"""),
+    "release_gate": GATE,
+    "report_sink": GATE,
     "dataset_violations": query("""
         SELECT 'missing_id' AS violation, '' AS item FROM records WHERE id = ''
         UNION ALL SELECT 'duplicate_id', id FROM records WHERE id <> '' GROUP BY id HAVING count(*) > 1
         UNION ALL SELECT 'invalid_split', id FROM records WHERE split NOT IN ('en', 'fr', 'de', 'es', 'it')
         UNION ALL SELECT 'license_missing', id FROM records WHERE NOT licensed
         UNION ALL SELECT 'split_without_records', s FROM (SELECT unnest(['en', 'fr', 'de', 'es', 'it']) AS s) WHERE s NOT IN (SELECT split FROM records)"""),
+    "jsonl_scan": "SELECT 'r' || doc_id AS id, lang AS split, 'CC0' AS license, source AS task, sha256(text) AS sha256 FROM documents",
+    "trace_store": """
+        SELECT 't' || (user_id % 4) AS tenant_id, strftime(ts + INTERVAL 30 DAY, '%Y-%m-%d') AS expiry_date, count(*) AS traces FROM events WHERE ts + INTERVAL 30 DAY >= TIMESTAMP '2024-02-06' GROUP BY ALL""",
     "ablation": query("""
         SELECT channel, round(avg(recall), 6) AS recall, round(avg(reciprocal_rank), 6) AS mrr, round(avg(ndcg), 6) AS ndcg FROM ("""
         + _BINARY.format(ch="q.channel,", queries="(SELECT channel, query_id FROM queries, (SELECT unnest(['text', 'vector', 'hybrid', 'reranked']) AS channel))", ch2="r.channel,",

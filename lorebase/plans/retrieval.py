@@ -223,19 +223,18 @@ def _active(spark: SparkSession, d: str) -> DataFrame:
 
 
 def manifest_check(spark: SparkSession, d: str) -> DataFrame:
-    docs = derived.kb_documents(spark, d)
-    n = F.pmod(F.substring("knowledge_base_id", 4, 9).cast("int"), F.lit(7))
-    keyed = docs.groupBy("tenant_id", "knowledge_base_id").agg(
-        F.array_compact(F.collect_set("current_version_id")).alias("active_versions"),
-        F.collect_set("document_version_id").alias("document_version_ids"))
-    requests = keyed.select("tenant_id", "knowledge_base_id", "active_versions", F.lit("keywords").alias("capability"))
-    manifests = keyed.filter(n != 1).select(
-        "tenant_id", "knowledge_base_id", F.lit("keywords").alias("capability"),
-        F.when(n == 2, 0).otherwise(1).alias("schema_version"), (n != 3).alias("complete"),
+    """One keyword manifest per knowledge base, in seven states; some cover versions now inactive."""
+    capability = F.lit("keywords").alias("capability")
+    docs = derived.kb_documents(spark, d).withColumn("n", F.pmod(F.substring("knowledge_base_id", 4, 9).cast("int"), F.lit(7)))
+    bases = docs.select("tenant_id", "knowledge_base_id", "n").distinct()
+    n = F.col("n")
+    manifests = bases.filter(n != 1).select(
+        "tenant_id", "knowledge_base_id", capability, F.when(n == 2, 0).otherwise(1).alias("schema_version"), (n != 3).alias("complete"),
         F.when(n == 4, "toc").otherwise("keywords").alias("built_capability"), F.col("tenant_id").alias("built_tenant"),
-        F.when(n == 5, "other").otherwise(F.col("knowledge_base_id")).alias("built_kb"),
-        F.when(n == 6, F.col("document_version_ids")).otherwise(F.expr("cast(array() as array<string>)")).alias("document_version_ids"))
-    return rank.manifest_decision(manifests, requests).select(
+        F.when(n == 5, "other").otherwise(F.col("knowledge_base_id")).alias("built_kb"))
+    covered = docs.select("tenant_id", "knowledge_base_id", capability, F.when(n == 6, F.col("document_version_id")).otherwise(F.col("current_version_id")).alias("document_version_id")).filter(
+        "document_version_id is not null")
+    return rank.manifest_decision(bases.select("tenant_id", "knowledge_base_id", capability), manifests, covered, _active(spark, d)).select(
         "tenant_id", "knowledge_base_id", F.coalesce("fallback_reason", F.lit("")).alias("fallback_reason"), "usable")
 
 

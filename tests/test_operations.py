@@ -2,6 +2,7 @@
 
 import random
 from datetime import datetime, timedelta
+from statistics import quantiles
 
 import pytest
 from pyspark.sql import functions as F
@@ -100,6 +101,16 @@ def test_exclusive_quantile(spark, values, want):
     assert round(temporal.exclusive_quantile(df, ["route"], "v").first()["p95"], 6) == want
 
 
+def test_exclusive_quantile_bracket_is_exact(spark):
+    """The bracketed path, forced by a coarse accuracy, against the standard library."""
+    rng = random.Random(8)
+    data = {r: [round(rng.expovariate(1), rng.choice([1, 6])) for _ in range(4_000)] for r in ("a", "b", "c")}
+    df = spark.createDataFrame([(r, v) for r, vs in data.items() for v in vs], "route string, v double").repartition(7)
+    for accuracy in (100, 1_000):
+        got = {r["route"]: round(r["p95"], 9) for r in temporal.exclusive_quantile(df, ["route"], "v", accuracy=accuracy).collect()}
+        assert got == {r: round(quantiles(vs, n=100)[94], 9) for r, vs in data.items()}
+
+
 def test_series_windows(spark):
     at = lambda s: NOW + timedelta(seconds=s)
     df = spark.createDataFrame([("s", 1, at(30), 3.0), ("s", 2, at(0), 1.0), ("s", 3, at(10), None), ("s", 4, at(150), 8.0)], "series_id string, event_id int, at timestamp, value double")

@@ -117,6 +117,15 @@ def test_rerank_and_fallback(spark):
     assert [r["chunk_id"] for r in partial] == ["a", "b"] and partial[0]["fallback_reason"]
 
 
+def test_reranker_hook(spark):
+    fused = rank.reciprocal_rank_fusion(hits(spark, [("c1", 2.0), ("c2", 1.0)]), hits(spark, []))
+    q, c = asked(spark), corpus(spark)
+    scores = rank.score_with(fused, q, c, lambda queries, texts: [float(len(t)) for t in texts])
+    assert [r[0] for r in rows(rank.rerank(fused, scores).select("chunk_id", "rerank_rank"), "rerank_rank")] == ["c2", "c1"]
+    failed = rank.rerank(fused, rank.score_with(fused, q, c, lambda queries, texts: 1 / 0))
+    assert [r[0] for r in rows(failed.select("chunk_id", "rerank_rank"), "rerank_rank")] == ["c1", "c2"]
+
+
 def test_clean_order_of_rules(spark):
     data = [(1, "a", "d", .9), (2, "a", "d", .9), (3, "b", "d", .1), (4, "c", "d", .8), (5, "e", "d", .7), (6, "f", "x", .6), (7, "g", "x", .5)]
     df = spark.createDataFrame([("q", *r) for r in data], "query_id string, rerank_rank int, chunk_id string, document_id string, final_score double")
