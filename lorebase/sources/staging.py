@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lorebase.session import shared_dir
 
+BUCKET_BYTES = 128 * 1024 * 1024
+MAX_BUCKETS = 50_000
 _LOCATIONS: dict[tuple[str, str, str], str] = {}
 
 
@@ -21,6 +23,12 @@ def _complete(spark: SparkSession, location: str) -> bool:
     return marker.getFileSystem(spark._jsc.hadoopConfiguration()).exists(marker)
 
 
+def _bucket_count(spark: SparkSession, frame: DataFrame) -> int:
+    """Buckets of about 128 MB by the planner's size estimate, at least one per core."""
+    size = int(str(frame._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(spark.sparkContext.defaultParallelism, min(-(-size // BUCKET_BYTES), MAX_BUCKETS))
+
+
 def staged(
     spark: SparkSession, directory: str, name: str, build: Callable[[], DataFrame], *, bucket_by: str | None = None
 ) -> DataFrame:
@@ -38,7 +46,7 @@ def staged(
         if bucket_by is None:
             frame.write.mode("overwrite").parquet(location)
         else:
-            buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+            buckets = _bucket_count(spark, frame)
             (
                 frame.repartition(buckets, bucket_by).write.mode("overwrite").option("path", location)
                 .bucketBy(buckets, bucket_by).saveAsTable(table_name)
