@@ -18,6 +18,7 @@ from lorebase.functions.vectors import dot, norm
 from lorebase.operators.search import top_k
 
 BROADCAST_QUERIES = 2_000
+BROADCAST_BYTES = 64 * 1024 * 1024
 QUERY_BLOCK = 1_000
 VECTOR_BLOCK = 20_000
 QUERY_SLICE = 64
@@ -139,13 +140,13 @@ def vector_topk(
     arrays. Filters act before the cut (pre-filter, not post-filter). With ``additive`` the score
     is the number of shared ``words`` plus the cosine, and non-positive scores are dropped.
 
-    When the queries are at most ``broadcast_queries`` rows (checked), the vectors are scanned
+    When the queries are at most ``broadcast_queries`` rows and 64 MB (checked), the vectors are scanned
     where they lie and never shuffled. Otherwise both sides are cut into bounded blocks.
     """
     names = list(facets)
     q, v = _sides(queries, vectors, [*names, "words"] if additive else names)
     head = q.limit(broadcast_queries + 1).toArrow()
-    if head.num_rows <= broadcast_queries:
+    if head.num_rows <= broadcast_queries and head.nbytes <= BROADCAST_BYTES:
         shared = v.sparkSession.sparkContext.broadcast(head)
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -70,7 +70,10 @@ def parse_markdown_blocks(spark: SparkSession, d: str) -> DataFrame:
         .otherwise(s),
     )
     docs = spread(table(spark, d, "documents")).select("doc_id", F.array_join(marked, "\n\n").alias("text"))
-    return parse.parse_markdown_blocks(docs, "doc_id").withColumn("heading_path", F.array_join("heading_path", " > "))
+    blocks = parse.parse_markdown_blocks(docs, "doc_id")
+    return blocks.select(
+        "doc_id", "kind", "block_order", "text", F.array_join("heading_path", " > ").alias("heading_path"),
+        F.coalesce("table_rows", F.lit(0)).alias("table_rows"), F.coalesce("table_columns", F.lit(0)).alias("table_columns"))
 
 
 def parse_html(spark: SparkSession, d: str) -> DataFrame:
@@ -247,7 +250,18 @@ define("route_in", """
            CASE WHEN doc_id % 11 = 0 THEN 'independent-text' WHEN doc_id % 13 = 0 THEN 'no-such-parser' END AS ov
     FROM documents""")
 
+define("md_blocks", f"""
+    SELECT *, max(CASE WHEN kind = 'heading' THEN i END) OVER (PARTITION BY doc_id ORDER BY i, part) AS head FROM (
+        SELECT doc_id, i, part, kind, CASE WHEN kind = 'table' THEN 'a' || chr(9) || 'b' || chr(10) || {strip("replace(s, '|', ' ')")} || chr(9) || 'x'
+                                           WHEN kind = 'code' THEN rtrim(s, {WS}) ELSE {strip('s')} END AS text
+        FROM md_lines, (VALUES (0, 0, 'heading'), (1, 0, 'list'), (1, 1, 'text'), (2, 0, 'code'), (3, 0, 'table'), (4, 0, 'text')) k(m, part, kind)
+        WHERE i % 5 = m) WHERE text <> ''""")
+
 ORACLE = {
+    "parse_markdown_blocks": query("""
+        SELECT b.doc_id, b.kind, CAST(row_number() OVER (PARTITION BY b.doc_id ORDER BY b.i, b.part) - 1 AS INTEGER) AS block_order, b.text, coalesce(h.text, '') AS heading_path,
+               CASE WHEN b.kind = 'table' THEN 2 ELSE 0 END AS table_rows, CASE WHEN b.kind = 'table' THEN 2 ELSE 0 END AS table_columns
+        FROM md_blocks b LEFT JOIN md_blocks h ON h.doc_id = b.doc_id AND h.i = b.head AND h.kind = 'heading'"""),
     "object_prefix": query("SELECT object_key, size_bytes FROM kb_versions WHERE object_key LIKE 'tenants/t1/d1%'"),
     "scan_by_status": query("""
         SELECT document_id, status, revision, strftime(created_at, '%Y-%m-%d') AS created FROM kb_documents

@@ -332,6 +332,13 @@ _SECRET_SQL = "(?i)\\b(password|passwd|api[_ -]?key|access[_ -]?token|authorizat
 _LOG_SQL = "(?i)\\b(api[_-]?key|authorization|password|secret(?:_key)?|token)\\b(\\s*[=:]\\s*)([^\\s,;]+)"
 
 ORACLE = {
+    # the documents hold no compatibility characters, so normalisation touches the added prefix only
+    "query_normalize": f"""
+        SELECT doc_id, t AS text, CASE WHEN length(t) > {MAX_QUERY_CHARACTERS} THEN 'query_too_long' ELSE '' END AS error_code
+        FROM (SELECT doc_id, trim('ALARM ' || regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM documents)""",
+    "redact_json": """
+        SELECT event_id, '{"API_KEY":"<redacted>","inner":{"db_password":"<redacted>","kind":"' || event_type || '"},"message":"token: <redacted>","raw":"'
+               || replace(props, '"', chr(92) || '"') || '"}' AS payload FROM events""",
     "query_language": """
         SELECT doc_id, CASE WHEN doc_id % 7 = 1 THEN 'und' WHEN doc_id % 7 = 0 AND 8000 > latin THEN 'zh' WHEN latin > 0 THEN 'en' ELSE 'und' END AS language
         FROM (SELECT doc_id, len(regexp_extract_all(text, '[A-Za-z]')) AS latin FROM documents)""",
