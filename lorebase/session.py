@@ -32,20 +32,13 @@ def local_session(cores: int | str = "*", app_name: str = "lorebase", **conf: st
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder under the checkpoint folder that every executor can reach.
 
-    The cluster names that folder in ``spark.checkpoint.dir``; only where it is unset
-    (tests on one machine) a temporary folder is used.
+    The cluster names that folder in ``spark.checkpoint.dir``. Only on one machine (``local[..]``) an
+    unset folder is replaced by a temporary one; on a cluster that is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{purpose}-{os.urandom(6).hex()}"
-
-
-def cut_lineage(df, *, eager: bool = True):
-    """Reliable checkpoint into the shared folder (survives executor loss)."""
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_dir(spark, "checkpoint"))
-    return df.checkpoint(eager=eager)
