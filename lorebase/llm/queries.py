@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from lorebase.llm import packing, records, tokens
+from lorebase.llm import licenses, packing, records, tokens, warc
 from lorebase.llm.common import table
 
 QUERIES = {
+    "op2_licenses": lambda spark, d: licenses.scan(table(spark, d, "documents")).drop("detections"),
     "op6_token_counts": lambda spark, d: tokens.token_counts(table(spark, d, "documents")),
+    "op7_warc": lambda spark, d: warc.archive_and_read(table(spark, d, "pages")).drop("url"),
     "op8_pack": lambda spark, d: packing.pack(table(spark, d, "documents")),
     "op10_records": lambda spark, d: records.write_and_read(table(spark, d, "documents")),
 }
