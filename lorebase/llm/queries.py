@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from lorebase.llm import licenses, packing, records, tokens, warc
+from lorebase.llm import licenses, packing, records, tokens, urls, warc
 from lorebase.llm.common import table
 
 QUERIES = {
+    "op1_urls": lambda spark, d: urls.judge(table(spark, d, "pages")),
     "op2_licenses": lambda spark, d: licenses.scan(table(spark, d, "documents")).drop("detections"),
     "op6_token_counts": lambda spark, d: tokens.token_counts(table(spark, d, "documents")),
     "op7_warc": lambda spark, d: warc.archive_and_read(table(spark, d, "pages")).drop("url"),
@@ -13,4 +14,6 @@ QUERIES = {
     "op10_records": lambda spark, d: records.write_and_read(table(spark, d, "documents")),
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op1_urls": urls.check_sql(),
+}
