@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from lorebase.llm import licenses, packing, records, tokens, urls, warc
+from lorebase.llm import htmltext, licenses, packing, records, tokens, urls, warc
 from lorebase.llm.common import table
 
 QUERIES = {
     "op1_urls": lambda spark, d: urls.judge(table(spark, d, "pages")),
     "op2_licenses": lambda spark, d: licenses.scan(table(spark, d, "documents")).drop("detections"),
+    "op5_main_text": lambda spark, d: htmltext.main_text(table(spark, d, "pages")),
     "op6_token_counts": lambda spark, d: tokens.token_counts(table(spark, d, "documents")),
     "op7_warc": lambda spark, d: warc.archive_and_read(table(spark, d, "pages")).drop("url"),
     "op8_pack": lambda spark, d: packing.pack(table(spark, d, "documents")),
