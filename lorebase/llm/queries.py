@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from lorebase.llm import htmltext, licenses, packing, quality, records, tokens, urls, warc
+from lorebase.llm import htmltext, jaccard, licenses, packing, quality, records, tokens, urls, warc
 from lorebase.llm.common import table
 
 QUERIES = {
     "op1_urls": lambda spark, d: urls.judge(table(spark, d, "pages")),
     "op2_licenses": lambda spark, d: licenses.scan(table(spark, d, "documents")).drop("detections"),
+    "op3_jaccard": lambda spark, d: jaccard.join(table(spark, d, "documents")),
     "op4_quality": lambda spark, d: quality.rate(table(spark, d, "documents")),
     "op5_main_text": lambda spark, d: htmltext.main_text(table(spark, d, "pages")),
     "op6_token_counts": lambda spark, d: tokens.token_counts(table(spark, d, "documents")),
