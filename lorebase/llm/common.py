@@ -9,6 +9,7 @@ from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lorebase.session import shared_dir
 
@@ -27,14 +28,18 @@ def stage(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a staged folder that no later plan reads."""
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+def stage_lookup(df: DataFrame, purpose: str, limit: int = 32 << 20) -> DataFrame:
+    """Stage a lookup table; where its files measure at most ``limit`` bytes, a join broadcasts it.
 
-
-def text_or_empty(value) -> str:
-    return value if value is not None else ""
+    Beyond the limit the same join shuffles both sides, so nothing unbounded is ever broadcast.
+    """
+    spark = df.sparkSession
+    path = shared_dir(spark, purpose)
+    df.write.parquet(path)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    size = folder.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(folder).getLength()
+    staged = spark.read.schema(df.schema).parquet(path)
+    return F.broadcast(staged) if size <= limit else staged
 
 
 def tokenizer_path(name: str) -> str:

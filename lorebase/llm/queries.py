@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from lorebase.llm import htmltext, jaccard, licenses, packing, quality, records, tokens, urls, warc
+import corpus_pipeline
+from lorebase.llm import decontaminate, htmltext, jaccard, licenses, packing, quality, records, tokens, urls, warc
 from lorebase.llm.common import table
 
 QUERIES = {
@@ -14,7 +15,9 @@ QUERIES = {
     "op6_token_counts": lambda spark, d: tokens.token_counts(table(spark, d, "documents")),
     "op7_warc": lambda spark, d: warc.archive_and_read(table(spark, d, "pages")).drop("url"),
     "op8_pack": lambda spark, d: packing.pack(table(spark, d, "documents")),
+    "op9_leaks": lambda spark, d: decontaminate.leaks(table(spark, d, "documents"), table(spark, d, "benchmark")),
     "op10_records": lambda spark, d: records.write_and_read(table(spark, d, "documents")),
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLE: dict[str, str] = {
