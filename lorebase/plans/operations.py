@@ -203,7 +203,7 @@ def mrr(spark: SparkSession, d: str) -> DataFrame:
 
 def citation_pr(spark: SparkSession, d: str) -> DataFrame:
     q, run, rels = _judgements(spark, d)
-    return evaluate.citation_scores(q, run.filter("rank <= 3"), rels).select(
+    return evaluate.citation_scores(q, run.filter(F.col("rank") <= K), rels).select(
         "query_id", F.round("citation_precision", 6).alias("citation_precision"), F.round("citation_recall", 6).alias("citation_recall"))
 
 
@@ -448,8 +448,8 @@ ORACLE = {
         SELECT q.query_id, round(CASE WHEN coalesce(p.n, 0) = 0 AND coalesce(w.n, 0) = 0 THEN 1 ELSE coalesce(b.n, 0) / greatest(1, coalesce(p.n, 0)) END, 6) AS citation_precision,
                round(CASE WHEN coalesce(w.n, 0) = 0 THEN 1 ELSE coalesce(b.n, 0) / w.n END, 6) AS citation_recall
         FROM queries q LEFT JOIN wanted w ON w.query_id = q.query_id
-        LEFT JOIN (SELECT query_id, count(DISTINCT item_id) AS n FROM run10 WHERE rank <= 3 GROUP BY 1) p ON p.query_id = q.query_id
-        LEFT JOIN (SELECT query_id, count(DISTINCT item_id) AS n FROM judged WHERE rank <= 3 AND relevance IS NOT NULL GROUP BY 1) b ON b.query_id = q.query_id"""),
+        LEFT JOIN (SELECT query_id, count(DISTINCT item_id) AS n FROM run10 GROUP BY 1) p ON p.query_id = q.query_id
+        LEFT JOIN (SELECT query_id, count(DISTINCT item_id) AS n FROM judged WHERE relevance IS NOT NULL GROUP BY 1) b ON b.query_id = q.query_id"""),
     "answer_score": query("""
         SELECT s.conv_id || ':' || s.turn AS answer_id, round(len(list_intersect(s.f, b.f)) / greatest(1, len(b.f)), 6) AS correctness,
                round(len(list_intersect(s.f, o.f)) / greatest(1, len(s.f)), 6) AS faithfulness, (s.conv_id % 3 = 0) = (s.role = 'user') AS refusal_correct

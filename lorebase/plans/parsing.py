@@ -103,7 +103,10 @@ def cells(spark: SparkSession, d: str) -> DataFrame:
 
 
 def cells_to_table(spark: SparkSession, d: str) -> DataFrame:
-    return parse.cells_to_tables(cells(spark, d))[0]
+    """One table block per sheet; a sheet over the row limit is a row with an error code instead."""
+    tables, rejected = parse.cells_to_tables(cells(spark, d))
+    failed = rejected.select("sheet", F.lit("").alias("text"), F.col("sheet_rows").alias("table_rows"), F.lit(0).alias("table_columns"), "error_code")
+    return tables.withColumn("error_code", F.lit("")).unionByName(failed)
 
 
 def words(spark: SparkSession, d: str) -> DataFrame:
@@ -274,9 +277,11 @@ ORACLE = {
         SELECT s.doc_id, s.block_order, s.kind, s.text, coalesce(array_to_string(p.path, ' > '), '') AS heading_path
         FROM md_sections s LEFT JOIN md_paths p ON p.doc_id = s.doc_id AND p.h = s.h"""),
     "cells_to_table": query("""
-        SELECT sheet, string_agg(array_to_string(v[1:last], chr(9)), chr(10) ORDER BY r) AS text,
-               count(*) AS table_rows, max(last) AS table_columns
-        FROM (SELECT *, list_max(list_transform(range(1, 6), lambda i: CASE WHEN v[i] <> '' THEN i END)) AS last FROM row_cells)
+        SELECT sheet, CASE WHEN any_value(total) > 100000 THEN '' ELSE string_agg(array_to_string(v[1:last], chr(9)), chr(10) ORDER BY r) END AS text,
+               CASE WHEN any_value(total) > 100000 THEN any_value(total) ELSE count(*) END AS table_rows,
+               CASE WHEN any_value(total) > 100000 THEN 0 ELSE max(last) END AS table_columns,
+               CASE WHEN any_value(total) > 100000 THEN 'parser_resource_limit' ELSE '' END AS error_code
+        FROM (SELECT *, count(*) OVER (PARTITION BY sheet) AS total, list_max(list_transform(range(1, 6), lambda i: CASE WHEN v[i] <> '' THEN i END)) AS last FROM row_cells)
         WHERE last IS NOT NULL GROUP BY sheet"""),
     # lines of the grid are 14 apart and words jitter by at most 2, so a grid line is a visual line
     "words_to_lines": query(f"""

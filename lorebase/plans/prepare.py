@@ -26,8 +26,12 @@ def query_normalize(spark: SparkSession, d: str) -> DataFrame:
 
 
 def query_language(spark: SparkSession, d: str) -> DataFrame:
-    wide = F.when(F.col("doc_id") % 7 == 0, F.repeat(F.lit("复位检查"), 2000)).when(F.col("doc_id") % 7 == 1, F.lit("12 ?")).otherwise("")
-    body = F.when(F.col("doc_id") % 7 == 1, wide).otherwise(F.concat(F.col("text"), wide))
+    """Whole texts: as they are, with Chinese text behind, or with their letters mapped to digits."""
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    body = (
+        F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.repeat(F.lit("复位检查"), 2000)))
+        .when(F.col("doc_id") % 7 == 1, F.translate("text", letters, "0" * len(letters))).otherwise(F.col("text"))
+    )
     return spread(table(spark, d, "documents")).select("doc_id", tx.language_hint(body).alias("language"))
 
 

@@ -242,7 +242,7 @@ def advanced_merge(spark: SparkSession, d: str) -> DataFrame:
     """Text hits as the base, vector hits as what a provider adds, active versions only."""
     corpus = Corpus(spark, d)
     versions = corpus.chunks.select("chunk_id", "document_version_id")
-    base = text_hits(corpus).filter("rank <= 10").select("query_id", "chunk_id", F.round(1 / F.col("rank"), 6).alias("final_score"))
+    base = text_hits(corpus).select("query_id", "chunk_id", F.round(1 / F.col("rank"), 6).alias("final_score"))
     extra = corpus.semantic(TOP_K).select("query_id", "chunk_id", F.round(1 / (F.col("rank") + 0.5), 6).alias("final_score"))
     return rank.merge_advanced(
         base.join(versions, "chunk_id"), extra.join(versions, "chunk_id"), _active(spark, d), 10
@@ -369,7 +369,7 @@ WORDS = "regexp_extract_all(replace(lower({0}), 'ß', 'ss'), '[\\p{{L}}\\p{{N}}_
 define("queries", """
     SELECT 'q' || item_id AS query_id, item_id, 't' || (item_id % 4) AS tenant_id, 'u' || (item_id % 7) AS actor_id,
            CASE WHEN item_id % 2 = 0 THEN ['editor'] ELSE ['reader'] END AS roles,
-           list_transform(range(0, 15), lambda i: 'src' || ((i + item_id) % 20)) AS knowledge_base_ids, text,
+           list_filter((SELECT list_sort(list(DISTINCT source)) FROM documents WHERE source IS NOT NULL), lambda s, i: (i - 1 + item_id) % 4 <> 0) AS knowledge_base_ids, text,
            CASE WHEN item_id % 6 = 5 THEN ['xx'] WHEN item_id % 3 = 1 THEN ['en', 'fr'] END AS languages
     FROM benchmark""")
 define("qterms", f"""
@@ -507,7 +507,7 @@ define("budgeted", f"""
     FROM budgeted b JOIN neighbour_order n ON n.query_id = b.query_id AND n.hit_chunk_id = b.hit_chunk_id AND n.r = b.r + 1""")
 define("qrels", """
     SELECT 'q' || b.item_id AS query_id, 'd' || d.doc_id AS document_id, CASE WHEN l.quality = 1 THEN 2 ELSE 1 END AS relevance
-    FROM benchmark b JOIN documents d ON contains(d.text, b.text) LEFT JOIN labels l ON l.doc_id = d.doc_id""")
+    FROM benchmark b JOIN documents d ON contains(d.text, b.text) AND b.text <> '' LEFT JOIN labels l ON l.doc_id = d.doc_id""")
 
 ORACLE = {
     "bm25_topk": query("SELECT * FROM text_hits"),
@@ -552,7 +552,7 @@ ORACLE = {
         SELECT query_id, chunk_id, final_score, CASE WHEN o = 1 THEN 'base' ELSE 'advanced' END AS origin, rank FROM (
             SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY final_score DESC, chunk_id) AS rank FROM (
                 SELECT query_id, chunk_id, max(final_score) AS final_score, max_by(o, row(final_score, o)) AS o FROM (
-                    SELECT query_id, chunk_id, round(1.0::DOUBLE / rank, 6) AS final_score, 1 AS o FROM text_hits WHERE rank <= 10
+                    SELECT query_id, chunk_id, round(1.0::DOUBLE / rank, 6) AS final_score, 1 AS o FROM text_hits
                     UNION ALL SELECT v.query_id, v.chunk_id, round(1.0::DOUBLE / (v.rank + 0.5::DOUBLE), 6), 0 FROM vector_hits v JOIN chunks c ON c.chunk_id = v.chunk_id
                     WHERE c.document_version_id IN (SELECT document_version_id FROM active_versions)) GROUP BY 1, 2)) WHERE rank <= 10"""),
     "authoritative_semi": query("""

@@ -125,56 +125,67 @@ def chunks(spark: SparkSession, d: str, limit: int = 64, overlap: int = 8) -> Da
 
 
 def queries(spark: SparkSession, d: str) -> DataFrame:
-    """One search request per benchmark item: the whole item text, a tenant, an actor, roles."""
+    """One search request per benchmark item: the whole item text, a tenant, an actor, roles.
+
+    A request may search three of four sources, whichever sources the documents have.
+    """
     n = F.col("item_id")
+    sources = table(spark, d, "documents").agg(F.sort_array(F.collect_set("source")).alias("s")).scalar()
     return table(spark, d, "benchmark").select(
         F.concat(F.lit("q"), n).alias("query_id"),
         n.alias("item_id"),
         F.concat(F.lit("t"), n % 4).alias("tenant_id"),
         F.concat(F.lit("u"), n % 7).alias("actor_id"),
         F.when(n % 2 == 0, F.array(F.lit("editor"))).otherwise(F.array(F.lit("reader"))).alias("roles"),
-        F.transform(
-            F.sequence(F.lit(0), F.lit(19)), lambda i: F.concat(F.lit("src"), (i + n) % 20)
-        ).alias("all_kbs"),
+        sources.alias("all_kbs"),
         "text",
         F.when(n % 6 == 5, F.array(F.lit("xx"))).when(n % 3 == 1, F.array(F.lit("en"), F.lit("fr"))).alias("languages"),
-    ).withColumn("knowledge_base_ids", F.slice("all_kbs", 1, 15)).drop("all_kbs")
+    ).withColumn("knowledge_base_ids", F.filter("all_kbs", lambda s, i: (i + F.col("item_id")) % 4 != 0)).drop("all_kbs")
+
+
+ANCHOR_WIDTH = 5
+GRAM = 3
 
 
 def qrels(spark: SparkSession, d: str) -> DataFrame:
     """Documents that contain the item text; relevance 2 when the document has quality label 1.
 
-    Containment is found by an equi-join on a five-word anchor taken from inside the item (inner
-    words stand between blanks, so they are whole words of any containing document) and verified
-    on the full texts. No pair of unrelated rows is ever formed.
+    Containment is found by an equi-join on an anchor and verified on the full texts, so no pair of
+    unrelated rows is ever formed. The inner words of an item stand between blanks and so are whole
+    words of any containing document: up to five of them are the anchor. An item of one or two words has
+    no inner word; its anchor is its first three characters. An empty item is in no document.
     """
-    width = 5
     items = (
         table(spark, d, "benchmark")
         .select("item_id", F.col("text").alias("item_text"), F.split("text", r"\s+").alias("w"))
-        .filter(F.size("w") >= width + 2)
-        .select("item_id", "item_text", F.xxhash64(F.slice("w", 2, width)).alias("anchor"))
+        .filter("item_text <> ''")
+        .withColumn("width", F.greatest(F.lit(0), F.least(F.lit(ANCHOR_WIDTH), F.size("w") - 2)))
+        .withColumn("anchor", F.when(F.col("width") > 0, F.xxhash64(F.slice("w", 2, F.greatest(F.col("width"), F.lit(1)))))
+                    .otherwise(F.xxhash64(F.substring("item_text", 1, GRAM))))
+        .withColumn("gram", F.when(F.col("width") == 0, F.least(F.lit(GRAM), F.length("item_text"))).otherwise(0))
+        .drop("w")
     )
     documents = table(spark, d, "documents").select("doc_id", "text")
-    spans = (
-        spread(documents).select("doc_id", F.split("text", r"\s+").alias("w"))
-        .filter(F.size("w") >= width)
-        .select(
-            "doc_id",
-            F.explode(
-                F.array_distinct(
-                    F.transform(
-                        F.sequence(F.lit(1), F.size("w") - width + 1),
-                        lambda i: F.xxhash64(F.slice("w", i, F.lit(width))),
-                    )
-                )
-            ).alias("anchor"),
-        )
-    )
+
+    def runs(width: int, gram: int) -> Column:
+        if width:
+            words = F.split("text", r"\s+")
+            hashes = tx.let(words, lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - width + 1), lambda i: F.xxhash64(F.slice(w, i, F.lit(width)))))
+            fits = F.size(words) >= width
+        else:
+            hashes = F.transform(F.sequence(F.lit(1), F.length("text") - gram + 1), lambda i: F.xxhash64(F.substring(F.col("text"), i, F.lit(gram))))
+            fits = F.length("text") >= gram
+        return F.explode(F.when(fits, F.array_distinct(hashes)))
+
+    kinds = sorted(map(tuple, items.select("width", "gram").distinct().collect()))  # at most five widths and three grams
+    pairs = None
+    for width, gram in kinds or [(ANCHOR_WIDTH, 0)]:
+        spans = spread(documents).select("doc_id", runs(width, gram).alias("anchor"))
+        met = spans.join(items.filter((F.col("width") == width) & (F.col("gram") == gram)), "anchor").select("doc_id", "item_id", "item_text")
+        pairs = met if pairs is None else pairs.unionByName(met)
     labels = table(spark, d, "labels").select("doc_id", "quality")
     return (
-        spans.join(items, "anchor")
-        .join(documents, "doc_id")
+        pairs.join(documents, "doc_id")
         .filter(F.contains("text", "item_text"))
         .join(labels, "doc_id", "left")
         .select(

@@ -1,5 +1,6 @@
 """Search and ranking: brute force, literal rankings, and plan shape."""
 
+import pytest
 import math
 
 import numpy as np
@@ -159,3 +160,26 @@ def test_index_plan_has_no_cross_join_and_no_posting_shuffle(spark, sf):
 
 def test_terms(spark):
     assert spark.sql("select 'Straße STRASSE' as t").select(words(F.col("t"))).first()[0] == ["strasse", "strasse"]
+
+
+def test_qrels_find_items_of_any_length(spark, tmp_path):
+    from lorebase.sources import derived
+
+    items = ["two words", "x", "déjà", "alpha beta gamma", "one two three four five six seven eight", "lone wolf in", "", "absent phrase of words"]
+    texts = [" ".join(["pad", *items[:6], "tail"]), "xtwo wordsx", "alpha beta gammas", "no match", None, "alpha beta", "ha"]
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, 1)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = sorted((r.query_id, r.document_id, r.relevance) for r in derived.qrels(spark, str(tmp_path)).collect())
+    want = [(f"q{i}", f"d{j}", 2 if j == 0 else 1) for i, a in enumerate(items) for j, t in enumerate(texts) if a and t is not None and a in t]
+    assert got == sorted(want)
+
+
+def test_staging_needs_a_shared_folder_on_a_cluster(spark):
+    from types import SimpleNamespace
+
+    from lorebase.session import shared_dir
+
+    cluster = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(ValueError):
+        shared_dir(cluster, "x")

@@ -69,3 +69,13 @@ def test_names_and_digests(spark):
     assert one(spark, tx.safe_name(F.col("t")), t="..__") == "source"
     assert one(spark, ids.filter_digest(F.lit(None).cast("struct<a:int>")), t="") == "none"
     assert rows(spark.createDataFrame([("",), ("abcde",)], ["t"]).select(tx.token_estimate(F.col("t")))) == [(1,), (2,)]
+
+
+def test_redact_json_strings_keys_and_lines(spark):
+    cases = {
+        '{"x": [{"token": {"deep": [1, 2]}}, "token=1 ok"], "a:b": "say \\"password: p\\" now", "API_KEY": null}':
+            '{"API_KEY":"<redacted>","a:b":"say \\"password: <redacted> now","x":[{"token":"<redacted>"},"token=<redacted> ok"]}',
+        '"secret=abc"': '"secret=<redacted>"', "token=abc not json": "token=<redacted> not json", "[1, true, null]": "[1,true,null]", '{"k": "https://u:p@h"}': '{"k":"https://<redacted>@h"}',
+    }
+    for text, want in cases.items():
+        assert one(spark, tx.redact_json(F.col("t")), t=text) == want
