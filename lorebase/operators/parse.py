@@ -168,107 +168,90 @@ def scan_markdown(text: str) -> _Blocks:
     return blocks
 
 
-class _HtmlScanner(HTMLParser):
-    """Blocks in document order; ``p`` is closed by the next block element, as in HTML5."""
-
-    SKIPPED = ("script", "style", "noscript", "template")
-    HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
-    CLOSES_P = HEADINGS + (
-        "p", "ul", "ol", "li", "table", "pre", "div", "article", "section", "nav",
-        "footer", "header", "main", "aside", "blockquote", "form", "hr",
-    )
+HTML_SKIPPED = ("script", "style", "noscript", "template")
+HTML_HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
+HTML_BLOCKS = {**dict.fromkeys(HTML_HEADINGS, "heading"), "p": "text", "li": "list", "pre": "code", "table": "table"}
+HTML_CLOSES_P = (
+    *HTML_BLOCKS, "ul", "ol", "div", "article", "section", "nav", "footer", "header", "main", "aside", "blockquote", "form", "hr",
+)
+
+
+class _HtmlEvents(HTMLParser):
+    """Elements that make blocks, in opening order; text goes to every element that is open around it.
+
+    ``p`` is closed by the next block element, as in HTML5.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.blocks, self.open, self.skip = _Blocks(), [], 0
-        self.rows: list[list[list[str]]] = []
-        self.header = False
-        self.items, self.tables = 0, 0
-
-    def _collect(self, kind: str) -> None:
-        self.open.append((kind, [], len(self.blocks), self.items, self.tables))
+        self.found: list[dict] = []
+        self.open: list[dict] = []
+        self.skip = 0
 
-    def _finish(self, kind: str) -> None:
-        if not any(entry[0] == kind for entry in self.open):
-            return
-        while self.open:
-            name, parts, place, items, tables = self.open.pop()
-            self._emit(name, " ".join(parts), items, tables)
-            if name == kind:
-                break
-
-    def _emit(self, name: str, value: str, items: int, tables: int) -> None:
-        if not value:
-            return
-        if name in self.HEADINGS:
-            self.blocks.heading(int(name[1]), value)
-        elif not items and not tables:
-            self.blocks.put({"li": "list", "pre": "code"}.get(name, "text"), value)
-
-    def handle_starttag(self, tag, attrs) -> None:
-        if tag in self.SKIPPED:
-            self.skip += 1
-            return
+    def handle_starttag(self, tag: str, attrs: list) -> None:
+        self.skip += tag in HTML_SKIPPED
         if self.skip:
             return
-        if tag in self.CLOSES_P and any(entry[0] == "p" for entry in self.open):
-            self._finish("p")
-        if tag == "table":
-            self.tables += 1
-            if self.tables == 1:
-                self.rows, self.header = [], False
-        elif tag == "tr" and self.tables:
-            self.rows.append([])
-        elif tag in ("td", "th") and self.tables:
-            self.header = self.header or tag == "th"
-            if not self.rows:
-                self.rows.append([])
-            self.rows[-1].append([])
-        elif tag == "img":
-            values = dict(attrs)
-            alt = (values.get("alt") or "embedded image").strip()
-            source = values.get("src") or f"image-{len(self.blocks)}"
-            self.blocks.put("image", alt, image=source)
-        elif tag == "li":
-            self._collect("li")
-            self.items += 1
-        elif tag in self.HEADINGS or tag in ("p", "pre"):
-            self._collect(tag)
-
-    def handle_endtag(self, tag) -> None:
-        if tag in self.SKIPPED:
+        if tag in HTML_CLOSES_P:
+            self._close("p")
+        around = {e["tag"] for e in self.open}
+        if tag == "img":
+            known = dict(attrs)
+            self.found.append({"tag": tag, "parts": [(known.get("alt") or "embedded image").strip()], "source": known.get("src")})
+        elif tag in HTML_BLOCKS:
+            inner = tag == "table" and "table" in around or tag in ("p", "li", "pre") and not around.isdisjoint(("li", "table"))
+            element = {"tag": tag, "parts": [], "rows": [], "header": False, "inner": inner}
+            self.open.append(element)
+            self.found.append(element)
+        elif tag == "tr":
+            self._grid(lambda e: e["rows"].append([]))
+        elif tag in ("td", "th"):
+            self._grid(lambda e: ((e["rows"] or e["rows"].append([]) or e["rows"])[-1].append([]), e.update(header=e["header"] or tag == "th")))
+
+    def _grid(self, change) -> None:
+        for element in self.open:
+            if element["tag"] == "table":
+                change(element)
+                return
+
+    def _close(self, tag: str) -> None:
+        for depth in range(len(self.open) - 1, -1, -1):
+            if self.open[depth]["tag"] == tag:
+                del self.open[depth:]
+                return
+
+    def handle_endtag(self, tag: str) -> None:
+        if tag in HTML_SKIPPED:
             self.skip = max(0, self.skip - 1)
-        elif self.skip:
-            return
-        elif tag == "table" and self.tables:
-            self.tables -= 1
-            if not self.tables:
-                rows = [[" ".join(cell) for cell in row] for row in self.rows]
-                self.blocks.grid([row for row in rows if any(row)], self.header)
-        elif tag == "li" and self.items:
-            self.items -= 1
-            self._finish("li")
-        elif tag in self.HEADINGS or tag in ("p", "pre"):
-            self._finish(tag)
-
-    def handle_data(self, data) -> None:
-        value = data.strip()
-        if not value or self.skip:
-            return
-        if self.tables:
-            if self.rows and self.rows[-1]:
-                self.rows[-1][-1].append(value)
-        for entry in self.open:
-            entry[1].append(value)
+        elif not self.skip:
+            self._close(tag)
+
+    def handle_data(self, data: str) -> None:
+        if (value := data.strip()) and not self.skip:
+            for element in self.open:
+                element["parts"].append(value)
+                if element["tag"] == "table" and element["rows"] and element["rows"][-1]:
+                    element["rows"][-1][-1].append(value)
 
 
 def scan_html(markup: str) -> _Blocks:
-    scanner = _HtmlScanner()
-    scanner.feed(markup)
-    scanner.close()
-    while scanner.open:
-        scanner._finish(scanner.open[-1][0])
-    return scanner.blocks
+    """Blocks of a page in the order in which their elements open."""
+    events, blocks = _HtmlEvents(), _Blocks()
+    events.feed(markup)
+    events.close()
+    for element in events.found:
+        tag, text = element["tag"], " ".join(element["parts"])
+        if tag == "img":
+            blocks.put("image", text, image=element["source"] or f"image-{len(blocks)}")
+        elif tag == "table":
+            if not element["inner"]:
+                rows = [[" ".join(cell) for cell in row] for row in element["rows"]]
+                blocks.grid([row for row in rows if any(row)], element["header"])
+        elif text and tag in HTML_HEADINGS:
+            blocks.heading(int(tag[1]), text)
+        elif text and not element["inner"]:
+            blocks.put(HTML_BLOCKS[tag], text)
+    return blocks
 
 
 def _scanned(df: DataFrame, key: str, source: str, scanner) -> DataFrame:

@@ -77,8 +77,11 @@ def parse_markdown_blocks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def parse_html(spark: SparkSession, d: str) -> DataFrame:
-    return parse.parse_html(spread(table(spark, d, "pages")), "page_id").withColumn(
-        "heading_path", F.array_join("heading_path", " > ")
+    zero = F.lit(0)
+    return parse.parse_html(spread(table(spark, d, "pages")), "page_id").select(
+        "page_id", "kind", "block_order", "text", F.array_join("heading_path", " > ").alias("heading_path"),
+        F.coalesce("table_rows", zero).alias("table_rows"), F.coalesce("table_columns", zero).alias("table_columns"),
+        F.coalesce("has_header", F.lit(False)).alias("has_header"), F.coalesce("image_ref", F.lit("")).alias("image_ref"),
     )
 
 
@@ -276,6 +279,25 @@ ORACLE = {
     "parse_markdown": query("""
         SELECT s.doc_id, s.block_order, s.kind, s.text, coalesce(array_to_string(p.path, ' > '), '') AS heading_path
         FROM md_sections s LEFT JOIN md_paths p ON p.doc_id = s.doc_id AND p.h = s.h"""),
+    # pages hold h1, p and li blocks only, none inside another; a text belongs to the block opened or closed last
+    "parse_html": ("""
+        WITH tokens AS (
+            SELECT page_id, unnest(t) AS token, generate_subscripts(t, 1) AS pos FROM (
+                SELECT page_id, regexp_extract_all(regexp_replace(html, '(?is)<(?:script|style)>.*?</(?:script|style)>|<!--.*?-->', '', 'g'), '<[^>]*>|[^<]+') AS t FROM pages)
+        ), marked AS (
+            SELECT *, CASE WHEN regexp_matches(token, '^<(?:h1|p|li)>$') THEN token
+                           WHEN regexp_matches(token, '^</?(?:h1|p|li|ul|div|article|nav|footer)(?: [^>]*)?>$') THEN '' END AS mark FROM tokens
+        ), grouped AS (SELECT *, count(mark) OVER (PARTITION BY page_id ORDER BY pos) AS g FROM marked
+        ), blocks AS (
+            SELECT page_id, g, max(mark) AS mark, string_agg(v, ' ' ORDER BY pos) AS text
+            FROM (SELECT *, CASE WHEN token NOT LIKE '<%' THEN nullif(""" + strip("replace(replace(replace(replace(replace(token, '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&#x27;', chr(39)), '&amp;', '&')") + """, '') END AS v FROM grouped)
+            GROUP BY ALL HAVING max(mark) <> '' AND count(v) > 0
+        )
+        SELECT page_id, CASE mark WHEN '<h1>' THEN 'heading' WHEN '<p>' THEN 'text' ELSE 'list' END AS kind,
+               CAST(row_number() OVER (PARTITION BY page_id ORDER BY g) - 1 AS INTEGER) AS block_order, text,
+               coalesce(last_value(CASE WHEN mark = '<h1>' THEN text END IGNORE NULLS) OVER (PARTITION BY page_id ORDER BY g), '') AS heading_path,
+               0 AS table_rows, 0 AS table_columns, false AS has_header, '' AS image_ref
+        FROM blocks"""),
     "cells_to_table": query("""
         SELECT sheet, CASE WHEN any_value(total) > 100000 THEN '' ELSE string_agg(array_to_string(v[1:last], chr(9)), chr(10) ORDER BY r) END AS text,
                CASE WHEN any_value(total) > 100000 THEN any_value(total) ELSE count(*) END AS table_rows,

@@ -136,3 +136,13 @@ def test_sheet_limit_and_trimming(spark):
     tables, rejected = parse.cells_to_tables(cells, max_rows=3)
     assert rows(tables.select("sheet", "text", "table_rows", "table_columns")) == [("s", "a\n\tb", 2, 2)]
     assert rows(rejected.select("sheet", "error_code")) == [("big", "parser_resource_limit")]
+
+
+def test_html_blocks_come_in_opening_order():
+    scan = lambda markup: [(b[0], b[2], b[3]) for b in parse.scan_html(markup)]
+    assert scan("<p>hello <img alt=pic> tail</p>") == [("text", "hello tail", []), ("image", "pic", [])]
+    assert scan("<ul><li>a <h2>H</h2> b</li></ul><p>c") == [("list", "a H b", []), ("heading", "H", ["H"]), ("text", "c", ["H"])]
+    got = scan("<table><tr><th>k</th><td>v <img alt=i></td></tr></table>")
+    assert [kind for kind, _, _ in got] == ["table", "image"] and got[0][1] == "k\tv"
+    assert scan("<ul><li>out<ul><li>in</li></ul></li></ul>") == [("list", "out in", [])]
+    assert scan("<script>x</script><p>a<p>b<div>c</div>") == [("text", "a", []), ("text", "b", [])]
