@@ -169,9 +169,13 @@ def staged_retrieve(
     score: Callable[[DataFrame], DataFrame],
     *,
     top_n: int = FINAL_TOP_K,
+    failures: DataFrame | None = None,
 ) -> DataFrame:
     """Run all attempts as one more key and keep, per query, the first that selects anything.
 
+    ``failures`` has one row ``(query_id, attempt)`` per attempt in which a channel failed. An attempt
+    that selects nothing while a channel failed ends the query: later attempts are not served.
+
     Pools are channel hits ``(query_id, pool, chunk_id, document_id, score, rank)`` ranked to the
     expanded size; pool ``filtered`` respects the inferred filter, ``free`` ignores it. Channel
     results are at most a few hundred rows per query, so five attempts cost less than five plans,
@@ -187,8 +191,12 @@ def staged_retrieve(
     fused = reciprocal_rank_fusion(channel(text_pools, "vector_only"), channel(vector_pools, "full_text_only"), keys=keys)
     ranked = rerank(score(fused), keys=keys).join(attempts, list(keys))
     cleaned = clean_candidates(ranked, threshold=F.col("threshold"), top_k=top_n, keys=keys).filter("selected")
-    first = cleaned.groupBy("query_id").agg(F.min("attempt").alias("attempt"))
-    return cleaned.join(first, list(keys))
+    served = cleaned.withColumn("_first", F.min("attempt").over(Window.partitionBy("query_id"))).filter("attempt = _first").drop("_first")
+    if failures is None:
+        return served
+    broken = failures.groupBy("query_id").agg(F.min("attempt").alias("_broken"))
+    kept = F.col("_broken").isNull() | (F.col("attempt") <= F.col("_broken"))
+    return served.join(broken, "query_id", "left").filter(kept).drop("_broken")
 
 
 def attempt_status(selected: Column, failed_channels: Column) -> Column:
@@ -224,12 +232,22 @@ def manifest_decision(
         "usable", F.col("fallback_reason").isNull())
 
 
-def merge_advanced(base: DataFrame, extra: DataFrame, active: DataFrame, top_n: int) -> DataFrame:
-    """Base candidates united with provider candidates of active versions; higher score wins.
+def merge_advanced(base: DataFrame, extra: DataFrame, active: DataFrame, decisions: DataFrame, top_n: int) -> DataFrame:
+    """Base candidates united with admissible provider candidates; higher score wins, base keeps ties.
 
-    ``base``/``extra``: query_id, chunk_id, document_version_id, final_score. Base keeps ties.
+    ``base``/``extra``: query_id, chunk_id, final_score; ``extra`` also has the candidate's tenant_id,
+    knowledge_base_id and document_version_id and the asking ``request_tenant``. A provider's candidate counts
+    only in the asking tenant, in a knowledge base whose manifest is usable (``decisions``), and with a version
+    that is active there.
     """
-    scoped = extra.join(active.select("document_version_id"), "document_version_id", "left_semi")
+    scope = ["tenant_id", "knowledge_base_id"]
+    scoped = (
+        extra.filter(F.col("tenant_id") == F.col("request_tenant"))
+        .join(decisions.filter("usable").select(*scope), scope, "left_semi")
+        .join(active.select(*scope, "document_version_id"), [*scope, "document_version_id"], "left_semi")
+    )
+    names = ["query_id", "chunk_id", "final_score"]
+    base, scoped = base.select(*names), scoped.select(*names)
     both = base.withColumn("origin", F.lit(1)).unionByName(scoped.withColumn("origin", F.lit(0)))
     best = both.groupBy("query_id", "chunk_id").agg(F.max(F.struct("final_score", "origin")).alias("b")).select(
         "query_id", "chunk_id", F.col("b.final_score").alias("final_score"),

@@ -11,6 +11,7 @@ from lorebase.plans import retrieval
 from lorebase.plans.sqlkit import define, query
 from lorebase.session import shared_dir
 from lorebase.sources import derived, files, sinks
+from lorebase.sources.staging import materialized
 from lorebase.sources.tables import table
 
 
@@ -285,11 +286,11 @@ def trace_store(spark: SparkSession, d: str) -> DataFrame:
 
 def ablation(spark: SparkSession, d: str) -> DataFrame:
     corpus = retrieval.Corpus(spark, d)
-    text, vector = retrieval.text_hits(corpus), corpus.semantic(retrieval.TOP_K)
-    fused = rank.reciprocal_rank_fusion(text, vector)
+    fused = materialized(retrieval.fused(corpus), "fused")  # holds the ranks of both channels
+    text, vector = (fused.filter(f"{r} IS NOT NULL") for r in ("full_text_rank", "vector_rank"))
     reranked = rank.rerank(retrieval.score_candidates(fused))
     shape = lambda df, r: df.select("query_id", F.col(r).alias("rank"), F.col("document_id").alias("item_id"))
-    runs = {"text": shape(text, "rank"), "vector": shape(vector, "rank"), "hybrid": shape(fused, "fusion_rank"), "reranked": shape(reranked, "rerank_rank")}
+    runs = {"text": shape(text, "full_text_rank"), "vector": shape(vector, "vector_rank"), "hybrid": shape(fused, "fusion_rank"), "reranked": shape(reranked, "rerank_rank")}
     rels = derived.qrels(spark, d).withColumnRenamed("document_id", "item_id")
     return evaluate.ablation(corpus.queries, runs, rels, K).select("channel", *[F.round(c, 6).alias(c) for c in ("recall", "mrr", "ndcg")])
 

@@ -10,7 +10,7 @@ from lorebase.functions.vectors import hash_embedding, unit
 from lorebase.operators import index, rank, search, vector
 from lorebase.plans.sqlkit import define, query
 from lorebase.sources import derived
-from lorebase.sources.staging import staged
+from lorebase.sources.staging import materialized, staged
 from lorebase.sources.tables import table
 
 DIMS = 64
@@ -86,8 +86,8 @@ def score_candidates(candidates: DataFrame) -> DataFrame:
     return candidates.withColumn("rerank_score", F.when(item % 5 != 0, F.round(value, 6)))
 
 
-def cleaned(corpus: Corpus) -> DataFrame:
-    ranked = rank.rerank(score_candidates(fused(corpus)))
+def cleaned(corpus: Corpus, every: DataFrame | None = None) -> DataFrame:
+    ranked = rank.rerank(score_candidates(fused(corpus) if every is None else every))
     return rank.clean_candidates(ranked, threshold=0.015)
 
 
@@ -204,17 +204,19 @@ def fallback_retrieve(spark: SparkSession, d: str) -> DataFrame:
 
 
 def channel_status(spark: SparkSession, d: str) -> DataFrame:
-    """Channel failures (from the request log) against what each query still selected."""
+    """Staged retrieval under channel failures (from the request log): what every query came to."""
     corpus = Corpus(spark, d)
-    hits = text_hits(corpus).groupBy("query_id").agg(F.count(F.lit(1)).alias("selected"))
-    failures = (
-        table(spark, d, "events").filter("event_type = 'error'").groupBy("user_id")
-        .agg(F.count_if(F.col("value") > 150).alias("failed"))
-        .select(F.concat(F.lit("q"), "user_id").alias("query_id"), "failed")
+    failures = materialized(
+        table(spark, d, "events").filter("event_type = 'error' AND value > 150")
+        .select(F.concat(F.lit("q"), "user_id").alias("query_id"), (F.col("event_id") % 5).cast("int").alias("attempt")).distinct(), "failures",
     )
-    joined = corpus.queries.select("query_id", "item_id").join(hits, "query_id", "left").join(failures, "query_id", "left")
-    chosen = F.when(F.col("item_id") % 3 == 0, 0).otherwise(F.coalesce("selected", F.lit(0)))
-    return joined.select("query_id", rank.attempt_status(chosen, F.coalesce("failed", F.lit(0))).alias("status"))
+    attempts = rank.fallback_attempts(corpus.queries.withColumn("top_k", F.lit(TOP_K)), normal=THRESHOLD, floor=FLOOR)
+    served = rank.staged_retrieve(attempts, *fallback_pools(corpus), score_candidates, failures=failures)
+    chosen = served.groupBy("query_id").agg(F.count(F.lit(1)).alias("selected"))
+    broken = failures.groupBy("query_id").agg(F.count(F.lit(1)).alias("failed"))
+    joined = corpus.queries.select("query_id").join(chosen, "query_id", "left").join(broken, "query_id", "left")
+    zero = F.lit(0)
+    return joined.select("query_id", rank.attempt_status(F.coalesce("selected", zero), F.coalesce("failed", zero)).alias("status"), F.coalesce("selected", zero).alias("selected"))
 
 
 def _active(spark: SparkSession, d: str) -> DataFrame:
@@ -222,7 +224,7 @@ def _active(spark: SparkSession, d: str) -> DataFrame:
         "tenant_id", "knowledge_base_id", F.col("current_version_id").alias("document_version_id"))
 
 
-def manifest_check(spark: SparkSession, d: str) -> DataFrame:
+def _decisions(spark: SparkSession, d: str) -> DataFrame:
     """One keyword manifest per knowledge base, in seven states; some cover versions now inactive."""
     capability = F.lit("keywords").alias("capability")
     docs = derived.kb_documents(spark, d).withColumn("n", F.pmod(F.substring("knowledge_base_id", 4, 9).cast("int"), F.lit(7)))
@@ -234,18 +236,23 @@ def manifest_check(spark: SparkSession, d: str) -> DataFrame:
         F.when(n == 5, "other").otherwise(F.col("knowledge_base_id")).alias("built_kb"))
     covered = docs.select("tenant_id", "knowledge_base_id", capability, F.when(n == 6, F.col("document_version_id")).otherwise(F.col("current_version_id")).alias("document_version_id")).filter(
         "document_version_id is not null")
-    return rank.manifest_decision(bases.select("tenant_id", "knowledge_base_id", capability), manifests, covered, _active(spark, d)).select(
+    return rank.manifest_decision(bases.select("tenant_id", "knowledge_base_id", capability), manifests, covered, _active(spark, d))
+
+
+def manifest_check(spark: SparkSession, d: str) -> DataFrame:
+    return _decisions(spark, d).select(
         "tenant_id", "knowledge_base_id", F.coalesce("fallback_reason", F.lit("")).alias("fallback_reason"), "usable")
 
 
 def advanced_merge(spark: SparkSession, d: str) -> DataFrame:
-    """Text hits as the base, vector hits as what a provider adds, active versions only."""
+    """Text hits as the base, vector hits as what a provider adds where manifest, scope and version allow it."""
     corpus = Corpus(spark, d)
-    versions = corpus.chunks.select("chunk_id", "document_version_id")
+    scope = corpus.chunks.select("chunk_id", "tenant_id", "knowledge_base_id", "document_version_id")
+    asking = corpus.queries.select("query_id", F.col("tenant_id").alias("request_tenant"))
     base = text_hits(corpus).select("query_id", "chunk_id", F.round(1 / F.col("rank"), 6).alias("final_score"))
     extra = corpus.semantic(TOP_K).select("query_id", "chunk_id", F.round(1 / (F.col("rank") + 0.5), 6).alias("final_score"))
     return rank.merge_advanced(
-        base.join(versions, "chunk_id"), extra.join(versions, "chunk_id"), _active(spark, d), 10
+        base, extra.join(scope, "chunk_id").join(asking, "query_id"), _active(spark, d), _decisions(spark, d), 10
     ).select("query_id", "chunk_id", "final_score", "origin", "rank")
 
 
@@ -312,8 +319,8 @@ def evidence_rows(spark: SparkSession, d: str) -> DataFrame:
 
 def trace_candidates(spark: SparkSession, d: str) -> DataFrame:
     corpus = Corpus(spark, d)
-    every = fused(corpus)
-    outcome = cleaned(corpus).select("query_id", "chunk_id", "rerank_rank", "selected", "final_rank", "exclusion_reason")
+    every = materialized(fused(corpus), "fused")
+    outcome = cleaned(corpus, every).select("query_id", "chunk_id", "rerank_rank", "selected", "final_rank", "exclusion_reason")
     zero = F.lit(0)
     return every.join(outcome, ["query_id", "chunk_id"], "left").select(
         "query_id", "chunk_id", "fusion_rank", F.coalesce("full_text_rank", zero).alias("full_text_rank"),
@@ -324,7 +331,8 @@ def trace_candidates(spark: SparkSession, d: str) -> DataFrame:
 
 def trace_stages(spark: SparkSession, d: str) -> DataFrame:
     corpus = Corpus(spark, d)
-    return rank.trace_stages(fused(corpus), cleaned(corpus))
+    every = materialized(fused(corpus), "fused")
+    return rank.trace_stages(every, cleaned(corpus, every))
 
 
 def hybrid_answer(spark: SparkSession, d: str) -> DataFrame:
@@ -505,6 +513,10 @@ define("budgeted", f"""
     SELECT n.query_id, n.hit_chunk_id, n.r, b.used + CASE WHEN b.used + n.token_count <= {CONTEXT_TOKENS} THEN n.token_count ELSE 0 END,
            b.used + n.token_count <= {CONTEXT_TOKENS}, n.chunk_id
     FROM budgeted b JOIN neighbour_order n ON n.query_id = b.query_id AND n.hit_chunk_id = b.hit_chunk_id AND n.r = b.r + 1""")
+define("manifest_reasons", """
+    SELECT tenant_id, knowledge_base_id, CASE n WHEN 1 THEN 'index_missing' WHEN 2 THEN 'schema_incompatible' WHEN 3 THEN 'index_incomplete'
+                   WHEN 4 THEN 'capability_mismatch' WHEN 5 THEN 'scope_mismatch' WHEN 6 THEN CASE WHEN dead > 0 THEN 'stale_document_version' ELSE '' END ELSE '' END AS reason
+            FROM (SELECT tenant_id, knowledge_base_id, CAST(substr(knowledge_base_id, 4) AS INTEGER) % 7 AS n, count(*) FILTER (WHERE current_version_id IS NULL) AS dead FROM kb_documents GROUP BY ALL)""")
 define("qrels", """
     SELECT 'q' || b.item_id AS query_id, 'd' || d.doc_id AS document_id, CASE WHEN l.quality = 1 THEN 2 ELSE 1 END AS relevance
     FROM benchmark b JOIN documents d ON contains(d.text, b.text) AND b.text <> '' LEFT JOIN labels l ON l.doc_id = d.doc_id""")
@@ -540,21 +552,23 @@ ORACLE = {
         SELECT s.query_id, s.attempt, s.mode, s.chunk_id, CAST(s.final_rank AS BIGINT) AS final_rank, round(s.final_score, 6) AS final_score FROM attempt_selected s
         JOIN (SELECT query_id, min(attempt) AS attempt FROM attempt_selected WHERE selected GROUP BY 1) f ON f.query_id = s.query_id AND f.attempt = s.attempt WHERE s.selected"""),
     "channel_status": query("""
-        SELECT q.query_id, CASE WHEN q.item_id % 3 <> 0 AND h.query_id IS NOT NULL THEN 'success' WHEN coalesce(f.failed, 0) > 0 THEN 'failed' ELSE 'no_evidence' END AS status
-        FROM queries q LEFT JOIN (SELECT DISTINCT query_id FROM text_hits) h ON h.query_id = q.query_id
-        LEFT JOIN (SELECT 'q' || user_id AS query_id, count(*) FILTER (WHERE value > 150) AS failed FROM events WHERE event_type = 'error' GROUP BY 1) f ON f.query_id = q.query_id"""),
+        SELECT q.query_id, CASE WHEN s.n > 0 AND (f.attempt IS NULL OR s.attempt <= f.attempt) THEN 'success' WHEN f.attempt IS NOT NULL THEN 'failed' ELSE 'no_evidence' END AS status,
+               CASE WHEN f.attempt IS NULL OR s.attempt <= f.attempt THEN coalesce(s.n, 0) ELSE 0 END AS selected
+        FROM queries q LEFT JOIN (SELECT query_id, attempt, n FROM (SELECT query_id, attempt, count(*) AS n, min(attempt) OVER (PARTITION BY query_id) AS first FROM attempt_selected WHERE selected GROUP BY 1, 2)
+            WHERE attempt = first) s ON s.query_id = q.query_id
+        LEFT JOIN (SELECT 'q' || user_id AS query_id, min(event_id % 5) AS attempt FROM events WHERE event_type = 'error' AND value > 150 GROUP BY 1) f ON f.query_id = q.query_id"""),
     "manifest_check": query("""
-        SELECT tenant_id, knowledge_base_id, reason AS fallback_reason, reason = '' AS usable FROM (
-            SELECT tenant_id, knowledge_base_id, CASE n WHEN 1 THEN 'index_missing' WHEN 2 THEN 'schema_incompatible' WHEN 3 THEN 'index_incomplete'
-                   WHEN 4 THEN 'capability_mismatch' WHEN 5 THEN 'scope_mismatch' WHEN 6 THEN CASE WHEN dead > 0 THEN 'stale_document_version' ELSE '' END ELSE '' END AS reason
-            FROM (SELECT tenant_id, knowledge_base_id, CAST(substr(knowledge_base_id, 4) AS INTEGER) % 7 AS n, count(*) FILTER (WHERE current_version_id IS NULL) AS dead FROM kb_documents GROUP BY ALL))"""),
+        SELECT tenant_id, knowledge_base_id, reason AS fallback_reason, reason = '' AS usable FROM manifest_reasons"""),
     "advanced_merge": query("""
         SELECT query_id, chunk_id, final_score, CASE WHEN o = 1 THEN 'base' ELSE 'advanced' END AS origin, rank FROM (
             SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY final_score DESC, chunk_id) AS rank FROM (
                 SELECT query_id, chunk_id, max(final_score) AS final_score, max_by(o, row(final_score, o)) AS o FROM (
                     SELECT query_id, chunk_id, round(1.0::DOUBLE / rank, 6) AS final_score, 1 AS o FROM text_hits
                     UNION ALL SELECT v.query_id, v.chunk_id, round(1.0::DOUBLE / (v.rank + 0.5::DOUBLE), 6), 0 FROM vector_hits v JOIN chunks c ON c.chunk_id = v.chunk_id
-                    WHERE c.document_version_id IN (SELECT document_version_id FROM active_versions)) GROUP BY 1, 2)) WHERE rank <= 10"""),
+                    JOIN queries q ON q.query_id = v.query_id AND q.tenant_id = c.tenant_id
+                    SEMI JOIN (SELECT * FROM manifest_reasons WHERE reason = '') m ON m.tenant_id = c.tenant_id AND m.knowledge_base_id = c.knowledge_base_id
+                    SEMI JOIN active_versions a ON a.tenant_id = c.tenant_id AND a.knowledge_base_id = c.knowledge_base_id AND a.document_version_id = c.document_version_id
+                    ) GROUP BY 1, 2)) WHERE rank <= 10"""),
     "authoritative_semi": query("""
         SELECT h.query_id, h.chunk_id, c.document_version_id, h.rank FROM text_hits h JOIN chunks c ON c.chunk_id = h.chunk_id
         SEMI JOIN active_versions a ON a.tenant_id = c.tenant_id AND a.knowledge_base_id = c.knowledge_base_id AND a.document_version_id = c.document_version_id"""),

@@ -53,3 +53,10 @@ def staged(
             )
         _LOCATIONS[key] = location
     return spark.read.parquet(location) if bucket_by is None else spark.table(table_name)
+
+
+def materialized(frame: DataFrame, name: str) -> DataFrame:
+    """Write an intermediate result once so that several branches of one plan read it, not its sources again."""
+    location = shared_dir(frame.sparkSession, name)
+    frame.write.parquet(location)
+    return frame.sparkSession.read.schema(frame.schema).parquet(location)

@@ -183,3 +183,29 @@ def test_staging_needs_a_shared_folder_on_a_cluster(spark):
     cluster = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="spark://host:7077"))
     with pytest.raises(ValueError):
         shared_dir(cluster, "x")
+
+
+def test_failed_channel_ends_the_attempts(spark):
+    from lorebase.operators import rank
+
+    pool = "query_id string, pool string, chunk_id string, document_id string, score double, rank int"
+    hits = spark.createDataFrame([(q, "free", "c1", "d1", 1.0, 1) for q in "abc"] + [("d", "filtered", "c1", "d1", 1.0, 1)], pool)
+    attempts = rank.fallback_attempts(spark.createDataFrame([(q, 10) for q in "abcde"], "query_id string, top_k int"), normal=0.0, floor=0.0)
+    failures = spark.createDataFrame([("b", 0), ("c", 2), ("d", 0), ("e", 4)], "query_id string, attempt int")
+    score = lambda df: df.withColumn("rerank_score", df.fusion_score)
+    got = {r.query_id: r.attempt for r in rank.staged_retrieve(attempts, hits, hits.limit(0), score, failures=failures).collect()}
+    assert got == {"a": 2, "c": 2, "d": 0}  # b failed before attempt 2 could serve it; e never selects
+    assert {r.query_id for r in rank.staged_retrieve(attempts, hits, hits.limit(0), score).collect()} == set("abcd")
+
+
+def test_provider_candidates_pass_manifest_and_scope(spark):
+    from lorebase.operators import rank
+
+    base = spark.createDataFrame([("q", "c0", 0.5)], "query_id string, chunk_id string, final_score double")
+    extra = spark.createDataFrame(
+        [("q", f"c{i}", 0.9, "t", t, kb, v) for i, (t, kb, v) in enumerate([("t", "k", "v"), ("t", "k", "old"), ("x", "k", "v"), ("t", "bad", "v"), ("t", "k2", "v")], 1)],
+        "query_id string, chunk_id string, final_score double, request_tenant string, tenant_id string, knowledge_base_id string, document_version_id string")
+    active = spark.createDataFrame([("t", "k", "v"), ("x", "k", "v"), ("t", "bad", "v")], "tenant_id string, knowledge_base_id string, document_version_id string")
+    usable = spark.createDataFrame([("t", "k", True), ("x", "k", True), ("t", "bad", False), ("t", "k2", True)], "tenant_id string, knowledge_base_id string, usable boolean")
+    got = [(r.chunk_id, r.origin) for r in rank.merge_advanced(base, extra, active, usable, 10).orderBy("rank").collect()]
+    assert got == [("c1", "advanced"), ("c0", "base")]
