@@ -116,8 +116,7 @@ def generation_health(records: DataFrame, expected: DataFrame, mapping_version:
 def current_generation(pointers: DataFrame) -> DataFrame:
     """Latest switched generation per knowledge base, from the append-only pointer log.
 
-    A switch counts only when it names the generation it replaced (compare-and-switch): the
-    pointer row whose ``expected_current`` is the previous generation of its own chain.
+    The log holds only switches that succeeded; ``sinks.publish`` lets one writer per generation succeed.
     """
     return pointers.groupBy("tenant_id", "knowledge_base_id").agg(
         F.max_by("index_version_id", F.struct("generation", "index_version_id")).alias("index_version_id"),
@@ -200,8 +199,8 @@ def upsert(existing: DataFrame, incoming: DataFrame, keys: list[str], order: str
     return latest(both, keys, [F.col(order), F.col("_side")]).drop("_side")
 
 
-def scope_violations(incoming: DataFrame, tenant: str, dims: int) -> DataFrame:
-    """Rows an index write must reject: foreign tenant or wrong vector size."""
+def scope_violations(incoming: DataFrame, tenant: Column | str, dims: int) -> DataFrame:
+    """Rows an index write must reject: foreign tenant (against a name or a column) or wrong vector size."""
     return incoming.withColumn(
         "error_code",
         F.when(F.col("tenant_id") != tenant, "index_scope_mismatch").when(

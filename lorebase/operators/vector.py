@@ -14,6 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lorebase.functions.text import let
 from lorebase.functions.vectors import dot, norm
 from lorebase.operators.search import top_k
 
@@ -174,6 +175,38 @@ def _blocked(q: DataFrame, v: DataFrame, k: int, facets: list[str], additive: bo
     )
 
 
+CODE_LEVELS = 127
+
+
+def codes(vector: Column) -> Column:
+    """Eight-bit codes of a vector: its entries scaled so that the largest becomes 127."""
+    def scaled(held: Column) -> Column:
+        largest = F.array_max(F.transform(held, lambda x: F.abs(x.cast("double"))))
+        return F.transform(held, lambda x: F.round(x.cast("double") * CODE_LEVELS / F.when(largest == 0, 1.0).otherwise(largest)).cast("tinyint"))
+
+    return let(vector, scaled)
+
+
+def candidate_budget(k: int, most: int = 10_000) -> int:
+    """Candidates to rescore for ``k`` results: four times as many, up to ``most``, never fewer than ``k``."""
+    return max(k, min(4 * k, most))
+
+
+def vector_topk_coded(queries: DataFrame, vectors: DataFrame, k: int, *, facets: tuple[str, ...] = ()) -> DataFrame:
+    """Approximate top ``k``: candidates by eight-bit codes, an eighth of the bytes, rescored exactly.
+
+    Every vector is looked at through its code, so recall does not depend on how the vectors cluster; only
+    the candidate budget per query is fetched and scored in full precision.
+    """
+    shorten = lambda df: df.withColumn("embedding", codes(F.col("embedding")))
+    found = vector_topk(shorten(queries), shorten(vectors), candidate_budget(k), facets=facets).select("query_id", "vector_id")
+    q = queries.select(F.col("query_id").cast("string"), F.col("embedding").alias("q_vector"))
+    v = vectors.select(F.col("vector_id").cast("string"), F.col("embedding").alias("v_vector"))
+    cosine = dot(F.col("q_vector"), F.col("v_vector")) / (norm(F.col("q_vector")) * norm(F.col("v_vector")))
+    scored = found.join(q, "query_id").join(v, "vector_id").select("query_id", "vector_id", F.round(F.round((1 + cosine) / 2, 9), 6).alias("score"))
+    return top_k(scored, k, tie="vector_id")
+
+
 def _projections(dims: int, tables: int, seed: int) -> np.ndarray:
     return np.random.default_rng(seed).standard_normal((tables, dims))
 

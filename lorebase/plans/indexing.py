@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorebase.functions import ids
+from lorebase.functions.vectors import hash_embedding as hashed
 from lorebase.operators import index
 from lorebase.plans.sqlkit import define, query
+from lorebase.session import shared_dir
 from lorebase.sources import derived, files, sinks
 from lorebase.sources.tables import spread, table
 
@@ -159,6 +161,37 @@ def index_upsert(spark: SparkSession, d: str) -> DataFrame:
     return merged.select("tenant_id", "chunk_id", "doc_id", "size", "write_no")
 
 
+def index_reject(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of a write that names its tenant by document, some foreign, some with a cut vector."""
+    written = table(spark, d, "documents").select(
+        "doc_id", F.concat(F.lit("t"), F.col("doc_id") % 4).alias("tenant_id"), F.concat(F.lit("t"), F.col("doc_id") % 12 % 5).alias("target"),
+        F.slice(hashed(F.col("text"), DIMS), 1, F.when(F.col("doc_id") % 9 == 0, DIMS - 1).otherwise(DIMS)).alias("embedding"))
+    return index.scope_violations(written, F.col("target"), DIMS).select("doc_id", "error_code")
+
+
+def generation_publish(spark: SparkSession, d: str) -> DataFrame:
+    """Two published generations, a candidate that fails validation, a stale writer, a rollback; then the current table."""
+    root, counts = shared_dir(spark, "generations"), derived.kb_versions(spark, d).groupBy("tenant_id", "status").agg(F.count(F.lit(1)).alias("versions"))
+    sinks.publish(counts, root, "versions")
+    second = sinks.publish(counts.withColumn("versions", F.col("versions") * 2), root, "versions", expected_current=1)
+    outcomes = []
+    for options in ({"validate": lambda staged: staged.filter("versions < 0").count() > 0}, {"expected_current": 1}):
+        try:
+            sinks.publish(counts.limit(0), root, "versions", **options)
+        except ValueError:
+            outcomes.append("rejected")
+    restored = sinks.rollback(spark, root, "versions", 1)
+    return sinks.read_current(spark, root, "versions").withColumn("generation", F.lit(restored)).withColumn("rejected", F.lit(len(outcomes))).withColumn("before", F.lit(second))
+
+
+def trace_read(spark: SparkSession, d: str) -> DataFrame:
+    """Every user's traces as read by an auditor and by a viewer of tenant t1; the viewer sees no candidates."""
+    traces = table(spark, d, "events").select(
+        F.concat(F.lit("t"), F.col("user_id") % 4).alias("tenant_id"), F.concat(F.lit("tr"), "event_id").alias("trace_id"), F.col("event_type").alias("candidates"))
+    read = [sinks.visible_traces(traces, "t1", role, ("auditor",)).withColumn("role", F.lit(role)) for role in ("auditor", "viewer")]
+    return read[0].unionByName(read[1], allowMissingColumns=True).select("role", "trace_id", F.coalesce("candidates", F.lit("")).alias("candidates"))
+
+
 def artifacts(spark: SparkSession, d: str) -> DataFrame:
     c = derived.chunks(spark, d)
     return c.select(
@@ -215,6 +248,9 @@ QUERIES = {
     "projection_count": projection_count,
     "projection_versions": projection_versions,
     "index_upsert": index_upsert,
+    "index_reject": index_reject,
+    "generation_publish": generation_publish,
+    "trace_read": trace_read,
     "artifact_delete_version": artifact_delete_version,
     "trace_expire": trace_expire,
     "manifest_diff": manifest_diff,
@@ -287,6 +323,14 @@ ORACLE = {
         SELECT c.tenant_id, c.chunk_id, c.doc_id, CASE WHEN l.doc_id IS NULL THEN length(content) ELSE length(content) + 1000 END AS size,
                CAST(1 + coalesce(l.quality, 0) AS INTEGER) AS write_no
         FROM chunks c LEFT JOIN labels l ON l.doc_id = c.doc_id"""),
+    "index_reject": """
+        SELECT doc_id, CASE WHEN doc_id % 4 <> doc_id % 12 % 5 THEN 'index_scope_mismatch' ELSE 'index_dimension_mismatch' END AS error_code
+        FROM documents WHERE doc_id % 4 <> doc_id % 12 % 5 OR doc_id % 9 = 0""",
+    "generation_publish": query("""
+        SELECT tenant_id, status, count(*) AS versions, 3 AS generation, 2 AS rejected, 2 AS before FROM kb_versions GROUP BY ALL"""),
+    "trace_read": """
+        SELECT role, 'tr' || event_id AS trace_id, CASE role WHEN 'auditor' THEN event_type ELSE '' END AS candidates
+        FROM events, (SELECT unnest(['auditor', 'viewer']) AS role) WHERE user_id % 4 = 1""",
     "artifact_delete_version": query("""
         SELECT document_version_id, 'adv_' || left(sha256(concat_ws(chr(31), 'summaries', tenant_id, document_version_id, 'b1', chunk_id, content)), 32) AS artifact_id
         FROM chunks WHERE document_version_id NOT IN (SELECT document_version_id FROM kb_versions WHERE status = 'deleted')"""),

@@ -11,7 +11,7 @@ from lorebase.plans import retrieval
 from lorebase.plans.sqlkit import define, query
 from lorebase.session import shared_dir
 from lorebase.sources import derived, files, sinks
-from lorebase.sources.staging import materialized
+from lorebase.sources.staging import materialized, staged
 from lorebase.sources.tables import table
 
 
@@ -59,12 +59,16 @@ def operations(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _projections(spark: SparkSession, d: str) -> DataFrame:
-    return derived.chunks(spark, d).select("document_version_id")
+    return _projection_counts(spark, d).select("document_version_id")
+
+
+def _projection_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Indexed chunks per version: written once per corpus, as an index keeps it."""
+    return staged(spark, d, "projections", lambda: index.projection_counts(derived.chunks(spark, d).withColumn("document_deleted", F.lit(False))))
 
 
 def publish_versions(spark: SparkSession, d: str) -> DataFrame:
-    counts = _projections(spark, d).groupBy("document_version_id").agg(F.count(F.lit(1)).alias("chunk_count"))
-    return lifecycle.publish_versions(operations(spark, d), derived.kb_documents(spark, d), derived.kb_versions(spark, d), counts).select(
+    return lifecycle.publish_versions(operations(spark, d), derived.kb_documents(spark, d), derived.kb_versions(spark, d), _projection_counts(spark, d)).select(
         "operation_id", "document_version_id", "outcome")
 
 
@@ -91,7 +95,7 @@ def restore_check(spark: SparkSession, d: str) -> DataFrame:
     """Restore every requested document to the version it had (half of the versions are kept)."""
     versions = derived.kb_versions(spark, d).withColumn(
         "status", F.when(F.substring("document_id", 2, 20).cast("long") % 2 == 0, "superseded").otherwise(F.col("status")))
-    counts = index.projection_counts(derived.chunks(spark, d).withColumn("document_deleted", F.lit(False)))
+    counts = _projection_counts(spark, d)
     requests = operations(spark, d).select("operation_id", "document_id", "document_version_id")
     return lifecycle.restore_check(requests, derived.kb_documents(spark, d), versions, counts, F.expr(derived.NOW)).select("operation_id", "outcome")
 
@@ -106,15 +110,29 @@ def _outbox(spark: SparkSession, d: str) -> DataFrame:
         F.when(F.col("event_type") == "purchase", "published").otherwise("pending").alias("status"))
 
 
-def reconcile(spark: SparkSession, d: str) -> DataFrame:
+def _findings(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Findings of a reconciliation, and the projections and objects it looked at."""
     versions = derived.kb_versions(spark, d)
     n = F.substring("document_id", 2, 20).cast("long")
     objects = versions.select(F.when(n % 13 == 0, F.concat("object_key", F.lit(".lost"))).otherwise(F.col("object_key")).alias("object_key"))
     projections = _projections(spark, d).withColumn(
         "document_version_id", F.when(F.col("document_version_id").endswith("7_v1"), F.concat("document_version_id", F.lit("x"))).otherwise(F.col("document_version_id")))
-    return lifecycle.reconcile(
+    found = lifecycle.reconcile(
         operations(spark, d), derived.kb_documents(spark, d), versions, projections, objects, _outbox(spark, d),
         now=F.expr("timestamp'2024-01-15 00:00:00'"), stale_before=F.expr("timestamp'1998-01-01 00:00:00'"))
+    return found, projections, objects
+
+
+def reconcile(spark: SparkSession, d: str) -> DataFrame:
+    return _findings(spark, d)[0]
+
+
+def reconcile_repair(spark: SparkSession, d: str) -> DataFrame:
+    """Projections and objects that are left after the orphans of both kinds were removed."""
+    found, projections, objects = _findings(spark, d)
+    found = materialized(found, "findings")
+    left = lifecycle.repaired(projections, found, "orphan_projection", "document_version_id").select(F.lit("projection").alias("kind"), F.col("document_version_id").alias("resource_id"))
+    return left.unionByName(lifecycle.repaired(objects, found, "orphan_object", "object_key").select(F.lit("object").alias("kind"), F.col("object_key").alias("resource_id")))
 
 
 def batch_rollup(spark: SparkSession, d: str) -> DataFrame:
@@ -298,7 +316,7 @@ def ablation(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f for f in (
         idempotent_commands, status_replay, illegal_transitions, replay_summary, publish_versions, published_tables, rollback_check,
-        soft_delete, restore_check, purge_due, reconcile, batch_rollup, outbox_due, retry_plan, budget_breach, run_cost,
+        soft_delete, restore_check, purge_due, reconcile, reconcile_repair, batch_rollup, outbox_due, retry_plan, budget_breach, run_cost,
         active_memories, mrr, citation_pr, answer_score, scenario_report, release_gate, dataset_violations, jsonl_scan, report_sink, trace_store, ablation)
 } | {
     "precision_at_k": _metric(evaluate.precision_at_k, K, columns=("precision",)),
@@ -415,6 +433,9 @@ ORACLE = {
         UNION ALL SELECT 'orphan_object', object_key || '.lost' FROM kb_versions WHERE CAST(substr(document_id, 2) AS BIGINT) % 13 = 0
         UNION ALL SELECT DISTINCT 'orphan_projection', document_version_id || 'x' FROM chunks WHERE document_version_id LIKE '%7_v1'
         UNION ALL SELECT 'expired_physical_cleanup', document_id FROM kb_documents WHERE status = 'delete_pending' AND purge_after <= TIMESTAMP '2024-01-15'"""),
+    "reconcile_repair": query("""
+        SELECT DISTINCT 'projection' AS kind, document_version_id AS resource_id FROM chunks WHERE document_version_id NOT LIKE '%7_v1'
+        UNION ALL SELECT 'object', object_key FROM kb_versions WHERE CAST(substr(document_id, 2) AS BIGINT) % 13 <> 0"""),
     "batch_rollup": query("""
         SELECT batch_id, total, succeeded, failed, cancelled, CASE WHEN succeeded + failed + cancelled < total THEN 'running' WHEN cancelled = total THEN 'cancelled' WHEN succeeded = total THEN 'succeeded'
                WHEN succeeded > 0 THEN 'partial_success' ELSE 'failed' END AS status

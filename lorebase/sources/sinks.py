@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import os
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,13 +14,16 @@ from lorebase.operators.index import upsert
 POINTER_SCHEMA = "table_name string, generation int, location string, rows long"
 
 
+def _hadoop(spark: SparkSession, path: str):
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
+
+
 def pointers(spark: SparkSession, root: str) -> DataFrame:
-    path = f"{root.rstrip('/')}/_pointers"
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    system = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not system.exists(hadoop):
+    system, path = _hadoop(spark, f"{root.rstrip('/')}/_pointers")
+    if not system.exists(path):
         return spark.createDataFrame([], POINTER_SCHEMA)
-    return spark.read.schema(POINTER_SCHEMA).json(path)
+    return spark.read.schema(POINTER_SCHEMA).json(path.toString())
 
 
 def current(spark: SparkSession, root: str, name: str):
@@ -35,6 +40,18 @@ def read_current(spark: SparkSession, root: str, name: str) -> DataFrame | None:
     return None if pointer is None else spark.read.parquet(pointer["location"])
 
 
+def _switch(spark: SparkSession, root: str, name: str, generation: int, location: str, count: int) -> None:
+    """Create the pointer file of one generation; of two writers the file system lets only one create it."""
+    system, path = _hadoop(spark, f"{root.rstrip('/')}/_pointers/{name}-{generation:06d}.json")
+    try:
+        stream = system.create(path, False)
+    except Exception as error:
+        raise ValueError("index_alias_conflict") from error
+    line = json.dumps({"table_name": name, "generation": generation, "location": location, "rows": count})
+    stream.write(bytearray(line.encode() + b"\n"))
+    stream.close()
+
+
 def publish(
     df: DataFrame,
     root: str,
@@ -44,34 +61,43 @@ def publish(
     expected_current: int | None = None,
     validate: Callable | None = None,
 ) -> int:
-    """Stage a new generation, validate it, then switch the pointer (compare-and-switch).
+    """Stage a new generation in a folder of its own, validate it, then switch (compare-and-switch).
 
-    The old generation stays readable until it is dropped; a failed validation or a moved pointer
-    leaves the current generation untouched.
+    The switch succeeds only while the generation seen at the start is still the current one. A failed
+    validation or a lost switch drops the staged folder and leaves the current generation untouched;
+    older generations stay readable until they are dropped.
     """
     spark = df.sparkSession
     before = current(spark, root, name)
-    generation = 1 if before is None else before["generation"] + 1
-    location = f"{root.rstrip('/')}/{name}/g{generation:06d}"
-    writer = df.write.mode("overwrite")
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(location)
-    staged = spark.read.parquet(location)
-    if validate is not None and not validate(staged):
-        raise ValueError(f"staged generation {generation} of {name} failed validation")
-    seen = current(spark, root, name)
-    seen_generation = None if seen is None else seen["generation"]
-    if seen_generation != (None if before is None else before["generation"]) or (
-        expected_current is not None and seen_generation != expected_current
-    ):
+    seen = None if before is None else before["generation"]
+    if expected_current is not None and seen != expected_current:
         raise ValueError("index_alias_conflict")
-    spark.createDataFrame([(name, generation, location, staged.count())], POINTER_SCHEMA).coalesce(1).write.mode(
-        "append"
-    ).json(f"{root.rstrip('/')}/_pointers")
+    generation = 1 if seen is None else seen + 1
+    location = f"{root.rstrip('/')}/{name}/g{generation:06d}-{os.urandom(6).hex()}"
+    try:
+        writer = df.write.partitionBy(*partition_by) if partition_by else df.write
+        writer.parquet(location)
+        staged = spark.read.parquet(location)
+        if validate is not None and not validate(staged):
+            raise ValueError(f"staged generation {generation} of {name} failed validation")
+        _switch(spark, root, name, generation, location, staged.count())
+    except Exception:
+        system, path = _hadoop(spark, location)
+        system.delete(path, True)
+        raise
     return generation
 
 
+def rollback(spark: SparkSession, root: str, name: str, generation: int) -> int:
+    """Make an earlier generation current again, as a new switch to its folder."""
+    chosen = pointers(spark, root).filter((F.col("table_name") == name) & (F.col("generation") == generation)).first()
+    if chosen is None:
+        raise ValueError("index_generation_missing")
+    following = current(spark, root, name)["generation"] + 1
+    _switch(spark, root, name, following, chosen["location"], chosen["rows"])
+    return following
+
+
 def upsert_table(
     incoming: DataFrame, root: str, name: str, keys: list[str], order: str, partition_by: tuple[str, ...] = ()
 ) -> int:

@@ -69,6 +69,21 @@ def test_publish_pointer_and_conflict(spark, tmp_path):
     with pytest.raises(ValueError, match="index_alias_conflict"):
         sinks.publish(df, root, "t", expected_current=1)
     assert sinks.read_current(spark, root, "t").count() == 2
+    assert len([p for p in (tmp_path / "t").iterdir()]) == 2  # rejected candidates are gone
+    assert sinks.rollback(spark, root, "t", 1) == 3 and rows(sinks.read_current(spark, root, "t")) == [(1, "a")]
+
+
+def test_of_two_writers_one_switches(spark, tmp_path):
+    root, df = str(tmp_path), spark.createDataFrame([(1, "a")], "k int, v string")
+    sinks.publish(df, root, "t")
+
+    def late(staged):  # another writer switches between this one's start and its switch
+        sinks.publish(df.union(df), root, "t")
+        return True
+
+    with pytest.raises(ValueError, match="index_alias_conflict"):
+        sinks.publish(df, root, "t", validate=late)
+    assert sinks.read_current(spark, root, "t").count() == 2 and sinks.current(spark, root, "t")["generation"] == 2
 
 
 def test_retry_plan(spark):

@@ -209,3 +209,14 @@ def test_provider_candidates_pass_manifest_and_scope(spark):
     usable = spark.createDataFrame([("t", "k", True), ("x", "k", True), ("t", "bad", False), ("t", "k2", True)], "tenant_id string, knowledge_base_id string, usable boolean")
     got = [(r.chunk_id, r.origin) for r in rank.merge_advanced(base, extra, active, usable, 10).orderBy("rank").collect()]
     assert got == [("c1", "advanced"), ("c0", "base")]
+
+
+def test_coded_search_recall_and_candidate_share(spark):
+    from lorebase.operators import vector
+    from lorebase.plans import retrieval
+
+    q, v = retrieval.centroids(spark, "/root/testdata/sf0.1")
+    exact = {(r.query_id, r.vector_id) for r in vector.vector_topk(q, v, 10).collect()}
+    found = {(r.query_id, r.vector_id) for r in vector.vector_topk_coded(q, v, 10).collect()}
+    assert len(exact & found) >= 0.9 * len(exact)
+    assert vector.candidate_budget(10) <= 0.05 * v.count() and [vector.candidate_budget(k) for k in (1, 5_000, 20_000)] == [4, 10_000, 20_000]
