@@ -95,14 +95,3 @@ def with_heading_paths(blocks: Column) -> Column:
         )
 
     return let(split_at(blocks, lambda cur, prev: is_heading(cur)), attach)
-
-
-def sorted_by(items: Column, *fields: str) -> Column:
-    """Sort structs by the named fields ascending."""
-    def compare(a: Column, b: Column) -> Column:
-        result = F.lit(0)
-        for name in reversed(fields):
-            result = F.when(a[name] < b[name], -1).when(a[name] > b[name], 1).otherwise(result)
-        return result
-
-    return F.array_sort(items, compare)

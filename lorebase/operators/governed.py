@@ -11,7 +11,7 @@ import json
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # fixed values: permitted functions and the row limit
@@ -107,8 +107,12 @@ class GovernedSql:
         if unknown:
             raise StatementDenied("sql_table_denied", sorted(unknown)[0])
 
-    def run(self, statement: str, tenant: str, **parameters) -> DataFrame:
-        """Check, then run for one tenant with bound parameters and the row limit."""
+    def run(self, statement: str, tenant: str, *, flag: str | None = None, **parameters) -> DataFrame:
+        """Check, then run for one tenant with bound parameters and the row limit.
+
+        Over the limit the first rows by all columns are returned, so the result repeats; with ``flag`` a
+        boolean column of that name tells whether rows were left out.
+        """
         self.check(statement)
         try:
             result = self._session(tenant).sql(statement, args=parameters)
@@ -116,4 +120,10 @@ class GovernedSql:
             if "UNRESOLVED_COLUMN" in str(error):
                 raise StatementDenied("sql_column_denied", str(error).splitlines()[0]) from error
             raise
-        return result.limit(self.max_rows)
+        ordered = result.orderBy(*[F.col(f"`{name}`") for name in result.columns])
+        if flag is None:
+            return ordered.limit(self.max_rows)
+        every = Window.partitionBy(F.lit(1))  # of at most max_rows + 1 rows
+        place = Window.partitionBy(F.lit(1)).orderBy(*[F.col(f"`{name}`") for name in result.columns])
+        held = ordered.limit(self.max_rows + 1).withColumn(flag, F.count(F.lit(1)).over(every) > self.max_rows)
+        return held.withColumn("_place", F.row_number().over(place)).filter(F.col("_place") <= self.max_rows).drop("_place")

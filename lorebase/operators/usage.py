@@ -46,10 +46,6 @@ def first_breach(events: DataFrame, amounts: dict[str, Column], limits: dict[str
     return breached.groupBy("run_id").agg(F.min(F.struct("seq", "dimension")).alias("b")).select("run_id", "b.seq", "b.dimension")
 
 
-def can_finalize(total: Column, generated: Column, reserve: int, limits: dict[str, float] = LIMITS) -> Column:
-    return (total + reserve <= limits["total_tokens"]) & (generated + reserve <= limits["generated_tokens"])
-
-
 def run_cost(events: DataFrame, cost: Column) -> DataFrame:
     """Known cost and merged status: any unknown wins, then any known, else local."""
     status = F.col("cost_status")

@@ -30,12 +30,16 @@ class Corpus:
             "embedding": hash_embedding(F.col("content"), DIMS),
             "n_words": F.size(tx.words(F.col("content"))),
         }))
-        self.postings = staged(spark, d, "postings", lambda: index.postings(self.chunks, search.SCOPE), bucket_by="chunk_id")
+        self.postings = staged(spark, d, "postings", lambda: index.postings(self.chunks, search.SCOPE), bucket_by="chunk_id", size=self._posting_bytes)
         self.frequencies = staged(spark, d, "frequencies", lambda: index.document_frequencies(self.postings))
         stats = self.chunks.agg(F.count(F.lit(1)).alias("n_chunks"), F.avg("n_words").alias("avg_length"))
         self.n_chunks = stats.select("n_chunks").scalar()
         self.average = stats.select("avg_length").scalar()
 
+    def _posting_bytes(self) -> int:
+        """At most one posting per word; a row with its scope columns takes about 200 bytes."""
+        return 200 * (self.chunks.agg(F.sum("n_words")).first()[0] or 0)
+
     def lexical(self, queries: DataFrame | None = None) -> DataFrame:
         terms = search.query_terms(self.queries if queries is None else queries)
         return search.bm25(terms, self.postings, self.frequencies, self.n_chunks, self.average)

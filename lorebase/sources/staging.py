@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from lorebase.session import shared_dir
 
 BUCKET_BYTES = 128 * 1024 * 1024
-MAX_BUCKETS = 50_000
+MAX_BUCKETS = 50_000  # below Spark's own limit; beyond it buckets grow instead
 _LOCATIONS: dict[tuple[str, str, str], str] = {}
 
 
@@ -23,21 +23,33 @@ def _complete(spark: SparkSession, location: str) -> bool:
     return marker.getFileSystem(spark._jsc.hadoopConfiguration()).exists(marker)
 
 
-def _bucket_count(spark: SparkSession, frame: DataFrame) -> int:
-    """Buckets of about 128 MB by the planner's size estimate, at least one per core."""
-    size = int(str(frame._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+def _bucket_count(spark: SparkSession, size: int) -> int:
+    """Buckets of about 128 MB, at least one per core."""
     return max(spark.sparkContext.defaultParallelism, min(-(-size // BUCKET_BYTES), MAX_BUCKETS))
 
 
+def _state(spark: SparkSession, directory: str) -> str:
+    """Sizes, file counts and times of the tables of a corpus; new or changed files make another state."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(directory)
+    system = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    parts = []
+    for entry in system.listStatus(root):
+        summary = system.getContentSummary(entry.getPath())
+        parts.append(f"{entry.getPath().getName()}:{summary.getLength()}:{summary.getFileCount()}:{entry.getModificationTime()}")
+    return "|".join(sorted(parts))
+
+
 def staged(
-    spark: SparkSession, directory: str, name: str, build: Callable[[], DataFrame], *, bucket_by: str | None = None
+    spark: SparkSession, directory: str, name: str, build: Callable[[], DataFrame], *,
+    bucket_by: str | None = None, size: Callable[[], int] | None = None,
 ) -> DataFrame:
     """The table ``name`` of the corpus at ``directory``; built and written on first use.
 
     With ``bucket_by`` the table is bucketed, so grouping by that column (and more) later needs no
-    shuffle. A location is reused only within one application and while its success marker exists.
+    shuffle; ``size`` then estimates the table's bytes. A location is reused only within one application,
+    while its success marker exists and the files of the corpus are the same.
     """
-    key = (spark.sparkContext.applicationId, directory, name)
+    key = (spark.sparkContext.applicationId, f"{directory}|{_state(spark, directory)}", name)
     location = _LOCATIONS.get(key)
     table_name = "lore_" + hashlib.sha256("|".join(key).encode()).hexdigest()[:16]
     if location is None or not _complete(spark, location):
@@ -46,7 +58,7 @@ def staged(
         if bucket_by is None:
             frame.write.mode("overwrite").parquet(location)
         else:
-            buckets = _bucket_count(spark, frame)
+            buckets = _bucket_count(spark, size() if size else 0)
             (
                 frame.repartition(buckets, bucket_by).write.mode("overwrite").option("path", location)
                 .bucketBy(buckets, bucket_by).saveAsTable(table_name)

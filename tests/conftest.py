@@ -1,4 +1,5 @@
 import sys
+import tempfile
 from pathlib import Path
 
 import pytest
@@ -10,7 +11,8 @@ from lorebase.session import local_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    return local_session(4, "tests", **{"spark.sql.shuffle.partitions": "4"})
+    shared = tempfile.mkdtemp(prefix="spark-")
+    return local_session(4, "tests", **{"spark.sql.shuffle.partitions": "4", "spark.checkpoint.dir": shared})
 
 
 @pytest.fixture(scope="session")

@@ -183,6 +183,9 @@ def test_governed_sql_isolates_tenants(spark, sf):
     total = sum(sql.run("SELECT count(o_orderkey) AS n FROM orders", s).first()["n"] for s in ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"))
     assert total == spark.read.parquet(f"{sf}/orders.parquet").count()
     assert sql.run("SELECT count(o_orderkey) AS n FROM orders", "NOBODY").first()["n"] == 0
+    cut = sql.run("SELECT o_orderkey AS k FROM orders", "BUILDING", flag="truncated").collect()
+    assert len(cut) == sql.max_rows and all(r.truncated for r in cut) and [r.k for r in cut] == sorted(r.k for r in cut)
+    assert not any(r.truncated for r in sql.run("SELECT count(o_orderkey) AS n FROM orders", "BUILDING", flag="truncated").collect())
 
 
 def test_metrics(spark):
