@@ -142,3 +142,23 @@ def test_containment_equals_brute_force():
             if not any(x <= a and b <= y for x, y, _ in taken):
                 taken.append((a, b, r))
         assert sorted(taken, key=lambda d: (d[0], d[1], d[2].name)) == licenses.detections(low)
+
+
+_BASE32 = "list_transform(range(0, 8), lambda g: list_transform(range(0, 4), lambda k: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[(CAST('0x' || h[5 * g + 1:5 * g + 5] AS BIGINT) >> (15 - 5 * k)) % 32 + 1]))"
+WARC_SQL = f"""
+    WITH hashed AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS h FROM pages
+    ), named AS (SELECT page_id, n, array_to_string(flatten({_BASE32}), '') AS digest FROM hashed
+    ), firsts AS (SELECT *, min(page_id) OVER (PARTITION BY digest) AS first FROM named)
+    SELECT page_id, n AS payload_bytes, digest AS payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+           CASE WHEN page_id <> first THEN first END AS refers_to FROM firsts"""
+
+
+def test_archive_equals_sql(spark, sf):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{sf}/pages.parquet' UNION ALL SELECT page_id + 1000, url, html FROM '{sf}/pages.parquet'")
+    docs = spark.read.parquet(f"{sf}/pages.parquet")
+    both = docs.unionByName(docs.withColumn("page_id", docs.page_id + 1000))
+    got = sorted((tuple(r)[:5] for r in warc.archive_and_read(both).collect()), key=lambda r: r[0])
+    assert got == sorted(con.execute(WARC_SQL).fetchall(), key=lambda r: r[0])
