@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import re
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 
 import numpy as np
@@ -42,6 +44,24 @@ def stage_lookup(df: DataFrame, purpose: str, limit: int = 32 << 20) -> DataFram
     return F.broadcast(staged) if size <= limit else staged
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of jobs whose results are staged; it does so when their plans are collected."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1_000) -> Iterator[None]:
+    """Arrow batches of few rows for the jobs that run inside; long texts then fill less memory outside the heap."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def tokenizer_path(name: str) -> str:
     import public_tokenizers
 

@@ -1,16 +1,17 @@
 """N-gram Jaccard join by a token-group matrix.
 
 Similar documents share a group (size band and min-hash over frequent shingles). The matrix says which
-groups hold which token; of each document only the prefix counts, its rarest tokens, one of which any
-similar document must share. Two groups that meet in the matrix are opened in tiles: the union of
-tokens of one side bounds the overlap of every document of the other, and only documents within
-the bound are compared, exactly. Links become connected components.
+groups hold which token; of each document only the prefix counts, its rarest tokens, four of which any
+similar document must share. A document opens the groups whose union holds enough of its prefix. Two groups that open
+each other are compared in tiles: the union of tokens of one side bounds the overlap of every document of the
+other, and only documents within the bound are compared, exactly. Links become connected components.
 
 Tokens travel packed, as arrays of one bucket of the hash space, so a shuffle row holds thousands.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,12 +20,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorebase.llm.common import stage
+from lorebase.llm.common import release, small_batches, stage, stage_lookup
 from lorebase.llm.components import components
 
 WIDTH, PERCENT = 5, 75
-BUCKET_BYTES = 96 << 20  # of text, about 15 million tokens
-FLUSH = 2_000_000  # tokens that a task holds before it hands on its buckets
+BUCKET_BYTES = 8 << 20  # of text, about 1.3 million tokens
+FLUSH = 1_000_000  # tokens that a task holds before it hands on its buckets
 FREQUENT = 1 << 19  # most tokens in the list of frequent ones; bounds what is broadcast to 6 MB
 BLOOM_BITS, BLOOM_CHUNKS = 26, 256  # 8 MB; a full filter lets more sets through, never fewer
 TILE_DOCS, TILE_TOKENS = 512, 1_000_000
@@ -58,9 +59,17 @@ def needed(size: int) -> int:
     return -(-PERCENT * size // 100)
 
 
+SHARED = 4  # prefix tokens that similar sets must share; longer prefixes pay for asking more than one
+
+
+def shared_at_least(size: float) -> int:
+    """Prefix tokens that a set of at least this size shares with any similar set (which has 0.75 of its size or more)."""
+    return max(1, min(SHARED, math.ceil(PERCENT * PERCENT * size / 10_000 - 1e-6)))
+
+
 def _packed(tokens: np.ndarray, buckets: int) -> np.ndarray:
-    """Bucket in the upper, remaining hash bits in the lower 32 bits."""
-    return ((tokens >> np.uint64(32)) % np.uint64(buckets)) << np.uint64(32) | (tokens & np.uint64(0xFFFFFFFF))
+    """Leading hash bits: the bucket (of a power of two) above, the next 32 bits below; the order stays."""
+    return tokens >> np.uint64(32 - (buckets.bit_length() - 1))
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -69,7 +78,7 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 def _by_bucket(packed: np.ndarray, *others: np.ndarray) -> Iterator[tuple]:
     """Cuts parallel arrays into one row per bucket: (bucket, low bits, ...) as bytes."""
-    order = np.argsort(packed, kind="stable")
+    order = np.argsort(packed)
     packed = packed[order]
     bucket = (packed >> np.uint64(32)).astype(np.int64)
     cuts = np.flatnonzero(np.diff(bucket)) + 1
@@ -144,30 +153,34 @@ def frequent_tokens(docs: DataFrame, buckets: int) -> tuple[np.ndarray, np.ndarr
     return tokens[order], counts[order]
 
 
-def _group(tokens: np.ndarray, frequency: np.ndarray) -> int:
-    """Group of a set: size band (6 bits) and min-hash over its frequent tokens (26 bits), else over all."""
-    band = min(63, int(np.log(len(tokens)) / np.log(100 / PERCENT)))
-    known = tokens[frequency > 0]
-    least = known[0] if len(known) else tokens[0]
-    return band << 26 | int(_mix(np.array([least], dtype=np.uint64))[0] >> np.uint64(38))
+def _group(size: int, least: int) -> int:
+    """Group of a set: size band (6 bits) and min-hash (26 bits)."""
+    band = min(63, int(math.log(size) / math.log(100 / PERCENT)))
+    return band << 26 | (least * 0x9E3779B97F4A7C15 & (1 << 64) - 1) >> 38
 
 
 def _prefix_and_group(tokens: np.ndarray, buckets: int, frequent: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, int]:
     """The packed prefix (rarest tokens first, then by hash) and the group."""
-    packed = _packed(tokens, buckets)
-    frequency = np.zeros(len(packed), dtype=np.int64)
-    if len(frequent):
-        at = np.minimum(np.searchsorted(frequent, packed), len(frequent) - 1)
-        frequency = np.where(frequent[at] == packed, counts[at], 0)
-    length = len(tokens) - needed(len(tokens)) + 1
-    order = np.argsort(frequency, kind="stable")  # tokens are sorted by hash already
-    return packed[order[:length]], _group(tokens, frequency)
+    packed, size = _packed(tokens, buckets), len(tokens)
+    length = min(size, size - needed(size) + min(SHARED, needed(size)))
+    if not len(frequent):
+        return packed[:length], _group(size, int(packed[0]))
+    at = np.minimum(np.searchsorted(frequent, packed), len(frequent) - 1)  # tokens are sorted by hash
+    known = frequent[at] == packed
+    rare, common = np.flatnonzero(~known)[:length], np.flatnonzero(known)
+    if not len(common):
+        return packed[rare], _group(size, int(packed[0]))
+    group = _group(size, int(packed[common[0]]))  # min-hash over frequent tokens: what near copies share
+    if len(rare) < length:
+        rarest = common[np.argsort(counts[at[common]], kind="stable")]
+        rare = np.concatenate([rare, rarest[: length - len(rare)]])
+    return packed[rare], group
 
 
 def matrix_pairs(docs: DataFrame, buckets: int, frequent) -> DataFrame:
-    """Meets groups in the matrix: per bucket the documents that share a prefix token, and the pairs of groups.
+    """Meets documents and groups in the matrix: prefix tokens of the document that the group's union holds, by bucket of the hash space.
 
-    Columns ``docs, first, second``, each a packed array.
+    Packed by buckets of the document: ``bucket, ids, own, partner, counts`` (own group, met group, tokens).
     """
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,28 +222,60 @@ def matrix_pairs(docs: DataFrame, buckets: int, frequent) -> DataFrame:
         shared[1:] |= same
         shared[:-1] |= same
         tokens, ids, groups = tokens[shared], ids[shared], groups[shared]
-        # one entry per token and group; a group meets itself where it has two documents
+        # cells of the matrix: one per token and group, with the documents that put it there
         starts = np.ones(len(tokens), dtype=bool)
         starts[1:] = (tokens[1:] != tokens[:-1]) | (groups[1:] != groups[:-1])
-        at = np.flatnonzero(starts)
-        twice = np.diff(np.append(at, len(tokens))) > 1
-        run, group = tokens[at], groups[at].astype(np.uint64)
-        pairs = [np.unique(group[twice] << np.uint64(32) | group[twice])]
+        cell = np.flatnonzero(starts)
+        held = np.diff(np.append(cell, len(tokens)))
+        run, group = tokens[cell], groups[cell]
+        band = (group >> np.uint32(26)).astype(np.int64)
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def opens(cells: np.ndarray, partner: np.ndarray) -> None:
+            """The documents of each cell open the partner's group."""
+            n = held[cells]
+            at = np.repeat(cell[cells] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+            rows = np.rec.fromarrays([ids[at], groups[at], np.repeat(partner, n)], names="id,own,partner")
+            found.append(np.unique(rows, return_counts=True))
+
+        twice = np.flatnonzero(held > 1)  # a group meets itself where two of its documents share the token
+        opens(twice, group[twice])
         step = 1
         while step < len(run):
-            met = run[step:] == run[:-step]
-            if not met.any():
+            met = np.flatnonzero(run[step:] == run[:-step])
+            if not len(met):
                 break
-            a, b = group[:-step][met], group[step:][met]
-            near = np.abs((a >> np.uint64(26)).astype(np.int64) - (b >> np.uint64(26)).astype(np.int64)) <= 1
-            pairs.append(np.unique(a[near] << np.uint64(32) | b[near]))
+            met = met[np.abs(band[met] - band[met + step]) <= 1]
+            opens(met, group[met + step])
+            opens(met + step, group[met])
             step += 1
-        pairs = np.unique(np.concatenate(pairs))
-        first, second = (pairs >> np.uint64(32)).astype(np.int64), (pairs & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        return pa.table({"docs": [np.unique(ids).tobytes()], "first": [first.tobytes()], "second": [second.tobytes()]})
+        rows, where = np.unique(np.concatenate([f[0] for f in found]), return_inverse=True)
+        counts = np.bincount(where, weights=np.concatenate([f[1] for f in found]), minlength=len(rows)).astype(np.int32)
+        ids, own, partner = (np.ascontiguousarray(rows[n]) for n in ("id", "own", "partner"))
+        bucket = (_mix(ids.view(np.uint64)) % np.uint64(buckets)) << np.uint64(32)
+        cut = list(_by_bucket(bucket, ids, own, partner, counts))
+        columns = [[r[k] for r in cut] for k in (0, 2, 3, 4, 5)]
+        kinds = (pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
+        return pa.table({n: pa.array(c, k) for n, c, k in zip(("bucket", "ids", "own", "partner", "counts"), columns, kinds, strict=True)})
 
     rows = _texts(docs).mapInArrow(emit, "bucket long, tokens binary, ids binary, groups binary")
-    return rows.groupBy("bucket").applyInArrow(meet, "docs binary, first binary, second binary")
+    return rows.groupBy("bucket").applyInArrow(meet, "bucket long, ids binary, own binary, partner binary, counts binary")
+
+
+def openings(met: DataFrame) -> DataFrame:
+    """``doc_id, own, partner`` of every group that a document opens: it shares enough prefix tokens with the group's union."""
+    least = np.array([shared_at_least((100 / PERCENT) ** band) for band in range(64)])
+
+    def add_up(table: pa.Table) -> pa.Table:
+        keys = np.rec.fromarrays(
+            [_joined(table, n, t) for n, t in (("ids", np.int64), ("own", np.uint32), ("partner", np.uint32))], names="doc_id,own,partner"
+        )
+        rows, where = np.unique(keys, return_inverse=True)
+        counts = np.bincount(where, weights=_joined(table, "counts", np.int32), minlength=len(rows))
+        rows = rows[counts >= least[(rows["own"] >> np.uint32(26)).astype(np.int64)]]
+        return pa.table({n: pa.array(np.ascontiguousarray(rows[n]).astype(np.int64)) for n in rows.dtype.names})
+
+    return met.groupBy("bucket").applyInArrow(add_up, "doc_id long, own long, partner long")
 
 
 def _places(ids: np.ndarray, bits: int) -> np.ndarray:
@@ -240,22 +285,20 @@ def _places(ids: np.ndarray, bits: int) -> np.ndarray:
     return np.concatenate([h >> shift, (h << np.uint64(bits)) >> shift]).astype(np.int64)
 
 
-def _bloom(met: DataFrame) -> np.ndarray:
-    """Bits of the documents that share a prefix token; made in chunks on the executors, 8 MB in all."""
+def _bloom(opened: DataFrame) -> np.ndarray:
+    """Bits of the documents that open a group; made in chunks on the executors, 8 MB in all."""
     size, chunks = BLOOM_BITS, BLOOM_CHUNKS
     per_chunk = (1 << size) // chunks
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for ids in batch.column(0):
-                bits = np.unique(_places(np.frombuffer(ids.as_buffer(), dtype=np.int64), size))
-                chunk = bits // per_chunk
-                cuts = np.searchsorted(chunk, np.arange(chunks + 1))
-                rows = [(c, bits[a:b].tobytes()) for c, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
-                if rows:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["chunk", "bits"]
-                    )
+            bits = np.unique(_places(batch.column(0).to_numpy(zero_copy_only=False), size))
+            chunk = bits // per_chunk
+            cuts = np.searchsorted(chunk, np.arange(chunks + 1))
+            rows = [(c, bits[a:b].tobytes()) for c, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["chunk", "bits"]
+            )
 
     def fill(table: pa.Table) -> pa.Table:
         chunk = table.column("chunk")[0].as_py()
@@ -263,7 +306,7 @@ def _bloom(met: DataFrame) -> np.ndarray:
         flags[_joined(table, "bits", np.int64) - chunk * per_chunk] = 1
         return pa.table({"chunk": [chunk], "bits": [np.packbits(flags).tobytes()]})
 
-    parts = met.select("docs").mapInArrow(emit, "chunk long, bits binary").groupBy("chunk").applyInArrow(fill, "chunk long, bits binary")
+    parts = opened.select("doc_id").mapInArrow(emit, "chunk long, bits binary").groupBy("chunk").applyInArrow(fill, "chunk long, bits binary")
     out = np.zeros((1 << size) // 8, dtype=np.uint8)
     for row in parts.collect():
         out[row.chunk * per_chunk // 8 : (row.chunk + 1) * per_chunk // 8] = np.frombuffer(bytes(row.bits), dtype=np.uint8)
@@ -373,35 +416,39 @@ def _forest(u: np.ndarray, v: np.ndarray) -> list[tuple[int, int]]:
     return [(int(nodes[k]), int(nodes[label[k]])) for k in np.flatnonzero(label != np.arange(len(nodes)))]
 
 
-def links(sets: DataFrame, met: DataFrame) -> DataFrame:
-    """Links ``u, v`` between representatives of different sets."""
+def links(sets: DataFrame, opened: DataFrame) -> DataFrame:
+    """Links ``u, v`` between representatives of different sets.
 
-    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            table = pa.Table.from_batches([batch])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(_joined(table, n, np.int64)) for n in ("first", "second")], ["first", "second"]
-            )
+    A document is compared with those documents of a group it opens that open its own group. The two
+    sides of a pair of groups are cut into parts of bounded size; a tile is one part against another.
+    """
 
-    opened = stage(met.select("first", "second").mapInArrow(unpack, "first long, second long").distinct(), "opened")
-    counts = sets.groupBy("grp").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("tokens"))
-    parts = F.ceil(F.greatest(F.col("n") / TILE_DOCS, F.col("tokens") / TILE_TOKENS)).cast("int")
-    parts = stage(counts.select("grp", parts.alias("parts")), "parts")
-    sized = opened.join(parts.select(F.col("grp").alias("first"), F.col("parts").alias("p")), "first").join(
-        parts.select(F.col("grp").alias("second"), F.col("parts").alias("q")), "second"
+    own, partner = F.col("own"), F.col("partner")
+    opened = stage(
+        opened.join(sets.select("doc_id", "n_shingles"), "doc_id").select(
+            "doc_id", "n_shingles", F.least(own, partner).alias("low"), F.greatest(own, partner).alias("high"), (own > partner).cast("int").alias("side")
+        ), "opened",
     )
-    tiles = sized.withColumn("p", F.explode(F.expr("sequence(0, p - 1)"))).withColumn("q", F.explode(F.expr("sequence(0, q - 1)")))
-    tiles = stage(
-        tiles.filter("first < second OR p <= q").withColumn("tile", F.xxhash64("first", "p", "second", "q"))
-        .withColumn("alone", F.expr("first = second AND p = q")), "tiles",
+    sizes = opened.groupBy("low", "high", "side").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("tokens"))
+    parts = F.ceil(F.greatest(F.col("n") / TILE_DOCS, F.col("tokens") / TILE_TOKENS)).cast("int")
+    sizes = sizes.select("low", "high", "side", parts.alias("parts")).groupBy("low", "high").agg(
+        F.max(F.when(F.col("side") == 0, F.col("parts"))).alias("p"), F.max(F.when(F.col("side") == 1, F.col("parts"))).alias("q")
     )
-    sides = tiles.selectExpr("tile", "alone", "first AS grp", "p AS part", "0 AS side").unionByName(
-        tiles.filter("NOT alone").selectExpr("tile", "alone", "second AS grp", "q AS part", "1 AS side")
+    itself = F.col("low") == F.col("high")
+    mine = F.when(F.col("side") == 0, F.col("p")).otherwise(F.col("q"))
+    others = F.when(itself | (F.col("side") == 1), F.col("p")).otherwise(F.col("q"))
+    spread = (
+        opened.drop("n_shingles").join(stage_lookup(sizes.filter("low = high OR (p > 0 AND q > 0)"), "sizes"), ["low", "high"])
+        .withColumn("x", F.pmod(F.xxhash64("doc_id"), mine).cast("int"))
+        .withColumn("y", F.explode(F.sequence(F.lit(0), others - 1)))
+        .withColumn("swap", F.when(itself, F.col("x") > F.col("y")).otherwise(F.col("side") == 1))
     )
-    members = (
-        sets.join(parts, "grp").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
-        .join(sides, ["grp", "part"]).select("tile", "side", "alone", "doc_id", "tokens")
+    first, second = F.when(F.col("swap"), F.col("y")).otherwise(F.col("x")), F.when(F.col("swap"), F.col("x")).otherwise(F.col("y"))
+    placed = spread.select(
+        "doc_id", F.xxhash64("low", "high", first, second).alias("tile"), F.col("swap").cast("int").alias("side"),
+        (itself & (F.col("x") == F.col("y"))).alias("alone"),
     )
+    members = sets.select("doc_id", "tokens").join(stage_lookup(placed, "placed"), "doc_id")
 
     def run(table: pa.Table) -> pa.Table:
         found = open_tile(
@@ -426,19 +473,22 @@ def join(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
-    frequent = spark.sparkContext.broadcast(frequent_tokens(docs, buckets))
-    met = stage(matrix_pairs(docs, buckets, frequent), "met")
-    bloom = spark.sparkContext.broadcast(_bloom(met))
-    sets = stage(document_sets(docs, buckets, frequent, bloom), "sets")
+    buckets = 1 << (buckets - 1).bit_length()
+    with small_batches(spark):
+        frequent = spark.sparkContext.broadcast(frequent_tokens(docs, buckets))
+        opened = stage(openings(stage(matrix_pairs(docs, buckets, frequent), "met")), "openings")
+        release(spark)
+        bloom = spark.sparkContext.broadcast(_bloom(opened))
+        sets = stage(document_sets(docs, buckets, frequent, bloom), "sets")
     signs = ["sign_a", "sign_b", "n_shingles"]
     named = sets.filter("sign_a IS NOT NULL")
-    copies = stage(
+    copies = stage_lookup(
         named.groupBy(*signs).agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n"), "copies"
     )
     first = F.coalesce("first", "doc_id")
     narrow = sets.drop("tokens", "grp").join(copies, signs, "left").select("doc_id", "n_shingles", first.alias("first"))
     distinct = sets.filter("tokens IS NOT NULL").join(copies, signs, "left").filter(F.col("doc_id") == first)
-    found = links(distinct.select("doc_id", "n_shingles", "grp", "tokens"), met)
+    found = links(distinct.select("doc_id", "n_shingles", "tokens"), opened)
     repeated = narrow.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("first").alias("u"), F.max("first").alias("v")).filter("u < v")
     parts = components(found.unionByName(repeated.select("u", "v")))
     return narrow.join(stage(parts, "components").withColumnRenamed("node", "first"), "first", "left").select(
