@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lorebase.functions.text import let
-from lorebase.llm.common import stage
+from lorebase.llm.common import stage, stage_lookup
 
 SPACE, SPACE_CLASS = " \t\n\x0b\x0c\r", r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
@@ -116,9 +116,9 @@ def _group() -> Column:
     return F.concat_ws("", *(F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("-")) for c in ("lang", "source")))
 
 
-def _distances(vectors: DataFrame, estimate: DataFrame) -> DataFrame:
+def _distances(vectors: DataFrame, estimate: DataFrame, how: str = "inner") -> DataFrame:
     """Adds ``distance``, the squared Mahalanobis distance of every row (columns g, x0..) to its group's estimate."""
-    joined = vectors.join(estimate, "g")
+    joined = vectors.join(estimate, "g", how)
     for item in _solved():
         joined = joined.selectExpr("*", item)
     return joined.selectExpr("*", f"{DISTANCE} AS distance")
@@ -150,16 +150,17 @@ def annotate(docs: DataFrame, *, cutoff: float = CUTOFF) -> DataFrame:
     ``kept`` is false where the base rules fail and else tells whether the vector lies within ``cutoff``
     of the estimate for its language and source. A null text is empty; a null language or source is a group
     of its own; null keys and repeated rows are rows like others. Rows that fail the base rules do not
-    enter the estimates. An empty table gives no rows. The rows are written once with their statistics; only
-    partial sums and tables of one row per group are shuffled.
+    enter the estimates. An empty table gives no rows. The statistics are computed twice, for the estimates and
+    for the rows, so that texts are neither written nor shuffled (unless the table of one row per group is
+    too large to broadcast).
     """
-    keyed = docs.select(_group().alias("g"), "text", F.struct("*").alias("row"))
-    rows = stage(statistics(keyed, "g", "row"), "statistics")
-    estimate = _estimates(rows.filter("NOT base_failed").selectExpr("g", *VALUES))
-    judged = _distances(rows.filter("NOT base_failed").selectExpr("*", *VALUES), estimate)
-    passed = judged.selectExpr("row", *BASE, "base_failed", f"distance <= {cutoff} AS kept")
-    failed = rows.filter("base_failed").selectExpr("row", *BASE, "base_failed", "false AS kept")
-    return passed.unionByName(failed).select("row.*", F.struct(*BASE, "base_failed", "kept").alias("base"))
+    grouped = docs.select(_group().alias("g"), "text")
+    # filtered after it is written: a filter that Spark pushes below the statistics would compute them again
+    vectors = stage(statistics(grouped, "g").selectExpr("g", "base_failed", *VALUES), "vectors").filter("NOT base_failed")
+    estimate = stage_lookup(_estimates(vectors.drop("base_failed")), "estimate")
+    rows = statistics(docs.select(_group().alias("g"), "text", F.struct("*").alias("row")), "g", "row").selectExpr("*", *VALUES)
+    judged = _distances(rows, estimate, "left").withColumn("kept", F.expr(f"CASE WHEN base_failed THEN false ELSE distance <= {cutoff} END"))
+    return judged.select("row.*", F.struct(*BASE, "base_failed", "kept").alias("base"))
 
 
 def rate(docs: DataFrame, *, cutoff: float = CUTOFF) -> DataFrame:
