@@ -20,7 +20,7 @@ WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 BASE = (((b"mit", b"license"), "mit"), ((b"apache", b"license"), "apache"), ((b"general", b"public", b"license"), "gpl"))
 BASE_SCORE = 0.6
 
-# label, keyword, name pattern ("_" stands for white space or a hyphen, "#v" for an optional version word)
+# label, keyword, name pattern ("_" stands for white space or a hyphen, "_?" for none or more, "#v" for an optional version word)
 NAMES = (
     ("mit", "mit", r"(?:the_)?mit(?:_\(expat\))?_licen[sc]e"),
     ("mit-0", "mit", r"mit_no_attribution(?:_licen[sc]e)?"),
@@ -137,7 +137,7 @@ def rules() -> tuple[Rule, ...]:
     out = []
 
     def add(kind: str, label: str, priority: int, score: float, keyword: str, pattern: str) -> None:
-        pattern = pattern.replace("#v", r"(?:v(?:ersion|er)?\.?[\s-]*)?").replace("_", r"[\s_-]+")
+        pattern = pattern.replace("#v", r"(?:v(?:ersion|er)?\.?[\s-]*)?").replace("_?", "~").replace("_", r"[\s_-]+").replace("~", r"[\s_-]*")
         expression = re.compile(rb"(?<![0-9a-z\x80-\xff])(?:" + pattern.encode() + rb")(?![0-9a-z\x80-\xff]|\.[0-9])")
         out.append(Rule(f"{kind}-{len(out)}", label, priority, score, keyword.encode(), expression))
 

@@ -130,6 +130,51 @@ def test_suppression_and_priority():
     assert kept("permit licenses, emit license") == []
 
 
+# the official spelling of every named rule, in the order of licenses.NAMES
+OFFICIAL = (
+    "MIT License", "MIT No Attribution", "X11 License", "Apache Software License 1.1", "Apache License, Version 2.0", "BSD 2-Clause License",
+    "BSD 3-Clause License", "BSD 4-Clause License", "BSD Zero Clause License", "BSD-style license", "ISC License", "zlib License", "libpng License",
+    "Boost Software License 1.0", "The Unlicense", "Do What The Fuck You Want To Public License", "GNU General Public License v1.0",
+    "GNU General Public License, version 2", "GNU General Public License v3.0", "GPLv2", "GPLv3", "GNU Library General Public License, version 2.0",
+    "GNU Lesser General Public License v2.1", "GNU Lesser General Public License v3.0", "LGPLv2.1", "LGPLv3", "GNU Affero General Public License v3.0",
+    "AGPLv3", "GNU Free Documentation License v1.1", "GNU Free Documentation License v1.2", "GNU Free Documentation License v1.3",
+    "Mozilla Public License 1.0", "Mozilla Public License 1.1", "Mozilla Public License, v. 2.0", "Eclipse Public License 1.0", "Eclipse Public License - v 2.0",
+    "Eclipse Distribution License - v 1.0", "Common Development and Distribution License 1.0", "Common Development and Distribution License 1.1",
+    "Common Public License 1.0", "Common Public Attribution License 1.0", "European Union Public Licence 1.1", "European Union Public Licence v. 1.2",
+    "Artistic License 1.0", "Artistic License 2.0", "Microsoft Public License", "Microsoft Reciprocal License", "Open Software License 3.0",
+    "Academic Free License v3.0", "SIL Open Font License 1.1", "Python Software Foundation License 2.0", "PHP License v3.01", "Ruby License",
+    "PostgreSQL License", "OpenSSL License", "Vim License", "University of Illinois/NCSA Open Source License", "Universal Permissive License v1.0",
+    "Q Public License 1.0", "LaTeX Project Public License v1.3c", "Business Source License 1.1", "Server Side Public License, v 1",
+    "Open Data Commons Open Database License v1.0", "Open Data Commons Attribution License v1.0", "Public Domain Dedication and License 1.0", "CC0 1.0 Universal",
+)
+TERMS = {
+    "by": "Attribution", "by-sa": "Attribution-ShareAlike", "by-nc": "Attribution-NonCommercial", "by-nd": "Attribution-NoDerivatives",
+    "by-nc-sa": "Attribution-NonCommercial-ShareAlike", "by-nc-nd": "Attribution-NonCommercial-NoDerivatives",
+}
+
+
+def official():
+    """(label, official spelling) of the named rules, in the order of the rules."""
+    yield from zip((n[0] for n in licenses.NAMES), OFFICIAL, strict=True)
+    for short, long in TERMS.items():
+        for version in ("1.0", "2.0", "2.5", "3.0", "4.0"):
+            ending = "Generic" if version < "3" else "Unported" if version < "4" else "International"
+            yield f"cc-{short}-{version}", f"CC {short.upper()} {version}"
+            yield f"cc-{short}-{version}", f"Creative Commons {long} {version} {ending}"
+
+
+def test_every_named_rule_matches_its_official_spelling():
+    for kind, before in (("name", ""), ("grant", "Licensed under the ")):
+        rules = [r for r in licenses.rules() if r.name.startswith(kind)]
+        for rule, (label, text) in zip(rules, official(), strict=True):
+            assert rule.label == label and rule.pattern.fullmatch((before + text).lower().encode()), (rule.name, text)
+    for text, label in (("Attribution-NoDerivs 3.0 Unported", "by-nd-3.0"), ("Attribution-NonCommercial-NoDerivs 2.5", "by-nc-nd-2.5"), ("Attribution Share Alike 4.0", "by-sa-4.0")):
+        assert kept(f"Creative Commons {text}") == [(f"cc-{label}", "name")]
+    for text in ("GPLv3", "GPL v3", "GPL-3", "GPL 3.0", "gpl3", "GNU GPL, version 3"):
+        assert kept(text) == [("gpl-3.0", "name")]
+    assert kept("GPLv31 xgplv3 gplv3x") == []
+
+
 def test_containment_equals_brute_force():
     rng = random.Random(3)
     pieces = ["mit license", "licensed under", "the", "gnu general public license", "version 2", "version 2.0", "gpl v3", "apache license", "lesser", "cc by 4.0", "x"]
