@@ -43,7 +43,7 @@ NAMES = (
     ("gpl-3.0", "general", r"gnu_general_public_licen[sc]e,?_#v3(?:\.0)?"),
     ("gpl-2.0", "gpl", r"(?:gnu_)?gpl,?_?#v2(?:\.0)?"),
     ("gpl-3.0", "gpl", r"(?:gnu_)?gpl,?_?#v3(?:\.0)?"),
-    ("lgpl-2.0", "lesser", r"gnu_(?:lesser|library)_general_public_licen[sc]e,?_#v2(?:\.0)?"),
+    ("lgpl-2.0", "general", r"gnu_(?:lesser|library)_general_public_licen[sc]e,?_#v2(?:\.0)?"),
     ("lgpl-2.1", "lesser", r"gnu_lesser_general_public_licen[sc]e,?_#v2\.1"),
     ("lgpl-3.0", "lesser", r"gnu_lesser_general_public_licen[sc]e,?_#v3(?:\.0)?"),
     ("lgpl-2.1", "lgpl", r"(?:gnu_)?lgpl,?_?#v2\.1"),

@@ -175,6 +175,40 @@ def test_every_named_rule_matches_its_official_spelling():
     assert kept("GPLv31 xgplv3 gplv3x") == []
 
 
+def spellings(parsed):
+    """One text for every way through the alternatives and options of a parsed expression."""
+    out = [""]
+    for op, value in parsed:
+        name = str(op)
+        if name == "LITERAL":
+            more = [chr(value)]
+        elif name == "IN":
+            more = [" " if str(value[0][0]) == "CATEGORY" else chr(value[0][1])]
+        elif name == "SUBPATTERN":
+            more = spellings(value[3])
+        elif name == "BRANCH":
+            more = [x for branch in value[1] for x in spellings(branch)]
+        elif name == "MAX_REPEAT":
+            more = [""] * (value[0] == 0) + spellings(value[2])
+        else:
+            assert name in ("ASSERT", "ASSERT_NOT", "AT")
+            continue
+        out = [a + b for a in out for b in more]
+    return out
+
+
+def test_keyword_lies_in_every_spelling_of_its_rule():
+    for rule in licenses.rules():
+        # grants repeat the names with their keywords; the Apache notice is only taken in texts that name Apache
+        if not rule.name.startswith("grant") and (rule.name[:4], rule.label) != ("text", "apache-2.0"):
+            for text in spellings(re._parser.parse(rule.pattern.pattern)):
+                assert rule.keyword.decode() in text, (rule.name, text)
+    for label, text in official():
+        assert [d[0] for d in kept(text)] == [label] and [d[0] for d in kept(f"Licensed under the {text}")] == [label]
+    for text in ("GNU Library General Public License version 2", "GNU Library General Public License, v2.0"):
+        assert kept(text) == [("lgpl-2.0", "name")] and kept(f"released under the terms of the {text}") == [("lgpl-2.0", "grant")]
+
+
 def test_containment_equals_brute_force():
     rng = random.Random(3)
     pieces = ["mit license", "licensed under", "the", "gnu general public license", "version 2", "version 2.0", "gpl v3", "apache license", "lesser", "cc by 4.0", "x"]
