@@ -3,7 +3,8 @@
 The pages of a host are merged into one tree of styles: a node is a path of tags and classes. For every
 branch that may hold boilerplate, entropies over the host's distinct pages tell how varied its layout
 (presentation) and its blocks (content) are. Branches of low importance are cut from each page, after
-those whose tag or class already names them as menus, notices, adverts, forms or comments.
+those whose tag or class already names them as menus, notices, adverts, forms or comments. A class that
+holds other words too, such as has-sidebar, proves nothing: there the tree decides.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -112,36 +114,86 @@ def parse(html: str) -> Node:
     return tree.root
 
 
-def _named(node: Node, inside: bool) -> bool:
-    """Whether tag, role, class or id name the element as something other than the article."""
-    if node.tag in CUT_TAGS or node.hidden or node.role in CUT_ROLES:
-        return True
-    if node.tag == "header" and not inside:
-        return True
+@lru_cache(maxsize=1 << 16)
+def _words(names: tuple[str, ...], inside: bool) -> int:
+    """0 if no class or id has a word of boilerplate, 1 if only beside other words, 2 if one consists of them."""
+    level = 0
+    for name in names:
+        words = {w.lower() for w in _WORDS.findall(name) if not w.isdigit()}
+        if cut := {w for w in words if w in CUT_WORDS or (w == "header" and not inside)}:
+            level = max(level, 1 + (cut == words))
+    return level
+
+
+def _hard(node: Node, inside: bool) -> bool:
+    """Whether tag, role or state name the element as something other than the article."""
+    return node.tag in CUT_TAGS or node.hidden or node.role in CUT_ROLES or (node.tag == "header" and not inside)
+
+
+def _level(node: Node, inside: bool) -> int:
+    """How surely class or id name the element as something other than the article: 0 not, 1 beside other words, 2 surely."""
     if node.tag in ("html", "body", "main") or not node.names:
-        return False
-    words = {w.lower() for name in node.names for w in _WORDS.findall(name)}
-    return bool(words & CUT_WORDS) or ("header" in words and not inside)
+        return 0
+    level = _words(node.names, inside)
+    return 0 if level == 1 and (node.tag == "article" or node.role == "main") else level
 
 
 def _removable(node: Node, inside: bool) -> bool:
-    """Whether the style tree may cut this branch; plain text elements never go, so copied articles stay."""
-    return node.tag not in PLAIN and (not inside or bool(node.names) or node.tag in CUT_TAGS)
+    """Whether the style tree may cut this branch; plain text elements go only by name, so copied articles stay."""
+    if node.tag in PLAIN:
+        return _level(node, inside) == 1
+    return not inside or bool(node.names) or node.tag in CUT_TAGS
+
 
+def _weights(root: Node) -> dict[int, int]:
+    """Characters of text below every element, by id(), without what tag, role or state cut inside it."""
+    order, todo = [], [root]
+    while todo:
+        node = todo.pop()
+        order.append(node)
+        todo += [p for p in node.parts if isinstance(p, Node) and not _hard(p, True)]
+    out: dict[int, int] = {}
+    for node in reversed(order):
+        out[id(node)] = sum(len("".join(p.split())) if isinstance(p, str) else out.get(id(p), 0) for p in node.parts)
+    return out
 
-def _starts(root: Node) -> list[Node]:
-    """The outermost articles, else main elements, else the whole page."""
-    for test in (lambda n: n.tag == "article", lambda n: n.tag == "main" or n.role == "main"):
-        found, todo = [], [root]
+
+def _starts(root: Node) -> tuple[list[Node], set[int]]:
+    """Where extraction starts, and the ids of named elements that hold an article or main and so are no boilerplate.
+
+    The outermost articles, else main elements, else the whole page. Articles and main elements below elements
+    with boilerplate in their names count too if they hold more text than all that stands outside of them: the
+    longest start found elsewhere, else the rest of the page. Shorter ones are teasers and comments.
+    """
+    found: list[list[list[tuple[int, Node, tuple]]]] = [[[], []] for _ in range(3)]  # by level and kind
+    for kind, test in enumerate((lambda n: n.tag == "article", lambda n: n.tag == "main" or n.role == "main")):
+        todo: list[tuple[Node, int, tuple]] = [(root, 0, ())]
+        place = 0
         while todo:
-            node = todo.pop()
-            if test(node) and not _named(node, True):
-                found.append(node)
-            elif not _named(node, False):
-                todo += [p for p in reversed(node.parts) if isinstance(p, Node)]
-        if found:
-            return found
-    return [root]
+            node, level, above = todo.pop()
+            place += 1
+            if test(node) and not _hard(node, True):
+                found[max(level, _level(node, True))][kind].append((place, node, above))
+            elif not _hard(node, False):
+                if own := _level(node, False):
+                    level, above = max(level, own), (node, above)
+                todo += [(p, level, above) for p in reversed(node.parts) if isinstance(p, Node)]
+    holders: set[int] = set()
+    starts = found[0][0] or found[0][1]
+    weights = _weights(root) if any(map(any, found[1:])) else {}
+    for level in (1, 2):
+        wrapped = found[level][0] or found[level][1]
+        held = sum(weights.get(id(n), 0) for _, n, _ in wrapped)
+        rest = weights.get(id(root), 0) - held
+        if level == 1 or held > rest:
+            for _, node, above in (*found[level][0], *found[level][1]):
+                holders.add(id(node))
+                while above and id(above[0]) not in holders:
+                    holders.add(id(above[0]))
+                    above = above[1]
+        least = max((weights.get(id(n), 0) for _, n, _ in starts), default=0 if held > rest else rest)
+        starts = sorted([*starts, *(w for w in wrapped if weights.get(id(w[1]), 0) > least)], key=lambda w: w[0])
+    return [n for _, n, _ in starts] or [root], holders | {id(n) for _, n, _ in starts}
 
 
 def walk(node: Node, path: str, inside: bool, leave) -> Iterator[tuple[str, str | None]]:
@@ -190,20 +242,28 @@ def _joined(pieces: Iterator[tuple[str, str | None]]) -> Iterator[tuple[str, str
         yield first, block
 
 
-def extract(html: str, low: frozenset[str] = frozenset()) -> str:
-    """The main text; ``low`` are the paths of low importance on the page's host.
+def extract(html: str, low: frozenset[str] | None = None) -> str:
+    """The main text; ``low`` are the paths of low importance on the page's host, None if the host has no tree.
 
-    If the low branches hold all text that is left, they are not cut.
+    With a tree, a class or id that has other words beside those of boilerplate cuts nothing. Without, it cuts
+    what holds less than half of the text. If these or the low branches hold all text that is left, they are not cut.
     """
     root = parse(html)
-    starts = _starts(root)
+    starts, holders = _starts(root)
     inside = starts[0] is not root
+    weights = _weights(root) if low is None else {}
+    half = sum(weights.get(id(s), 0) for s in starts) / 2
+
+    def text(cut: frozenset[str], named: bool) -> str:
+        def leave(node: Node, path: str, deep: bool) -> bool:
+            if _hard(node, deep) or (path in cut and _removable(node, deep)):
+                return True
+            level = _level(node, deep)
+            return bool(level) and id(node) not in holders and (level == 2 or (named and weights.get(id(node), 0) < half))
 
-    def text(cut: frozenset[str]) -> str:
-        leave = lambda n, path, deep: _named(n, deep) or (path in cut and _removable(n, deep))
         return "\n\n".join(b for start in starts for _, b in _joined(walk(start, "", inside, leave)))
 
-    return text(low) or text(frozenset())
+    return text(low or frozenset(), low is None) or text(frozenset(), False)
 
 
 def _hash(value: str) -> int:
@@ -213,8 +273,8 @@ def _hash(value: str) -> int:
 def style_rows(html: str) -> tuple[int, set[tuple[str, int, int]]]:
     """A page's signature (its article) and its nodes: (path, 0, layout) and (path, 1, block) of removable branches."""
     root = parse(html)
-    starts = _starts(root)
-    kept = lambda n, _path, deep: _named(n, deep)
+    starts, holders = _starts(root)
+    kept = lambda n, _path, deep: _hard(n, deep) or (_level(n, deep) == 2 and id(n) not in holders)
     page = _hash("\n".join(b for s in starts for _, b in _joined(walk(s, "", starts[0] is not root, kept))))
     rows: set[tuple[str, int, int]] = set()
     # paths are relative to the start of extraction; branches outside an article are seen from the root
@@ -240,7 +300,7 @@ def style_rows(html: str) -> tuple[int, set[tuple[str, int, int]]]:
 
 
 def low_branches(pages: DataFrame, *, gamma: float = GAMMA, threshold: float = THRESHOLD, least_pages: int = LEAST_PAGES) -> DataFrame:
-    """Branches of low importance: ``host, low`` (sorted paths).
+    """Branches of low importance: ``host, low`` (sorted paths, maybe none) of every host with enough pages.
 
     With m distinct pages on a host, a block on c of them has content entropy log_m(c); a branch's
     content importance is one minus the mean over its blocks, its presentation importance the entropy
@@ -273,8 +333,9 @@ def low_branches(pages: DataFrame, *, gamma: float = GAMMA, threshold: float = T
     base = F.log("m")
     content = F.when(F.col("blocks") > 0, 1 - F.col("shared") / F.col("blocks") / base).otherwise(1.0)
     layout = F.when(F.col("layouts") > 0, (F.log("layouts") - F.col("like") / F.col("layouts")) / base).otherwise(1.0)
-    scored = nodes.filter("path <> ''").drop("m").join(hosts, "host").withColumn("importance", (1 - gamma) * layout + gamma * content)
-    return scored.filter(F.col("importance") < threshold).groupBy("host").agg(F.sort_array(F.collect_list("path")).alias("low"))
+    scored = nodes.drop("m").join(hosts, "host").withColumn("importance", (1 - gamma) * layout + gamma * content)
+    low = F.when((F.col("path") != "") & (F.col("importance") < threshold), F.col("path"))
+    return scored.groupBy("host").agg(F.sort_array(F.collect_list(low)).alias("low"))
 
 
 def main_text(pages: DataFrame, **options) -> DataFrame:
@@ -291,7 +352,7 @@ def main_text(pages: DataFrame, **options) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [
-                extract(html.as_py(), frozenset(cut or ()))
+                extract(html.as_py(), None if cut is None else frozenset(cut))
                 for html, cut in zip(batch.column(2), batch.column(3).to_pylist(), strict=True)
             ]
             yield pa.RecordBatch.from_arrays(

@@ -27,6 +27,23 @@ def test_article():
     assert htmltext.extract("<div>" * 5000 + "deep") == "deep"
 
 
+def test_wrappers_with_boilerplate_words_in_their_names():
+    for wrap in ("<div class='content-sidebar-wrap'>{}</div>", "<div class='has-sidebar'>{}</div>", "<div id='page' class='with-comments x'>{}</div>", "<div class='sidebar'>{}</div>"):
+        for inner in ("<main><p>Whole text.</p></main>", "<article><p>Whole text.</p></article>", "<div role=main class=no-sidebar><p>Whole text.</p></div>"):
+            for outside in ("", "<div>Site</div>", "<nav>Menu</nav>"):
+                for low in (None, frozenset()):
+                    assert htmltext.extract(outside + wrap.format(inner), low) == "Whole text.", (wrap, inner, outside)
+    assert htmltext.extract("<main>" + "<div class='sidebar'><article><p>Whole text.</p></article></div></main>") == "Whole text."
+    assert htmltext.extract("<article class='post comments-open'><p>Whole text.</p></article><article class='post'><p>Second.</p></article>") == "Whole text.\n\nSecond."
+    assert htmltext.extract("<article><div class='entry-share-enabled'><p>Whole text.</p></div></article>") == "Whole text."
+    assert htmltext.extract("<div>Site</div><div class='no-sidebar'><p>Whole text here.</p></div>").endswith("Whole text here.")
+    # what is named and short, or surely named, still goes
+    teasers = "<div class='related-posts'><article>Other</article></div><div id='comments'><article>First!</article></div>"
+    assert htmltext.extract(f"<article><p>Whole text.</p></article>{teasers}") == "Whole text."
+    assert htmltext.extract(f"<main><p>Whole text.</p></main>{teasers}") == "Whole text."
+    assert htmltext.extract("<main><p>Whole text.</p><div class='sidebar'>Side</div><div class='widget-3'>More and more and more</div></main>") == "Whole text."
+
+
 def test_never_fails():
     rng = random.Random(1)
     parts = ["<", ">", "<p", "</", "<!--", "-->", "<![if x]>", "<![CDATA[", "]]>", "<?", "&", "&#x;", "&#99999999;", "<article>", "</p>", "x", "<script>", '"', "'", "=", "<a b=c", "\0", "<!", "<table><tr>"]
@@ -62,6 +79,15 @@ def test_style_tree_cuts_only_shared_branches(pages):
     assert htmltext.main_text(pages.limit(0)).count() == 0
 
 
+def test_style_tree_decides_on_names_of_several_words(spark):
+    body = lambda i: (
+        f'<div class="logo-text">Site {i}</div><div class="content-sidebar-wrap"><div class="share-box">Share this</div><div class="no-sidebar">Story {i}</div></div>'
+        '<p class="related-line">See more</p><div class="comments">Nice</div>'
+    )
+    rows = htmltext.main_text(spark.createDataFrame([r[:3] for r in site("w.org", 6, body)], "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text for r in rows} == {i: f"Site {i}\n\nStory {i}" for i in range(6)}
+
+
 def test_equals_articles_of_the_table(spark, sf):
     rows = {r.page_id: r.text for r in htmltext.main_text(table(spark, sf, "pages")).collect()}
     for r in table(spark, sf, "pages").collect():
