@@ -135,6 +135,29 @@ def vector_topk_coded(spark: SparkSession, d: str) -> DataFrame:
     return vector.vector_topk_coded(*centroids(spark, d), 10)
 
 
+def stored(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """All vectors, and those whose id is divisible by 100 as the queries."""
+    e = table(spark, d, "embeddings")
+    vectors = e.select(F.col("vec_id").cast("string").alias("vector_id"), "embedding", "label")
+    return e.filter("vec_id % 100 = 0").select(F.col("vec_id").cast("string").alias("query_id"), "embedding"), vectors
+
+
+def vector_topk_stored(spark: SparkSession, d: str) -> DataFrame:
+    return vector.vector_topk(*stored(spark, d), 10)
+
+
+def vector_topk_stored_blocked(spark: SparkSession, d: str) -> DataFrame:
+    return vector.vector_topk(*stored(spark, d), 10, broadcast_queries=0)
+
+
+def vector_topk_stored_lsh(spark: SparkSession, d: str) -> DataFrame:
+    return vector.vector_topk_lsh(*stored(spark, d), 10, dims=DIMS)
+
+
+def vector_topk_stored_coded(spark: SparkSession, d: str) -> DataFrame:
+    return vector.vector_topk_coded(*stored(spark, d), 10)
+
+
 def vector_topk_scoped(spark: SparkSession, d: str) -> DataFrame:
     return Corpus(spark, d).semantic(TOP_K)
 
@@ -359,6 +382,10 @@ QUERIES = {
     "vector_topk_lsh": vector_topk_lsh,
     "vector_topk_scoped": vector_topk_scoped,
     "vector_topk_coded": vector_topk_coded,
+    "vector_topk_stored": vector_topk_stored,
+    "vector_topk_stored_blocked": vector_topk_stored_blocked,
+    "vector_topk_stored_lsh": vector_topk_stored_lsh,
+    "vector_topk_stored_coded": vector_topk_stored_coded,
     "channel_merge": channel_merge,
     "rrf": rrf,
     "hybrid_basic": hybrid_basic,
@@ -464,6 +491,10 @@ define("label_pairs", """
     SELECT 'label' || m.label AS query_id, CAST(e.vec_id AS VARCHAR) AS vector_id,
            round(round((1 + list_dot_product(m.m, e.embedding::DOUBLE[]) / sqrt(list_dot_product(m.m, m.m) * list_dot_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[]))) / 2, 9), 6) AS score
     FROM label_means m, embeddings e""")
+define("stored_pairs", """
+    SELECT CAST(m.vec_id AS VARCHAR) AS query_id, CAST(e.vec_id AS VARCHAR) AS vector_id,
+           round(round((1 + list_dot_product(m.embedding::DOUBLE[], e.embedding::DOUBLE[]) / sqrt(list_dot_product(m.embedding::DOUBLE[], m.embedding::DOUBLE[]) * list_dot_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[]))) / 2, 9), 6) AS score
+    FROM embeddings m, embeddings e WHERE m.vec_id % 100 = 0""")
 define("label_codes", """
     SELECT label, list_transform(m, lambda x: CAST(round(x * 127 / list_max(list_transform(m, lambda y: abs(y)))) AS DOUBLE)) AS c FROM label_means""")
 define("vector_codes", """
@@ -475,6 +506,12 @@ define("coded_pairs", """
     FROM label_codes m, vector_codes e""")
 define("coded_best", """
     SELECT query_id, vector_id FROM coded_pairs QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vector_id) <= 40""")
+define("stored_coded_pairs", """
+    SELECT CAST(m.vec_id AS VARCHAR) AS query_id, CAST(e.vec_id AS VARCHAR) AS vector_id,
+           round(round((1 + list_dot_product(m.c, e.c) / sqrt(list_dot_product(m.c, m.c) * list_dot_product(e.c, e.c))) / 2, 9), 6) AS score
+    FROM vector_codes m, vector_codes e WHERE m.vec_id % 100 = 0""")
+define("stored_coded_best", """
+    SELECT query_id, vector_id FROM stored_coded_pairs QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vector_id) <= 40""")
 define("phrases", f"""
     SELECT b.query_id, b.chunk_id, b.idf_sum, len(c.w) AS length,
            len(list_filter(range(1, len(c.w) - len(q.p) + 2), lambda i: c.w[i:i + len(q.p) - 1] = q.p)) AS tf
@@ -546,8 +583,11 @@ ORACLE = {
     "bm25_phrase": query(_ranked("boosted", TOP_K, columns="query_id, chunk_id, score")),
     "vector_topk": query(_ranked("label_pairs", 10, columns="query_id, vector_id, score", tie="vector_id")),
     "vector_topk_blocked": query(_ranked("label_pairs", 10, columns="query_id, vector_id, score", tie="vector_id")),
+    "vector_topk_stored": query(_ranked("stored_pairs", 10, columns="query_id, vector_id, score", tie="vector_id")),
+    "vector_topk_stored_blocked": query(_ranked("stored_pairs", 10, columns="query_id, vector_id, score", tie="vector_id")),
     "vector_topk_scoped": query("SELECT * FROM vector_hits"),
     "vector_topk_coded": query(_ranked("(SELECT p.* FROM label_pairs p JOIN coded_best b USING (query_id, vector_id))", 10, columns="query_id, vector_id, score", tie="vector_id")),
+    "vector_topk_stored_coded": query(_ranked("(SELECT p.* FROM stored_pairs p JOIN stored_coded_best b USING (query_id, vector_id))", 10, columns="query_id, vector_id, score", tie="vector_id")),
     "channel_merge": query(f"""
         SELECT query_id, chunk_id, score, variant_no, rank FROM (
             SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM (

@@ -220,3 +220,21 @@ def test_coded_search_recall_and_candidate_share(spark):
     found = {(r.query_id, r.vector_id) for r in vector.vector_topk_coded(q, v, 10).collect()}
     assert len(exact & found) >= 0.9 * len(exact)
     assert vector.candidate_budget(10) <= 0.05 * v.count() and [vector.candidate_budget(k) for k in (1, 5_000, 20_000)] == [4, 10_000, 20_000]
+
+
+@pytest.mark.parametrize("k", [1, 10, 50])
+def test_coded_search_recall_for_stored_vectors(spark, k):
+    from lorebase.operators import vector
+    from lorebase.plans import retrieval
+
+    q, v = retrieval.stored(spark, "/root/testdata/sf0.1")
+    e = np.array([r.embedding for r in v.orderBy(v.vector_id.cast("long")).collect()], dtype=float)
+    e /= np.linalg.norm(e, axis=1, keepdims=True)
+    names = [r.vector_id for r in v.select("vector_id").orderBy(v.vector_id.cast("long")).collect()]
+    exact = {(n, names[j]) for n, x in zip(names, e, strict=True) if int(n) % 100 == 0 for j in np.argsort(-(e @ x))[:k]}
+    assert q.count() == sum(int(n) % 100 == 0 for n in names) > 10
+    found = {(r.query_id, r.vector_id) for r in vector.vector_topk_coded(q, v, k).collect()}
+    assert len(exact & found) >= 0.9 * len(exact)
+    for options in ({}, {"broadcast_queries": 0}):
+        found = {(r.query_id, r.vector_id) for r in vector.vector_topk(q, v, k, **options).collect()}
+        assert len(exact & found) >= 0.999 * len(exact)
