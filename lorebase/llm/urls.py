@@ -7,6 +7,7 @@ the hosts that link to them. A host whose distrust outweighs its trust by a thre
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -21,7 +22,7 @@ RULES: tuple[Rule, ...] = (
 )
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 HREF = r"""(?i)<a\s[^>]*?href\s*=\s*["']?((?:[a-z][a-z0-9+.-]*:)?//[^"'\s>]+)"""
-DAMPING, ROUNDS, TOLERANCE, THRESHOLD = 0.85, 30, 1e-9, 0.5
+DAMPING, ROUNDS, TOLERANCE, THRESHOLD = 0.85, 30, 1e-9, 0.5  # ROUNDS: steps of the check SQL
 
 
 def host_of(url: Column) -> Column:
@@ -54,8 +55,10 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return pairs.filter("src <> '' AND dst <> '' AND src <> dst").groupBy("src", "dst").agg(F.count("*").alias("links"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, *, damping: float, rounds: int, tolerance: float) -> DataFrame:
-    """Scores ``host, kind, score`` after at most ``rounds`` steps, or when no score moves by more than ``tolerance``.
+def propagate(edges: DataFrame, seeds: DataFrame, *, damping: float, rounds: int | None, tolerance: float) -> DataFrame:
+    """Scores ``host, kind, score`` when no score moves by more than ``tolerance``, or after ``rounds`` steps if given.
+
+    The sum of all moves falls by ``damping`` a step, so the steps to the tolerance are bounded by the seeds' total.
 
     ``seeds`` has ``host, kind, score`` with kind ``trust`` or ``distrust``. One equi-join and one
     pre-aggregated sum per step for both kinds; every step is written to the shared folder.
@@ -70,6 +73,9 @@ def propagate(edges: DataFrame, seeds: DataFrame, *, damping: float, rounds: int
     )
     moves = stage(forward.unionByName(backward), "moves")
     scores = seeds
+    if rounds is None:
+        total = seeds.agg(F.sum("score")).first()[0] or 0.0
+        rounds = max(1, math.ceil(math.log(tolerance / max(total, tolerance)) / math.log(damping)))
     for _ in range(rounds):
         passed = scores.join(moves, ["host", "kind"]).select(F.col("to").alias("host"), "kind", (damping * F.col("score") * F.col("share")).alias("score"))
         following = stage(seeds.unionByName(passed).groupBy("host", "kind").agg(F.sum("score").alias("score")), "scores")
@@ -84,7 +90,7 @@ def propagate(edges: DataFrame, seeds: DataFrame, *, damping: float, rounds: int
 
 
 def judge(
-    pages: DataFrame, rules: Sequence[Rule] = RULES, *, damping: float = DAMPING, rounds: int = ROUNDS,
+    pages: DataFrame, rules: Sequence[Rule] = RULES, *, damping: float = DAMPING, rounds: int | None = None,
     tolerance: float = TOLERANCE, threshold: float = THRESHOLD,
 ) -> DataFrame:
     """One row per page: ``page_id, host, path, rule, verdict``.
