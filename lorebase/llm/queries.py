@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from lorebase.llm import decontaminate, htmltext, jaccard, licenses, packing, quality, records, tokens, urls, warc
+from lorebase.llm import (
+    decontaminate, htmltext, jaccard, licenses, packing, quality, records, secretscan, spelling, tokens, urls, warc, whitening,
+)
 from lorebase.llm.common import table
 
 QUERIES = {
@@ -17,6 +19,9 @@ QUERIES = {
     "op8_pack": lambda spark, d: packing.pack(table(spark, d, "documents")),
     "op9_leaks": lambda spark, d: decontaminate.leaks(table(spark, d, "documents"), table(spark, d, "benchmark")),
     "op10_records": lambda spark, d: records.write_and_read(table(spark, d, "documents")),
+    "op11_spelling": lambda spark, d: spelling.variants(table(spark, d, "documents")),
+    "op12_whitening": lambda spark, d: whitening.whiten(table(spark, d, "embeddings")),
+    "op13_secrets": lambda spark, d: secretscan.scan(table(spark, d, "documents")).drop("findings"),
     "pipeline": corpus_pipeline.run,
 }
 
@@ -38,4 +43,5 @@ ORACLE: dict[str, str] = {
     "op1_urls": urls.check_sql(),
     "op3_jaccard": JACCARD_SQL,
     "op4_quality": quality.check_sql(),
+    "op11_spelling": spelling.check_sql(),
 }
