@@ -193,10 +193,10 @@ def candidate_budget(k: int, most: int = 10_000) -> int:
 
 
 def vector_topk_coded(queries: DataFrame, vectors: DataFrame, k: int, *, facets: tuple[str, ...] = ()) -> DataFrame:
-    """Approximate top ``k``: candidates by eight-bit codes, an eighth of the bytes, rescored exactly.
+    """Approximate top ``k`` without an index: candidates by eight-bit codes made in the query, rescored exactly.
 
-    Every vector is looked at through its code, so recall does not depend on how the vectors cluster; only
-    the candidate budget per query is fetched and scored in full precision.
+    Every vector is read and scored by its code, so recall does not depend on how the vectors cluster; only the candidate
+    budget per query is scored in full precision. With a stored index, ``ivf.search`` reads far less.
     """
     shorten = lambda df: df.withColumn("embedding", codes(F.col("embedding")))
     found = vector_topk(shorten(queries), shorten(vectors), candidate_budget(k), facets=facets).select("query_id", "vector_id")
@@ -205,40 +205,3 @@ def vector_topk_coded(queries: DataFrame, vectors: DataFrame, k: int, *, facets:
     cosine = dot(F.col("q_vector"), F.col("v_vector")) / (norm(F.col("q_vector")) * norm(F.col("v_vector")))
     scored = found.join(q, "query_id").join(v, "vector_id").select("query_id", "vector_id", F.round(F.round((1 + cosine) / 2, 9), 6).alias("score"))
     return top_k(scored, k, tie="vector_id")
-
-
-def _projections(dims: int, tables: int, seed: int) -> np.ndarray:
-    return np.random.default_rng(seed).standard_normal((tables, dims))
-
-
-def lsh_buckets(vector: Column, dims: int, *, tables: int, width: float, seed: int) -> Column:
-    """Bucket per table: floor of a seeded random projection over the bucket width."""
-    return F.array(*[
-        F.floor(dot(vector, F.array(*[F.lit(float(x)) for x in line])) / width).cast("int")
-        for line in _projections(dims, tables, seed)
-    ])
-
-
-def vector_topk_lsh(
-    queries: DataFrame, vectors: DataFrame, k: int, *, dims: int, tables: int = 12, width: float = 0.3, seed: int = 7,
-    salts: int = 8,
-) -> DataFrame:
-    """Approximate top ``k``: vectors that meet a query in a bucket of any table, rescored exactly.
-
-    An equi-join on (table, bucket, salt): salting spreads a bucket that holds a large share. All
-    candidates are rescored; only vectors that never meet the query can be missed.
-    """
-    keyed = lambda df, key: df.select(
-        F.col(key).cast("string").alias(key),
-        F.posexplode(lsh_buckets(F.col("embedding"), dims, tables=tables, width=width, seed=seed)).alias("t", "bucket"),
-    )
-    right = keyed(vectors, "vector_id").withColumn("salt", F.pmod(F.xxhash64("vector_id"), F.lit(salts)).cast("int"))
-    left = keyed(queries, "query_id").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    candidates = left.join(right, ["t", "bucket", "salt"]).select("query_id", "vector_id").distinct()
-    q = queries.select(F.col("query_id").cast("string"), F.col("embedding").alias("q_vector"))
-    v = vectors.select(F.col("vector_id").cast("string"), F.col("embedding").alias("v_vector"))
-    scored = candidates.join(q, "query_id").join(v, "vector_id").select(
-        "query_id", "vector_id",
-        F.round((1 + dot(F.col("q_vector"), F.col("v_vector")) / (norm(F.col("q_vector")) * norm(F.col("v_vector")))) / 2, 6).alias("score"),
-    )
-    return top_k(scored, k, tie="vector_id")

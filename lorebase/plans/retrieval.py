@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lorebase.functions import predicates, text as tx
 from lorebase.functions.vectors import hash_embedding, unit
-from lorebase.operators import index, rank, search, vector
+from lorebase.operators import index, ivf, rank, search, vector
 from lorebase.plans.sqlkit import define, query
 from lorebase.sources import derived
 from lorebase.sources.staging import materialized, staged
@@ -127,10 +127,6 @@ def vector_topk_blocked(spark: SparkSession, d: str) -> DataFrame:
     return vector.vector_topk(*centroids(spark, d), 10, broadcast_queries=0)
 
 
-def vector_topk_lsh(spark: SparkSession, d: str) -> DataFrame:
-    return vector.vector_topk_lsh(*centroids(spark, d), 10, dims=DIMS)
-
-
 def vector_topk_coded(spark: SparkSession, d: str) -> DataFrame:
     return vector.vector_topk_coded(*centroids(spark, d), 10)
 
@@ -150,8 +146,20 @@ def vector_topk_stored_blocked(spark: SparkSession, d: str) -> DataFrame:
     return vector.vector_topk(*stored(spark, d), 10, broadcast_queries=0)
 
 
-def vector_topk_stored_lsh(spark: SparkSession, d: str) -> DataFrame:
-    return vector.vector_topk_lsh(*stored(spark, d), 10, dims=DIMS)
+def vector_index(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, ivf.Quantizer | None]:
+    """Index blocks, vectors bucketed by id, and the quantizer; all written once per corpus."""
+    _, vectors = stored(spark, d)
+    held = staged(spark, d, "index-vectors", lambda: vectors, bucket_by="vector_id", size=lambda: 4 * DIMS * vectors.count())
+    model = ivf.from_table(staged(spark, d, "index-quantizer", lambda: ivf.to_table(spark, ivf.fit(held))))
+    empty = "cell int, ids array<string>, data binary"
+    blocks = staged(spark, d, "index-blocks", lambda: spark.createDataFrame([], empty) if model is None else ivf.build(held, model))
+    return blocks, held, model
+
+
+def vector_topk_ivf(spark: SparkSession, d: str) -> DataFrame:
+    """Every hundredth stored vector against the stored index."""
+    queries, _ = stored(spark, d)
+    return ivf.search(queries, *vector_index(spark, d), 10)
 
 
 def vector_topk_stored_coded(spark: SparkSession, d: str) -> DataFrame:
@@ -379,12 +387,11 @@ QUERIES = {
     "bm25_phrase": bm25_phrase,
     "vector_topk": vector_topk,
     "vector_topk_blocked": vector_topk_blocked,
-    "vector_topk_lsh": vector_topk_lsh,
     "vector_topk_scoped": vector_topk_scoped,
     "vector_topk_coded": vector_topk_coded,
     "vector_topk_stored": vector_topk_stored,
     "vector_topk_stored_blocked": vector_topk_stored_blocked,
-    "vector_topk_stored_lsh": vector_topk_stored_lsh,
+    "vector_topk_ivf": vector_topk_ivf,
     "vector_topk_stored_coded": vector_topk_stored_coded,
     "channel_merge": channel_merge,
     "rrf": rrf,
@@ -584,6 +591,7 @@ ORACLE = {
     "vector_topk": query(_ranked("label_pairs", 10, columns="query_id, vector_id, score", tie="vector_id")),
     "vector_topk_blocked": query(_ranked("label_pairs", 10, columns="query_id, vector_id, score", tie="vector_id")),
     "vector_topk_stored": query(_ranked("stored_pairs", 10, columns="query_id, vector_id, score", tie="vector_id")),
+    "vector_topk_ivf": query(_ranked("stored_pairs", 10, columns="query_id, vector_id, score", tie="vector_id")),
     "vector_topk_stored_blocked": query(_ranked("stored_pairs", 10, columns="query_id, vector_id, score", tie="vector_id")),
     "vector_topk_scoped": query("SELECT * FROM vector_hits"),
     "vector_topk_coded": query(_ranked("(SELECT p.* FROM label_pairs p JOIN coded_best b USING (query_id, vector_id))", 10, columns="query_id, vector_id, score", tie="vector_id")),

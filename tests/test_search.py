@@ -87,17 +87,6 @@ def test_vector_paths_equal_brute_force(spark):
             assert [r[0] for r in rows(got.filter(F.col("query_id") == name).select("vector_id", "rank"), "rank")] == want[name]
 
 
-def test_lsh_recall_and_candidate_share(spark):
-    rng = np.random.default_rng(4)
-    centres = rng.standard_normal((20, 16))
-    data = [(f"v{i}", [float(x) for x in centres[i % 20] + .05 * rng.standard_normal(16)]) for i in range(600)]
-    v = spark.createDataFrame(data, "vector_id string, embedding array<double>")
-    q = v.filter("vector_id in ('v3', 'v44', 'v105')").withColumnRenamed("vector_id", "query_id")
-    exact = set(rows(vector.vector_topk(q, v, 10).select("query_id", "vector_id", "score")))
-    near = set(rows(vector.vector_topk_lsh(q, v, 10, dims=16, tables=6, width=.5).select("query_id", "vector_id", "score")))
-    assert len(exact & near) / len(exact) >= 0.9
-
-
 def hits(spark, pairs):
     return spark.createDataFrame([("q", c, "d", s, i + 1) for i, (c, s) in enumerate(pairs)], "query_id string, chunk_id string, document_id string, score double, rank int")
 
