@@ -1,7 +1,8 @@
 """Benchmark decontamination by SimHash windows, in DataFrame and SQL functions only.
 
-A document is read through windows of a benchmark item's size, laid wherever it holds a shingle of an
-item (a window without one cannot be similar). Windows and items get 64-bit SimHash fingerprints. A
+A document is read through windows of a benchmark item's size that begin at a shingle of some item: any other window shifts
+right to its first such shingle without losing one. Windows with too few of these shingles, or with none that the window before
+lacks, are left out. Windows and items get 64-bit SimHash fingerprints. A
 multi-index finds all pairs within a Hamming radius: the fingerprint is cut into blocks, and of two
 fingerprints within the radius at least one block pair is within radius / blocks (pigeonhole), so
 items are listed under all block values that near. Candidates are verified by the exact
@@ -12,7 +13,7 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorebase.functions.text import let
@@ -94,6 +95,25 @@ def benchmark_items(benchmark: DataFrame) -> DataFrame:
     return cut.withColumn("fingerprint", simhash(F.col("shingles")))
 
 
+def window_starts(hits: DataFrame) -> DataFrame:
+    """``doc_id, m, width, start``: the shingles (``doc_id, m, width, p``) where a window of ``m`` words is worth a look.
+
+    A window is similar only if it holds three quarters of its size in shingles of items (repeated ones count at each place), and
+    one whose shingles all lie in the window before cannot be more similar than that. Both follow from the running
+    number of shingles up to each window's end.
+    """
+    runs = F.col("m") - F.col("width") + 1
+    ends = F.array(F.struct(F.col("p").alias("at"), F.lit(0).alias("end")), F.struct((F.col("p") + runs - 1).alias("at"), F.lit(1).alias("end")))
+    one = Window.partitionBy("doc_id", "m", "width")
+    passed = F.sum(1 - F.col("end")).over(one.orderBy("at", "end").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    counted = hits.select("doc_id", "m", "width", "p", F.explode(ends).alias("e")).select("doc_id", "m", "width", "p", "e.at", "e.end")
+    counted = counted.withColumn("passed", passed).filter("end = 1")
+    inside = F.col("passed") - F.row_number().over(one.orderBy("p")) + 1
+    fresh = F.col("passed") > F.coalesce(F.lag("passed").over(one.orderBy("p")), F.lit(0))
+    judged = counted.withColumn("enough", 100 * inside >= PERCENT * runs).withColumn("fresh", fresh)
+    return judged.filter("enough AND fresh").select("doc_id", "m", "width", F.col("p").alias("start"))
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row per document and item it holds: ``doc_id, item_id, start, similarity, distance``.
 
@@ -105,22 +125,20 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     judged as one document; equal items are each reported. Empty tables give no rows; other columns are ignored.
     """
     items = stage(benchmark_items(benchmark), "items")
-    places = items.select("item_id", "m", "width", F.posexplode("shingles").alias("q", "h"))
+    places = items.select("m", "width", F.explode("shingles").alias("h")).distinct()
     widths = sorted(r[0] for r in items.select("width").distinct().collect())  # at most five values
-    known = stage_lookup(places.groupBy("h", "width").agg(F.count("*").alias("n")).drop("n"), "known")
+    known = stage_lookup(places, "known")
     rows = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    offsets = stage_lookup(places.select("h", "width", "m", "q").distinct(), "offsets")
     hits = None
     for width in widths:
         runs = let(words_of(F.col("text")), _runs(width))
         spread = rows.select("doc_id", F.posexplode(runs).alias("p", "h")).withColumn("width", F.lit(width))
-        met = spread.join(known, ["h", "width"])
+        met = spread.join(known, ["h", "width"]).select("doc_id", "m", "width", "p")
         hits = met if hits is None else hits.unionByName(met)
     if hits is None:
         empty = "doc_id long, item_id long, start int, similarity double, distance int"
         return docs.sparkSession.createDataFrame([], empty)
-    # hits are few; the offset tells where the item would begin
-    starts = stage(hits.join(offsets, ["h", "width"]).select("doc_id", "m", "width", (F.col("p") - F.col("q")).alias("start")).distinct(), "starts")
+    starts = stage(window_starts(hits.distinct()), "starts")
     window = F.struct("start", "m", "width")
     laid = stage_lookup(starts.groupBy("doc_id").agg(F.collect_set(window).alias("windows")), "windows")
     begin = F.greatest(F.lit(0), F.least(F.col("v.start"), F.size("w") - F.col("v.m")))

@@ -144,6 +144,16 @@ def _estimates(vectors: DataFrame) -> DataFrame:
     return estimate
 
 
+def _judged(docs: DataFrame, cutoff: float) -> DataFrame:
+    """Every row in a struct ``row``, beside its statistics, ``base_failed`` and ``kept``."""
+    grouped = docs.select(_group().alias("g"), "text")
+    # filtered after it is written: a filter that Spark pushes below the statistics would compute them again
+    vectors = stage(statistics(grouped, "g").selectExpr("g", "base_failed", *VALUES), "vectors").filter("NOT base_failed")
+    estimate = stage_lookup(_estimates(vectors.drop("base_failed")), "estimate")
+    rows = statistics(docs.select(_group().alias("g"), "text", F.struct("*").alias("row")), "g", "row").selectExpr("*", *VALUES)
+    return _distances(rows, estimate, "left").withColumn("kept", F.expr(f"CASE WHEN base_failed THEN false ELSE distance <= {cutoff} END"))
+
+
 def annotate(docs: DataFrame, *, cutoff: float = CUTOFF) -> DataFrame:
     """The rows of ``docs`` with all their columns, and ``base``: a struct of the statistics, ``base_failed`` and ``kept``.
 
@@ -154,13 +164,12 @@ def annotate(docs: DataFrame, *, cutoff: float = CUTOFF) -> DataFrame:
     for the rows, so that texts are neither written nor shuffled (unless the table of one row per group is
     too large to broadcast).
     """
-    grouped = docs.select(_group().alias("g"), "text")
-    # filtered after it is written: a filter that Spark pushes below the statistics would compute them again
-    vectors = stage(statistics(grouped, "g").selectExpr("g", "base_failed", *VALUES), "vectors").filter("NOT base_failed")
-    estimate = stage_lookup(_estimates(vectors.drop("base_failed")), "estimate")
-    rows = statistics(docs.select(_group().alias("g"), "text", F.struct("*").alias("row")), "g", "row").selectExpr("*", *VALUES)
-    judged = _distances(rows, estimate, "left").withColumn("kept", F.expr(f"CASE WHEN base_failed THEN false ELSE distance <= {cutoff} END"))
-    return judged.select("row.*", F.struct(*BASE, "base_failed", "kept").alias("base"))
+    return _judged(docs, cutoff).select("row.*", F.struct(*BASE, "base_failed", "kept").alias("base"))
+
+
+def keep(docs: DataFrame, *, cutoff: float = CUTOFF) -> DataFrame:
+    """The rows of ``docs`` that ``annotate`` would mark as kept, with their own columns, whatever the names of these."""
+    return _judged(docs, cutoff).filter("kept").select("row.*")
 
 
 def rate(docs: DataFrame, *, cutoff: float = CUTOFF) -> DataFrame:
