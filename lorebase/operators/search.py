@@ -67,6 +67,7 @@ def bm25(
     *,
     broadcast_terms: int = BROADCAST_TERMS,
     salts: int = 8,
+    blocks: DataFrame | None = None,
 ) -> DataFrame:
     """Score every permitted (query, chunk) pair that shares a term (OR semantics).
 
@@ -76,11 +77,18 @@ def bm25(
     where they lie. On postings bucketed by chunk the scores then add up inside each bucket, so
     neither the postings nor the pairs are shuffled, and buckets are even whatever term or tenant
     is hot. A larger query table is joined by shuffle, with posting lists spread over ``salts``.
+    With ``blocks`` (``query_id, block``) only postings of these blocks are scored; both sides then meet by block.
     """
     q = terms.join(frequencies, "term").withColumn("idf", idf(n_chunks, F.col("df")))
     p = postings.filter(searchable())
+    keys = [F.col("q.query_id"), F.col("p.chunk_id"), F.col("p.document_id")]
+    if "block" in postings.columns:
+        keys.insert(1, F.col("p.block"))  # a chunk lies in one block; on postings bucketed by block this saves the shuffle
     on = (F.col("q.tenant_id") == F.col("p.tenant_id")) & (F.col("q.term") == F.col("p.term")) & allowed("q", "p")
-    if terms.limit(broadcast_terms + 1).count() <= broadcast_terms:
+    if blocks is not None:
+        p = p.join(blocks.withColumnRenamed("query_id", "asked_by"), "block")
+        matched = p.alias("p").join(q.alias("q"), on & (F.col("p.asked_by") == F.col("q.query_id")))
+    elif terms.limit(broadcast_terms + 1).count() <= broadcast_terms:
         matched = p.alias("p").join(F.broadcast(q.alias("q")), on)
     else:
         q = q.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
@@ -90,7 +98,7 @@ def bm25(
     in_filter = F.col("q.languages").isNull() | F.array_contains("q.languages", F.col("p.language"))
     # only fixed-width aggregates, so this stays a hash aggregation with map-side combine
     return (
-        matched.groupBy(F.col("q.query_id"), F.col("p.chunk_id"), F.col("p.document_id"))
+        matched.groupBy(*keys)
         .agg(
             F.round(F.sum(part), 6).alias("score"),
             F.max(F.coalesce(in_filter, F.lit(False))).alias("in_filter"),

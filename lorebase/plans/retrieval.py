@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lorebase.functions import predicates, text as tx
 from lorebase.functions.vectors import hash_embedding, unit
-from lorebase.operators import index, ivf, rank, search, vector
+from lorebase.operators import blockmax, index, ivf, rank, search, vector
 from lorebase.plans.sqlkit import define, query
 from lorebase.sources import derived
 from lorebase.sources.staging import materialized, staged
@@ -25,17 +25,25 @@ class Corpus:
     """The index tables one retrieval plan reads: chunks with vectors, postings, frequencies."""
 
     def __init__(self, spark: SparkSession, d: str) -> None:
+        self.spark, self.directory = spark, d
         self.queries = derived.queries(spark, d)
         self.chunks = staged(spark, d, "chunks", lambda: derived.chunks(spark, d).withColumns({
             "embedding": hash_embedding(F.col("content"), DIMS),
             "n_words": F.size(tx.words(F.col("content"))),
+            "block": blockmax.block_of(F.col("document_version_id"), F.col("sequence")),
         }))
-        self.postings = staged(spark, d, "postings", lambda: index.postings(self.chunks, search.SCOPE), bucket_by="chunk_id", size=self._posting_bytes)
+        self.postings = staged(
+            spark, d, "postings", lambda: index.postings(self.chunks, ("block", *search.SCOPE)), bucket_by="block", size=self._posting_bytes)
         self.frequencies = staged(spark, d, "frequencies", lambda: index.document_frequencies(self.postings))
         stats = self.chunks.agg(F.count(F.lit(1)).alias("n_chunks"), F.avg("n_words").alias("avg_length"))
         self.n_chunks = stats.select("n_chunks").scalar()
         self.average = stats.select("avg_length").scalar()
 
+    def maxima(self) -> DataFrame:
+        """Largest impacts by block and term, written once per corpus."""
+        build = lambda: blockmax.block_maxima(self.postings, search.SCOPE, self.average)
+        return staged(self.spark, self.directory, "block-maxima", build, bucket_by="block", size=lambda: self._posting_bytes() // 2)
+
     def _posting_bytes(self) -> int:
         """At most one posting per word; a row with its scope columns takes about 200 bytes."""
         return 200 * (self.chunks.agg(F.sum("n_words")).first()[0] or 0)
@@ -95,10 +103,20 @@ def cleaned(corpus: Corpus, every: DataFrame | None = None) -> DataFrame:
     return rank.clean_candidates(ranked, threshold=0.015)
 
 
+def block_search(corpus: Corpus) -> tuple:
+    """What a block-wise search of all queries takes."""
+    return search.query_terms(corpus.queries), corpus.postings, corpus.maxima(), corpus.frequencies, corpus.n_chunks, corpus.average
+
+
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
     return text_hits(Corpus(spark, d))
 
 
+def bm25_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """The best ten chunks per query; blocks of postings whose largest impacts cannot reach them are skipped."""
+    return blockmax.search(*block_search(Corpus(spark, d)), 10)
+
+
 def bm25_phrase(spark: SparkSession, d: str) -> DataFrame:
     corpus = Corpus(spark, d)
     boosted = search.phrase_boost(corpus.lexical(), corpus.queries, corpus.chunks, corpus.average)
@@ -384,6 +402,7 @@ def hybrid_answer(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "bm25_topk": bm25_topk,
+    "bm25_blocks": bm25_blocks,
     "bm25_phrase": bm25_phrase,
     "vector_topk": vector_topk,
     "vector_topk_blocked": vector_topk_blocked,
@@ -587,6 +606,7 @@ define("qrels", """
 
 ORACLE = {
     "bm25_topk": query("SELECT * FROM text_hits"),
+    "bm25_blocks": query(_ranked("bm25", 10, columns="query_id, chunk_id, document_id, score")),
     "bm25_phrase": query(_ranked("boosted", TOP_K, columns="query_id, chunk_id, score")),
     "vector_topk": query(_ranked("label_pairs", 10, columns="query_id, vector_id, score", tie="vector_id")),
     "vector_topk_blocked": query(_ranked("label_pairs", 10, columns="query_id, vector_id, score", tie="vector_id")),

@@ -10,10 +10,12 @@ import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lorebase.session import shared_dir
 
 BUCKET_BYTES = 128 * 1024 * 1024
+BROADCAST_BYTES = 32 * 1024 * 1024  # of files; a few times as much in memory
 MAX_BUCKETS = 50_000  # below Spark's own limit; beyond it buckets grow instead
 _LOCATIONS: dict[tuple[str, str, str], str] = {}
 
@@ -72,3 +74,14 @@ def materialized(frame: DataFrame, name: str) -> DataFrame:
     location = shared_dir(frame.sparkSession, name)
     frame.write.parquet(location)
     return frame.sparkSession.read.schema(frame.schema).parquet(location)
+
+
+def broadcast_within(frame: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """Marks a table of files for broadcast where these measure at most ``limit`` bytes; beyond, the same join shuffles."""
+    spark, size = frame.sparkSession, 0
+    for file in frame.inputFiles():
+        path = spark._jvm.org.apache.hadoop.fs.Path(file)
+        size += path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).getLen()
+        if size > limit:
+            return frame
+    return F.broadcast(frame)
