@@ -5,9 +5,10 @@ from __future__ import annotations
 import gc
 import os
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from contextlib import contextmanager
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -72,16 +73,18 @@ class WordIds:
     """Token ids of whole texts for a tokenizer that drops white space between its pieces.
 
     Such a tokenizer never merges across white space, so the ids of a text are those of its words
-    in order. Ids of words are memoised; the memory is cleared at ``limit`` words and words over
-    ``longest`` characters are not kept, so it stays bounded whatever the vocabulary.
+    in order. Ids of words are memoised in about ``limit`` bytes; when these are full, the later half of the
+    words goes, as frequent words are met first. So the memory stays bounded whatever the vocabulary.
     """
 
-    def __init__(self, path: str, limit: int = 1_000_000, longest: int = 48):
+    ENTRY = 180  # bytes of a string, a bytes object and their place in the dictionary, without their content
+
+    def __init__(self, path: str, limit: int = 96 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.limit, self.longest = limit, longest
+        self.limit, self.held = limit, 0
         self.separators, self.plain_words = re.compile("[\x1c-\x1f]").search, re.compile(r"[^ \t\n\r]+").findall
         self.known: dict[str, bytes] = {}
 
@@ -89,25 +92,26 @@ class WordIds:
         """Pieces between white space; U+001C-1F separate for str.split() but not for tokenizers."""
         return self.plain_words(text) if self.separators(text) else text.split()
 
-    def _learn(self, words: Iterable[str]) -> dict[str, bytes]:
-        words = list(words)
-        encoded = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
-        return {w: np.array(e.ids, dtype="<u4").tobytes() for w, e in zip(words, encoded, strict=True)}
+    def _learn(self, words: set[str]) -> None:
+        ordered = list(words)
+        encoded = self.tokenizer.encode_batch_fast(ordered, add_special_tokens=False)
+        for word, e in zip(ordered, encoded, strict=True):
+            ids = np.array(e.ids, dtype="<u4").tobytes()
+            self.known[word] = ids
+            self.held += self.ENTRY + len(word) + len(ids)
+
+    def _forget(self) -> None:
+        while self.held > self.limit and self.known:
+            for word in list(islice(reversed(self.known), -(-len(self.known) // 2))):
+                self.held -= self.ENTRY + len(word) + len(self.known.pop(word))
 
     def ids(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
         words = self.words(text)
-        new = set(words).difference(self.known)
-        if not new:
-            return b"".join(map(self.known.__getitem__, words))
-        if len(self.known) + len(new) > self.limit:
-            self.known.clear()
-            new = set(words)
-        found = self._learn(new)
-        joined = b"".join([found[w] if w in found else self.known[w] for w in words])
-        self.known.update((w, ids) for w, ids in found.items() if len(w) <= self.longest)
-        while len(self.known) > self.limit:
-            self.known.popitem()
+        if new := set(words).difference(self.known):
+            self._learn(new)
+        joined = b"".join(map(self.known.__getitem__, words))
+        self._forget()
         return joined
 
 
