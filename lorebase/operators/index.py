@@ -199,11 +199,19 @@ def upsert(existing: DataFrame, incoming: DataFrame, keys: list[str], order: str
     return latest(both, keys, [F.col(order), F.col("_side")]).drop("_side")
 
 
+def scope_error(tenant: Column | str, dims: int) -> Column:
+    """Why an index write must reject a row: foreign tenant (against a name or a column) or wrong vector size; null if it need not."""
+    return F.when(F.coalesce(F.col("tenant_id") != tenant, F.lit(True)), "index_scope_mismatch").when(
+        F.coalesce(F.size("embedding"), F.lit(-1)) != dims, "index_dimension_mismatch"
+    )
+
+
 def scope_violations(incoming: DataFrame, tenant: Column | str, dims: int) -> DataFrame:
-    """Rows an index write must reject: foreign tenant (against a name or a column) or wrong vector size."""
-    return incoming.withColumn(
-        "error_code",
-        F.when(F.col("tenant_id") != tenant, "index_scope_mismatch").when(
-            F.size("embedding") != dims, "index_dimension_mismatch"
-        ),
-    ).filter(F.col("error_code").isNotNull())
+    """Rows an index write must reject, with ``error_code``."""
+    return incoming.withColumn("error_code", scope_error(tenant, dims)).filter(F.col("error_code").isNotNull())
+
+
+def newest_segments(segments: DataFrame, order: str = "batch_id") -> DataFrame:
+    """Of every document version the rows of the latest segment that holds it, so no chunk of an earlier delivery survives."""
+    newest = segments.groupBy("document_version_id").agg(F.max(order).alias(order))
+    return segments.join(newest, ["document_version_id", order], "left_semi")

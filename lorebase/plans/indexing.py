@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from lorebase.functions import ids
 from lorebase.functions.vectors import hash_embedding as hashed
-from lorebase.operators import index
+from lorebase.operators import index, search
 from lorebase.plans.sqlkit import define, query
 from lorebase.session import shared_dir
-from lorebase.sources import derived, files, sinks
+from lorebase.sources import derived, files, sinks, staging
 from lorebase.sources.tables import spread, table
+from lorebase.streaming import indexing
 
 DIMS = 64
 
@@ -169,19 +170,52 @@ def index_reject(spark: SparkSession, d: str) -> DataFrame:
     return index.scope_violations(written, F.col("target"), DIMS).select("doc_id", "error_code")
 
 
+def _generation_summary(spark: SparkSession, root: str, label: str, generation: int) -> DataFrame:
+    """Counts and a checksum per scope, from the current generation's tables as read back."""
+    tables = sinks.read_tables(spark, root, indexing.INDEX, indexing.TABLES)
+    scope = ["tenant_id", "knowledge_base_id"]
+    mark = F.conv(F.substring("chunk_id", 5, 8), 16, 10).cast("long")
+    records = tables["records"].groupBy(*scope).agg(
+        F.count(F.lit(1)).alias("records"), F.count_if("active").alias("active"), F.sum(mark).alias("checksum"))
+    posted = tables["postings"].groupBy(*scope).agg(F.sum("tf").alias("occurrences"))
+    return records.join(posted, scope).select(
+        F.lit(label).alias("state"), F.lit(generation).alias("generation"), *scope, "records", "active", "checksum", "occurrences")
+
+
 def generation_publish(spark: SparkSession, d: str) -> DataFrame:
-    """Two published generations, a candidate that fails validation, a stale writer, a rollback; then the current table."""
-    root, counts = shared_dir(spark, "generations"), derived.kb_versions(spark, d).groupBy("tenant_id", "status").agg(F.count(F.lit(1)).alias("versions"))
-    sinks.publish(counts, root, "versions")
-    second = sinks.publish(counts.withColumn("versions", F.col("versions") * 2), root, "versions", expected_current=1)
-    outcomes = []
-    for options in ({"validate": lambda staged: staged.filter("versions < 0").count() > 0}, {"expected_current": 1}):
+    """Index records and postings of the corpus as a generation; a merge that rejects rows as the next; two candidates that
+    must not be switched to; a rollback. Returns what readers see after the merge and after the rollback."""
+    root, dims = shared_dir(spark, "generations"), 16
+    records = index.embed(derived.chunks(spark, d), dims=dims)
+    carried = ("document_version_id", *search.SCOPE)
+    build = {"records": lambda _: records, "postings": lambda done: index.postings(done["records"], carried)}
+    first = sinks.publish_tables(build, spark, root, indexing.INDEX, validate=lambda t: indexing.healthy(t, indexing.counts(t["records"])))
+    held = sinks.read_tables(spark, root, indexing.INDEX, indexing.TABLES)
+
+    # a write that makes every third document inactive; of every fourth it names a foreign tenant, of every fifth it cuts the vectors
+    number = F.substring("document_id", 2, 20).cast("long")
+    written = held["records"].filter(number % 3 == 0).withColumns({
+        "active": F.lit(False), "embedding": F.when(number % 5 == 0, F.slice("embedding", 1, dims - 1)).otherwise(F.col("embedding"))})
+    error = index.scope_error(F.when(number % 4 == 0, "foreign").otherwise(F.col("tenant_id")), dims)
+    accepted = written.withColumn("error_code", error).filter("error_code IS NULL").drop("error_code")
+    merged = index.upsert(held["records"].withColumn("write_no", F.lit(1)), accepted.withColumn("write_no", F.lit(2)), ["index_version_id", "chunk_id"], "write_no").drop("write_no")
+    expected = indexing.counts(held["records"])
+    change = {"records": lambda _: merged.select(*held["records"].columns), "postings": lambda done: index.postings(done["records"], carried)}
+    check = lambda t: indexing.healthy(t, expected)
+    second = sinks.publish_tables(change, spark, root, indexing.INDEX, validate=check, expected_current=first)
+    after_merge = staging.materialized(_generation_summary(spark, root, "merged", second), "merged-summary")
+
+    lossy = {"records": lambda _: held["records"].filter(number % 7 != 0), "postings": build["postings"]}
+    rejected = 0
+    for tables, options in ((lossy, {}), (change, {"expected_current": first})):  # loses documents; was based on an old generation
         try:
-            sinks.publish(counts.limit(0), root, "versions", **options)
+            sinks.publish_tables(tables, spark, root, indexing.INDEX, validate=check, **options)
         except ValueError:
-            outcomes.append("rejected")
-    restored = sinks.rollback(spark, root, "versions", 1)
-    return sinks.read_current(spark, root, "versions").withColumn("generation", F.lit(restored)).withColumn("rejected", F.lit(len(outcomes))).withColumn("before", F.lit(second))
+            rejected += 1
+    restored = sinks.rollback(spark, root, indexing.INDEX, first, validate=lambda place: check(
+        {t: spark.read.parquet(f"{place}/{t}") for t in indexing.TABLES}))
+    after_rollback = _generation_summary(spark, root, "restored", restored)
+    return after_merge.unionByName(after_rollback).withColumn("rejected", F.lit(rejected))
 
 
 def trace_read(spark: SparkSession, d: str) -> DataFrame:
@@ -327,7 +361,16 @@ ORACLE = {
         SELECT doc_id, CASE WHEN doc_id % 4 <> doc_id % 12 % 5 THEN 'index_scope_mismatch' ELSE 'index_dimension_mismatch' END AS error_code
         FROM documents WHERE doc_id % 4 <> doc_id % 12 % 5 OR doc_id % 9 = 0""",
     "generation_publish": query("""
-        SELECT tenant_id, status, count(*) AS versions, 3 AS generation, 2 AS rejected, 2 AS before FROM kb_versions GROUP BY ALL"""),
+        SELECT * FROM (WITH named AS (
+            SELECT *, CAST(substr(document_id, 2) AS BIGINT) AS n, ('0x' || substr(chunk_id, 5, 8))::BIGINT AS mark,
+                   len(regexp_extract_all(replace(lower(content), 'ß', 'ss'), '[\\p{L}\\p{N}_]+')) AS words FROM chunks
+        ), states AS (
+            SELECT 'merged' AS state, 2 AS generation, tenant_id, knowledge_base_id, mark, words,
+                   active AND NOT (n % 3 = 0 AND n % 4 <> 0 AND n % 5 <> 0) AS active FROM named
+            UNION ALL SELECT 'restored', 3, tenant_id, knowledge_base_id, mark, words, active FROM named
+        )
+        SELECT state, generation, tenant_id, knowledge_base_id, count(*) AS records, count(*) FILTER (WHERE active) AS active,
+               CAST(sum(mark) AS BIGINT) AS checksum, CAST(sum(words) AS BIGINT) AS occurrences, 2 AS rejected FROM states GROUP BY ALL)"""),
     "trace_read": """
         SELECT role, 'tr' || event_id AS trace_id, CASE role WHEN 'auditor' THEN event_type ELSE '' END AS candidates
         FROM events, (SELECT unnest(['auditor', 'viewer']) AS role) WHERE user_id % 4 = 1""",

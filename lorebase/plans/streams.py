@@ -6,11 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorebase.functions.text import text_sections
-from lorebase.operators import chunk, index
+from lorebase.operators import chunk, index, search
 from lorebase.plans import operations
+from lorebase.plans.retrieval import ORACLE as RETRIEVAL
 from lorebase.plans.sqlkit import define, query, windows
+from lorebase.session import shared_dir
+from lorebase.sources import derived
 from lorebase.sources.tables import table
-from lorebase.streaming import jobs
+from lorebase.streaming import indexing, jobs
 
 
 def stream_ingest(spark: SparkSession, d: str) -> DataFrame:
@@ -38,6 +41,37 @@ def stream_ingest(spark: SparkSession, d: str) -> DataFrame:
     return table_rows.select("chunk_id", "document_version_id", "sequence", "content", "token_count", F.size("embedding").alias("dims"))
 
 
+def streamed_index(spark: SparkSession, d: str) -> str:
+    """Every document message delivered twice, indexed by micro-batches and compacted; returns the index's folder."""
+    schema = table(spark, d, "documents").schema
+    files = lambda: jobs.file_stream(spark, d, "documents.parquet", schema)
+    n = F.col("doc_id")
+    messages = files().unionByName(files()).withColumn("document_id", F.concat(F.lit("d"), n)).withColumn(
+        "sent_at", F.expr("timestamp'2024-01-01 00:00:00'") + F.make_dt_interval((n % 60).cast("int")))
+    root = shared_dir(spark, "streamed-index")
+    indexing.ingest(
+        messages, lambda batch: derived.chunk_rows(derived.document_rows(batch)), message_id="doc_id", event_time="sent_at", delay="90 days",
+        root=root, checkpoint=shared_dir(spark, "streamed-index-checkpoint"), dims=16)
+    indexing.compact(spark, root)
+    return root
+
+
+def stream_index_search(spark: SparkSession, d: str) -> DataFrame:
+    """The best ten chunks per query in the published generation of a streamed index."""
+    tables = indexing.read(spark, streamed_index(spark, d))
+    stats = index.corpus_statistics(tables["records"])
+    postings = tables["postings"]
+    scored = search.bm25(
+        search.query_terms(derived.queries(spark, d)), postings, index.document_frequencies(postings),
+        stats.select("n_chunks").scalar(), stats.select("avg_length").scalar())
+    return search.top_k(scored, 10).select("query_id", "chunk_id", "document_id", "score", "rank")
+
+
+def stream_index_stages(spark: SparkSession, d: str) -> DataFrame:
+    """The stage that every document reached, with its chunks in the streamed index."""
+    return indexing.stages(spark, streamed_index(spark, d))
+
+
 def stream_error_rate(spark: SparkSession, d: str) -> DataFrame:
     events = jobs.file_stream(spark, d, "events.parquet", table(spark, d, "events").schema)
     failed = (F.col("event_type") == "error") & (F.col("event_id") % 3 == 0)
@@ -51,7 +85,7 @@ def stream_status(spark: SparkSession, d: str) -> DataFrame:
     return jobs.replay_status(operations.status_of(events), **jobs.locations(spark, "status"))
 
 
-QUERIES = {f.__name__: f for f in (stream_ingest, stream_error_rate, stream_status)}
+QUERIES = {f.__name__: f for f in (stream_ingest, stream_index_search, stream_index_stages, stream_error_rate, stream_status)}
 
 # ---- check SQL ------------------------------------------------------------------------------
 define("stream_chunks", windows(
@@ -62,6 +96,10 @@ ORACLE = {
     "stream_ingest": query("""
         SELECT 'chk_' || left(sha256(concat_ws(chr(31), 'sha256-v1', tenant_id, document_version_id, CAST(sequence AS VARCHAR), 'b0', sha256(content))), 32) AS chunk_id,
                document_version_id, sequence, content, token_count, 16 AS dims FROM stream_chunks"""),
+    "stream_index_search": RETRIEVAL["bm25_blocks"],
+    "stream_index_stages": query("""
+        SELECT document_id, count(chunk_id) AS chunks, '' AS error_code, CASE WHEN count(chunk_id) = 0 THEN 'empty' ELSE 'indexed' END AS stage
+        FROM kb_documents LEFT JOIN chunks USING (document_id) GROUP BY 1"""),
     "stream_error_rate": query("""
         SELECT us // 300000000 * 300000000 AS window_us, count(*) AS requests, CAST(sum(bad) AS BIGINT) AS errors, round(sum(bad) / count(*), 6) AS error_rate, sum(bad) / count(*) >= 0.01 AS alert FROM reqs
         GROUP BY 1 HAVING us // 300000000 * 300000000 + 300000000 <= (SELECT max(us) - 600000000 FROM reqs)"""),

@@ -22,10 +22,15 @@ def _days(col: Column) -> Column:
 
 
 def kb_documents(spark: SparkSession, d: str) -> DataFrame:
+    return document_rows(spread(table(spark, d, "documents")))
+
+
+def document_rows(documents: DataFrame) -> DataFrame:
+    """Document records of raw documents, be they a table or a batch of messages."""
     n = F.col("doc_id")
     deleted = n % 11 == 0
     version = F.concat(F.lit("d"), n, F.when(n % 5 == 0, "_v2").otherwise("_v1"))
-    return spread(table(spark, d, "documents")).select(
+    return documents.select(
         "doc_id",
         F.concat(F.lit("t"), n % 4).alias("tenant_id"),
         F.col("source").alias("knowledge_base_id"),
@@ -104,10 +109,14 @@ def _block_struct(line: Column, n: Column) -> Column:
 
 
 def parsed_documents(spark: SparkSession, d: str) -> DataFrame:
+    return parsed_rows(kb_documents(spark, d))
+
+
+def parsed_rows(documents: DataFrame) -> DataFrame:
     """One row per document with its ordered ``blocks`` array (heading paths attached)."""
     lines = F.filter(F.transform(F.split("text", "\n"), tx.strip), lambda s: s != "")
     blocks = arrays.with_heading_paths(F.transform(lines, _block_struct))
-    return kb_documents(spark, d).withColumn("blocks", chunk.flatten_paths(blocks)).drop("text")
+    return documents.withColumn("blocks", chunk.flatten_paths(blocks)).drop("text")
 
 
 def block_rows(spark: SparkSession, d: str) -> DataFrame:
@@ -119,8 +128,12 @@ def block_rows(spark: SparkSession, d: str) -> DataFrame:
 
 def chunks(spark: SparkSession, d: str, limit: int = 64, overlap: int = 8) -> DataFrame:
     """General chunks of every document, with the document's scope and access columns."""
+    return chunk_rows(kb_documents(spark, d), limit, overlap)
+
+
+def chunk_rows(documents: DataFrame, limit: int = 64, overlap: int = 8) -> DataFrame:
     return chunk.chunk_documents(
-        parsed_documents(spark, d), "general", limit=limit, overlap=overlap
+        parsed_rows(documents), "general", limit=limit, overlap=overlap
     ).withColumn("index_version_id", F.lit("g1"))
 
 

@@ -52,6 +52,26 @@ def _switch(spark: SparkSession, root: str, name: str, generation: int, location
     stream.close()
 
 
+def _publish(
+    spark: SparkSession, root: str, name: str, write: Callable[[str], None], check: Callable[[str], int], expected_current: int | None
+) -> int:
+    """Stage a generation in a folder of its own (``write``), check it and count its rows (``check``), then switch."""
+    before = current(spark, root, name)
+    seen = None if before is None else before["generation"]
+    if expected_current is not None and seen != expected_current:
+        raise ValueError("index_alias_conflict")
+    generation = 1 if seen is None else seen + 1
+    location = f"{root.rstrip('/')}/{name}/g{generation:06d}-{os.urandom(6).hex()}"
+    try:
+        write(location)
+        _switch(spark, root, name, generation, location, check(location))
+    except Exception:
+        system, path = _hadoop(spark, location)
+        system.delete(path, True)
+        raise
+    return generation
+
+
 def publish(
     df: DataFrame,
     root: str,
@@ -68,40 +88,73 @@ def publish(
     older generations stay readable until they are dropped.
     """
     spark = df.sparkSession
-    before = current(spark, root, name)
-    seen = None if before is None else before["generation"]
-    if expected_current is not None and seen != expected_current:
-        raise ValueError("index_alias_conflict")
-    generation = 1 if seen is None else seen + 1
-    location = f"{root.rstrip('/')}/{name}/g{generation:06d}-{os.urandom(6).hex()}"
-    try:
-        writer = df.write.partitionBy(*partition_by) if partition_by else df.write
-        writer.parquet(location)
+
+    def check(location: str) -> int:
         staged = spark.read.parquet(location)
         if validate is not None and not validate(staged):
-            raise ValueError(f"staged generation {generation} of {name} failed validation")
-        _switch(spark, root, name, generation, location, staged.count())
-    except Exception:
-        system, path = _hadoop(spark, location)
-        system.delete(path, True)
-        raise
-    return generation
+            raise ValueError(f"staged generation of {name} failed validation")
+        return staged.count()
+
+    write = lambda location: (df.write.partitionBy(*partition_by) if partition_by else df.write).parquet(location)
+    return _publish(spark, root, name, write, check, expected_current)
+
+
+def publish_tables(
+    tables: dict[str, Callable[[dict[str, DataFrame]], DataFrame]], spark: SparkSession, root: str, name: str, *,
+    validate: Callable[[dict[str, DataFrame]], bool] | None = None, expected_current: int | None = None,
+) -> int:
+    """Publish several tables as one generation, so that readers switch to all of them at once.
+
+    Each table is built from those staged before it (postings from the records as written); the first one gives the row count.
+    """
 
+    def write(location: str) -> None:
+        for table, build in tables.items():
+            done = {t: spark.read.parquet(f"{location}/{t}") for t in list(tables)[: list(tables).index(table)]}
+            build(done).write.parquet(f"{location}/{table}")
 
-def rollback(spark: SparkSession, root: str, name: str, generation: int) -> int:
-    """Make an earlier generation current again, as a new switch to its folder."""
+    def check(location: str) -> int:
+        staged = _tables(spark, location, tables)
+        if validate is not None and not validate(staged):
+            raise ValueError(f"staged generation of {name} failed validation")
+        return next(iter(staged.values())).count()
+
+    return _publish(spark, root, name, write, check, expected_current)
+
+
+def _tables(spark: SparkSession, location: str, names) -> dict[str, DataFrame]:
+    return {t: spark.read.parquet(f"{location}/{t}") for t in names}
+
+
+def read_tables(spark: SparkSession, root: str, name: str, tables: tuple[str, ...]) -> dict[str, DataFrame] | None:
+    """The tables of the current generation, all of the same one."""
+    pointer = current(spark, root, name)
+    return None if pointer is None else _tables(spark, pointer["location"], tables)
+
+
+def rollback(spark: SparkSession, root: str, name: str, generation: int, *, validate: Callable[[str], bool] | None = None) -> int:
+    """Make an earlier generation current again, as a new switch to its folder; ``validate`` may refuse the folder."""
     chosen = pointers(spark, root).filter((F.col("table_name") == name) & (F.col("generation") == generation)).first()
     if chosen is None:
         raise ValueError("index_generation_missing")
+    if validate is not None and not validate(chosen["location"]):
+        raise ValueError("index_generation_unhealthy")
     following = current(spark, root, name)["generation"] + 1
     _switch(spark, root, name, following, chosen["location"], chosen["rows"])
     return following
 
 
 def upsert_table(
-    incoming: DataFrame, root: str, name: str, keys: list[str], order: str, partition_by: tuple[str, ...] = ()
+    incoming: DataFrame, root: str, name: str, keys: list[str], order: str, partition_by: tuple[str, ...] = (), *, error: Column | None = None
 ) -> int:
-    """Merge rows into the current generation and publish the result as the next one."""
+    """Merge rows into the current generation and publish the result as the next one.
+
+    Rows for which ``error`` is not null are rejected: they leave the table as it is and go to ``<name>-rejected``.
+    """
+    if error is not None:
+        judged = incoming.withColumn("error_code", error)
+        publish(judged.filter("error_code IS NOT NULL"), root, f"{name}-rejected")
+        incoming = judged.filter("error_code IS NULL").drop("error_code")
     existing = read_current(incoming.sparkSession, root, name)
     merged = incoming if existing is None else existing.select(*incoming.columns)
     return publish(upsert(merged, incoming, keys, order), root, name, partition_by=partition_by)
