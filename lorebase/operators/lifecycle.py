@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lorebase.functions import ids
+from lorebase.sources.staging import materialized
 
 # fixed values: legal status edges, retention, retry policy
 VERSION_EDGES = {
@@ -32,7 +32,7 @@ CONCURRENCY_CODES = (
     "document_revision_conflict", "lifecycle_fencing_conflict", "index_alias_conflict", "operation_lease_lost")
 RETRYABLE_HTTP = (408, 409, 425, 429)
 MAX_ATTEMPTS, CONCURRENCY_ATTEMPTS, BASE_SECONDS, MAX_SECONDS = 6, 3, 1, 300
-SEGMENT = 100_000
+SEGMENT = 1_024
 
 
 def idempotent_commands(commands: DataFrame) -> DataFrame:
@@ -50,80 +50,74 @@ def idempotent_commands(commands: DataFrame) -> DataFrame:
         "tenant_id", "key", "seq", ids.job_id(F.col("tenant_id"), F.col("key")).alias("job_id"), outcome.alias("outcome"))
 
 
+def _chained(children: Column, identity: Column) -> Column:
+    """The map of a run of maps, in order."""
+    return F.aggregate(children, identity, lambda m, child: F.transform(m, lambda s: F.get(child["map"], s)))
+
+
+def _befores(children: Column, start: Column, step: Callable[[Column, Column], Column]) -> Column:
+    """The state before every child of a run that begins in ``start``."""
+    begin = F.struct(start.cast("int").alias("state"), F.expr("cast(array() AS array<int>)").alias("before"))
+    passed = lambda acc, child: F.struct(
+        step(acc["state"], child).cast("int").alias("state"), F.concat(acc["before"], F.array(acc["state"])).alias("before"))
+    return F.aggregate(children, begin, passed)["before"]
+
+
 def replay(
     log: DataFrame,
     *,
     edges: dict[str, tuple[str, ...]] = VERSION_EDGES,
     initial: str = "registered",
     segment: int = SEGMENT,
+    states: DataFrame | None = None,
 ) -> DataFrame:
     """Replay ``(entity_id, seq, status)`` through the status machine; one row per log entry.
 
-    An illegal change is rejected and leaves the state alone, so each entry depends on all before
-    it. A run of entries acts on the state as a map from state to state, and such maps compose:
-    the log is cut at multiples of ``segment`` of the unique ``seq``, every piece is reduced to its
-    map, the maps are chained per entity, and the pieces are replayed from their start state. No
-    task holds more than one piece, however hot the entity.
+    An illegal change (also to an unknown status) is rejected and leaves the state alone, so each entry depends on all before
+    it. A run of entries acts on the state as a map from state to state, and such maps compose: the log is cut
+    at multiples of ``segment`` of the unique ``seq``, every piece is reduced to its map, pieces to pieces of pieces, until one
+    is left per entity; from there start states go back down. A row holds at most ``segment`` entries or maps, however hot
+    the entity. ``states`` (``entity_id, state``) may give entities another start than ``initial``.
     """
     names = list(edges)
     number = {name: i for i, name in enumerate(names)}
     steps = [[t if names[t] in edges[names[s]] else s for t in range(len(names))] for s in range(len(names))]
     legal = F.array(*[F.array(*[F.lit(x) for x in row]) for row in steps])
-    code = F.create_map(*[x for name in names for x in (F.lit(name), F.lit(number[name]))])
-    start0 = number[initial]
-
-    coded = log.select(
-        "entity_id", "seq", code[F.col("status")].alias("target"), F.floor(F.col("seq") / segment).alias("piece"))
+    code = lambda c: F.create_map(*[x for name in names for x in (F.lit(name), F.lit(number[name]))])[c]
+    after = lambda s, target: F.coalesce(F.get(F.get(legal, s), target), s)
     identity = F.array(*[F.lit(i) for i in range(len(names))])
-    entries = F.array_sort(F.collect_list(F.struct("seq", "target")))
-    maps = coded.groupBy("entity_id", "piece").agg(entries.alias("entries")).select(
-        "entity_id", "piece",
-        F.aggregate(
-            "entries", identity,
-            lambda m, e: F.transform(m, lambda s: F.get(F.get(legal, s), e["target"]))).alias("map"))
-    id_type = dict(log.dtypes)["entity_id"]
-
-    def chain(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        entity, state = None, start0
-        for frame in frames:
-            start = []
-            for key, mapping in zip(frame["entity_id"], frame["map"], strict=True):
-                if key != entity:
-                    entity, state = key, start0
-                start.append(state)
-                state = int(mapping[state])
-            yield frame[["entity_id", "piece"]].assign(start=start)
-
-    starts = (
-        maps.repartition("entity_id").sortWithinPartitions("entity_id", "piece")
-        .mapInPandas(chain, f"entity_id {id_type}, piece long, start int")
-    )
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        # partitions are sorted by entity, piece and seq; a piece may span two Arrow batches
-        at, state = None, start0
-        for frame in frames:
-            before, outcome = [], []
-            for key, piece, start, target in zip(
-                frame["entity_id"], frame["piece"], frame["start"], frame["target"], strict=True
-            ):
-                if (key, piece) != at:
-                    at, state = (key, piece), int(start)
-                before.append(names[state])
-                after = steps[state][target]
-                outcome.append(
-                    "unchanged" if state == target
-                    else "applied" if after == target else "document_version_transition_invalid")
-                state = after
-            yield pd.DataFrame({
-                "entity_id": frame["entity_id"], "seq": frame["seq"], "from_status": before,
-                "to_status": [names[t] for t in frame["target"]], "outcome": outcome})
 
-    return (
-        coded.join(starts, ["entity_id", "piece"])
-        .repartition("entity_id", "piece").sortWithinPartitions("entity_id", "piece", "seq")
-        .mapInPandas(run, f"entity_id {id_type}, seq long, from_status string, to_status string, outcome string")
-    )
+    reach = log.agg(F.min("seq").alias("low"), F.max("seq").alias("high")).first()
+    low, high = reach["low"] or 0, reach["high"] or 0
+    piece = F.floor((F.col("seq") - low) / segment).cast("long")
+    entries = F.array_sort(F.collect_list(F.struct("seq", code(F.col("status")).alias("target"), "status")))
+    pieces = log.groupBy("entity_id", piece.alias("piece")).agg(entries.alias("children"))
+    moved = F.aggregate("children", identity, lambda m, e: F.transform(m, lambda s: after(s, e["target"])))
+    levels = [materialized(pieces.select("*", moved.alias("map")), "replay-pieces")]
+    width = (high - low) // segment + 1
+    while width > 1:
+        runs = F.array_sort(F.collect_list(F.struct("piece", "map")))
+        upper = levels[-1].groupBy("entity_id", F.floor(F.col("piece") / segment).cast("long").alias("piece")).agg(runs.alias("children"))
+        levels.append(materialized(upper.select("*", _chained(F.col("children"), identity).alias("map")), "replay-pieces"))
+        width = -(-width // segment)
+
+    starts = levels[-1].select("entity_id", "piece", F.lit(number[initial]).alias("start"))
+    if states is not None:
+        starts = starts.join(states, "entity_id", "left").select("entity_id", "piece", F.coalesce(code(F.col("state")), "start").alias("start"))
+    for level in reversed(levels[1:]):
+        before = _befores(F.col("children"), F.col("start"), lambda s, child: F.get(child["map"], s))
+        spread = level.join(starts, ["entity_id", "piece"]).select("entity_id", F.explode(F.arrays_zip(F.col("children.piece").alias("piece"), before.alias("start"))).alias("c"))
+        starts = spread.select("entity_id", "c.piece", "c.start")
+    before = _befores(F.col("children"), F.col("start"), lambda s, e: after(s, e["target"]))
+    done = levels[0].join(starts, ["entity_id", "piece"]).select("entity_id", F.explode(F.arrays_zip("children", before.alias("before"))).alias("c"))
+    known = F.array(*map(F.lit, names))
+    reached = F.get(F.get(legal, F.col("c.before")), F.col("c.children.target"))
+    outcome = (
+        F.when(F.col("c.before") == F.col("c.children.target"), "unchanged").when(reached == F.col("c.children.target"), "applied")
+        .otherwise("document_version_transition_invalid"))
+    return done.select(
+        "entity_id", F.col("c.children.seq").alias("seq"), F.get(known, F.col("c.before")).alias("from_status"),
+        F.col("c.children.status").alias("to_status"), outcome.alias("outcome"))
 
 
 def replay_summary(replayed: DataFrame) -> DataFrame:

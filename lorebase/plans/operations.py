@@ -34,7 +34,7 @@ def status_of(events: DataFrame) -> DataFrame:
 
 def status_replay(spark: SparkSession, d: str) -> DataFrame:
     """Cut into small pieces here, so the composition of pieces is exercised."""
-    return lifecycle.replay(status_of(table(spark, d, "events")), segment=5_000)
+    return lifecycle.replay(status_of(table(spark, d, "events")), segment=64)
 
 
 def illegal_transitions(spark: SparkSession, d: str) -> DataFrame:

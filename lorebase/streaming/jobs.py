@@ -6,16 +6,15 @@ run. Checkpoints and outputs live in the shared folder of the cluster.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from lorebase.operators import index, temporal
+from lorebase.operators import index, lifecycle, temporal
 from lorebase.operators.lifecycle import VERSION_EDGES
 from lorebase.session import shared_dir
+from lorebase.sources.staging import materialized
 
 
 def file_stream(spark: SparkSession, directory: str, pattern: str, schema, **options) -> DataFrame:
@@ -65,41 +64,36 @@ def error_rates(requests: DataFrame, *, event_time: str, delay: str, out: str, c
 
 
 def replay_status(log: DataFrame, *, out: str, checkpoint: str, edges=VERSION_EDGES, initial: str = "registered") -> DataFrame:
-    """Status machine over a stream ``(entity_id, seq, status)`` with one small state per entity.
+    """Status machine over a stream ``(entity_id, seq, status)``.
 
-    Entries of one micro-batch are ordered by ``seq``; an entry older than what the entity already
-    applied is rejected as a regression (late data never overwrites newer state).
+    A micro-batch is replayed in pieces, as a batch is, from the states that earlier batches left; an entry older than what its
+    entity has applied is rejected as a regression (late data never overwrites newer state). A batch writes its outcomes and the
+    states of the entities it touched to folders of its own number, so a replayed batch leaves the same files.
     """
+    spark = log.sparkSession
+    fields = dict(log.dtypes)
+    kept = f"entity_id {fields['entity_id']}, state string, last {fields['seq']}, batch_id long"
 
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        status, revision, last = state.get if state.exists else (initial, 0, -1)
-        batch = pd.concat(list(frames)).sort_values("seq")
-        rows = []
-        for seq, target in zip(batch["seq"], batch["status"], strict=True):
-            before = status
-            if seq < last:
-                outcome = "document_version_timestamp_regression"
-            elif target == status:
-                outcome = "unchanged"
-            elif target in edges[status]:
-                outcome, status, revision = "applied", target, revision + 1
-            else:
-                outcome = "document_version_transition_invalid"
-            last = max(last, int(seq))
-            rows.append((key[0], int(seq), before, target, outcome))
-        state.update((status, int(revision), last))
-        yield pd.DataFrame(rows, columns=["entity_id", "seq", "from_status", "to_status", "outcome"])
-
-    id_type = dict(log.dtypes)["entity_id"]
-    outcomes = log.groupBy("entity_id").applyInPandasWithState(
-        step,
-        f"entity_id {id_type}, seq long, from_status string, to_status string, outcome string",
-        "status string, revision long, last long",
-        "append",
-        GroupStateTimeout.NoTimeout,
-    )
-    _finish(outcomes.writeStream.format("parquet").option("path", out).outputMode("append"), checkpoint)
-    return log.sparkSession.read.parquet(out)
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch = materialized(batch.select("entity_id", "seq", "status"), "status-batch")
+        earlier = spark.createDataFrame([], kept)
+        if batch_id:
+            earlier = spark.read.schema(kept).parquet(f"{out}/states").filter(F.col("batch_id") < batch_id)
+        touched = earlier.join(batch.select("entity_id").distinct(), "entity_id", "left_semi")
+        states = materialized(index.latest(touched, ["entity_id"], [F.col("batch_id")]).drop("batch_id"), "status-states")
+        marked = batch.join(states, "entity_id", "left").withColumn("late", F.coalesce(F.col("seq") < F.col("last"), F.lit(False)))
+        fresh = marked.filter("NOT late").select("entity_id", "seq", "status")
+        done = lifecycle.replay(fresh, edges=edges, initial=initial, states=states.select("entity_id", "state"))
+        late = marked.filter("late").select(
+            "entity_id", "seq", F.col("state").alias("from_status"), F.col("status").alias("to_status"), F.lit("document_version_timestamp_regression").alias("outcome"))
+        done.unionByName(late).write.mode("overwrite").parquet(f"{out}/outcomes/batch_id={batch_id}")
+        written = spark.read.parquet(f"{out}/outcomes/batch_id={batch_id}").filter("outcome <> 'document_version_timestamp_regression'")
+        reached = F.when(F.col("outcome") == "applied", F.col("to_status")).otherwise(F.col("from_status"))
+        written.groupBy("entity_id").agg(F.max_by(reached, "seq").alias("state"), F.max("seq").alias("last")).write.mode("overwrite").parquet(
+            f"{out}/states/batch_id={batch_id}")
+
+    _finish(log.writeStream.foreachBatch(write).outputMode("append"), checkpoint)
+    return spark.read.parquet(f"{out}/outcomes").drop("batch_id")
 
 
 def locations(spark: SparkSession, name: str) -> dict[str, str]:

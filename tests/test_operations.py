@@ -1,6 +1,7 @@
 """Lifecycle, usage, temporal, graph, evaluation and streams on small literal inputs."""
 
 import random
+import re
 from datetime import datetime, timedelta
 from statistics import quantiles
 
@@ -35,6 +36,36 @@ def test_replay_matches_sequential_for_any_cut(spark):
         assert dict(rows(lifecycle.replay_summary(got).select("entity_id", "status"))) == state
 
 
+def test_replay_of_one_hot_entity_stays_in_the_jvm(spark):
+    rng = random.Random(5)
+    names = list(lifecycle.VERSION_EDGES)
+    log = [(1, -700 + 3 * i, rng.choice([*names[1:5], "lost"])) for i in range(3_000)] + [(2, 5, "ingesting"), (3, 6, None)]
+    got = lifecycle.replay(spark.createDataFrame(log, "entity_id int, seq long, status string").repartition(5), segment=16)
+    state, want = {1: "registered", 2: "registered", 3: "registered"}, {}
+    for entity, seq, target in log:
+        before = state[entity]
+        legal = target in lifecycle.VERSION_EDGES[before]
+        want[entity, seq] = (before, target, "unchanged" if target == before else "applied" if legal else "document_version_transition_invalid")
+        state[entity] = target if legal else before
+    assert {(r.entity_id, r.seq): (r.from_status, r.to_status, r.outcome) for r in got.collect()} == want
+    assert not re.search("Python|Pandas|Arrow", got._jdf.queryExecution().executedPlan().toString())
+    assert lifecycle.replay(spark.createDataFrame([], "entity_id int, seq long, status string")).collect() == []
+
+
+def test_stream_status_carries_states_over_batches(spark, tmp_path):
+    """Many batches give what one batch gives, for a hot entity and others."""
+    rng, source = random.Random(8), str(tmp_path / "in")
+    names = list(lifecycle.VERSION_EDGES)[1:5]
+    log = [(1 if i % 3 else i % 5, i, rng.choice(names)) for i in range(300)]
+    for k in range(0, 300, 100):
+        spark.createDataFrame(log[k:k + 100], "entity_id int, seq long, status string").coalesce(1).write.mode("append").parquet(source)
+    got = jobs.replay_status(
+        jobs.file_stream(spark, source, "*.parquet", "entity_id int, seq long, status string", maxFilesPerTrigger=1),
+        out=str(tmp_path / "out"), checkpoint=str(tmp_path / "ck"))
+    once = lifecycle.replay(spark.createDataFrame(log, "entity_id int, seq long, status string"))
+    assert sorted(map(tuple, got.select(*once.columns).collect())) == sorted(map(tuple, once.collect()))
+
+
 def test_publish_single_winner_is_order_independent(spark):
     docs = spark.createDataFrame([("d1", "active", 3, "v1"), ("d2", "delete_pending", 1, None)], "document_id string, status string, revision int, current_version_id string")
     vers = spark.createDataFrame([("v1", "d1", "ready"), ("v2", "d1", "registered"), ("v9", "d2", "ready")], "document_version_id string, document_id string, status string")
