@@ -6,8 +6,12 @@ window below is over at most a few hundred rows per query.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
+from concurrent.futures import TimeoutError as FutureTimeout
+from math import isfinite
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,35 +59,71 @@ def basic_hybrid(text: DataFrame, vector: DataFrame, top_n: int) -> DataFrame:
     return fused.withColumn("fusion_rank", F.row_number().over(order)).filter(F.col("fusion_rank") <= top_n)
 
 
-def score_with(candidates: DataFrame, queries: DataFrame, chunks: DataFrame, batch: Callable[[list[str], list[str]], list]) -> DataFrame:
-    """Score (query text, chunk text) pairs with a user's batch function on Arrow batches.
+TIMEOUT = "reranker_timeout"
 
-    A batch that fails or returns the wrong number of scores leaves its pairs unscored, which
-    :func:`rerank` turns into the fusion order with a reason.
-    """
-    import pandas as pd
 
+def score_with(
+    candidates: DataFrame, queries: DataFrame, chunks: DataFrame, batch: Callable[[list[str], list[str]], list], *,
+    pairs_per_call: int = 256, timeout: float | None = None,
+) -> DataFrame:
+    """Score (query text, chunk text) pairs with a user's batch function: ``query_id, chunk_id, rerank_score, failure``.
+
+    The unit of failure is one query. A call takes whole queries of about ``pairs_per_call`` pairs; if it raises, takes longer
+    than ``timeout`` seconds or returns other than one finite number for each pair, its queries are tried one by one, and those that fail alone
+    have null scores and a ``failure``, which :func:`rerank` turns into the fusion order with that reason. So the result
+    does not depend on how queries are batched or partitioned.
+    """
     pairs = candidates.select("query_id", "chunk_id").join(queries.select("query_id", "text"), "query_id").join(
         chunks.select("chunk_id", "content"), "chunk_id")
 
-    def run(frames):
+    def scored(group: pd.DataFrame) -> tuple[list[float] | None, str | None]:
+        texts, contents = group["text"].tolist(), group["content"].tolist()
+        pool = ThreadPoolExecutor(1)
+        try:
+            scores = [float(s) for s in pool.submit(batch, texts, contents).result(timeout)]
+            if len(scores) == len(group) and all(map(isfinite, scores)):
+                return scores, None
+            return None, "reranker_error:ValueError"
+        except FutureTimeout:
+            return None, TIMEOUT
+        except Exception as error:  # a model failure is a documented fallback, not a failed job
+            return None, f"reranker_error:{type(error).__name__}"
+        finally:
+            pool.shutdown(wait=False)
+
+    def judged(groups: list[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        whole = pd.concat(groups, ignore_index=True)
+        scores, failure = scored(whole)
+        if scores is None and len(groups) > 1:
+            for group in groups:
+                yield from judged([group])
+        else:
+            yield whole[["query_id", "chunk_id"]].assign(rerank_score=scores, failure=failure).astype({"rerank_score": "float64", "failure": "object"})
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # partitions are sorted by query; the last query of a frame may go on in the next
+        waiting: list[pd.DataFrame] = []
         for frame in frames:
-            try:
-                scores = [float(s) for s in batch(frame["text"].tolist(), frame["content"].tolist())]
-                ok = len(scores) == len(frame)
-            except Exception:  # a model failure is a documented fallback, not a failed job
-                ok = False
-            if ok:
-                yield pd.DataFrame({"query_id": frame["query_id"], "chunk_id": frame["chunk_id"], "rerank_score": scores})
+            for _, group in frame.groupby("query_id", sort=False):
+                if waiting and waiting[-1]["query_id"].iloc[0] == group["query_id"].iloc[0]:
+                    waiting[-1] = pd.concat([waiting[-1], group])
+                    continue
+                if sum(map(len, waiting)) >= pairs_per_call:
+                    yield from judged(waiting)
+                    waiting = []
+                waiting.append(group)
+        if waiting:
+            yield from judged(waiting)
 
-    return pairs.mapInPandas(run, "query_id string, chunk_id string, rerank_score double")
+    ordered = pairs.repartition("query_id").sortWithinPartitions("query_id", "chunk_id")
+    return ordered.mapInPandas(run, "query_id string, chunk_id string, rerank_score double, failure string")
 
 
 def rerank(fused: DataFrame, scores: DataFrame | None = None, window: int = RERANK_WINDOW, *, keys: tuple[str, ...] = ("query_id",)) -> DataFrame:
     """Order the first ``window`` fused candidates by reranker scores.
 
     Scores come as a table, or as a ``rerank_score`` column already on ``fused``. A query whose
-    window is not scored completely keeps the fusion order and says why.
+    window is not scored completely keeps the fusion order and says why: the ``failure`` of its scores, if they have one.
     """
     head = fused.filter(F.col("fusion_rank") <= window)
     if scores is not None:
@@ -95,10 +135,12 @@ def rerank(fused: DataFrame, scores: DataFrame | None = None, window: int = RERA
     order = Window.partitionBy(*keys).orderBy(
         F.when(F.col("applied"), F.col("rerank_score")).desc_nulls_last(), F.col("fusion_rank")
     )
+    said = F.max("failure").over(group) if "failure" in head.columns else F.lit(None).cast("string")
     return (
         marked.withColumn("final_score", final)
         .withColumn("rerank_rank", F.row_number().over(order))
-        .withColumn("fallback_reason", F.when(~F.col("applied"), "reranker_error:ValueError"))
+        .withColumn("fallback_reason", F.when(~F.col("applied"), F.coalesce(said, F.lit("reranker_error:ValueError"))))
+        .drop("failure")
     )
 
 
@@ -271,22 +313,32 @@ def pack_context(selected: DataFrame, limit: int = CONTEXT_CHARACTERS) -> DataFr
 
 def expand_neighbours(hits: DataFrame, chunks: DataFrame) -> DataFrame:
     """Chunks around every hit: the hit, its parent, its siblings (null parents count as equal)
-    and direct neighbours, all within one document version."""
-    h, c = hits.alias("h"), chunks.alias("c")
-    near = (
-        (F.col("c.chunk_id") == F.col("h.chunk_id"))
-        | F.coalesce(F.col("c.chunk_id") == F.col("h.parent_chunk_id"), F.lit(False))
-        | F.col("c.parent_chunk_id").eqNullSafe(F.col("h.parent_chunk_id"))
-        | (F.abs(F.col("c.sequence") - F.col("h.sequence")) <= 1)
-    )
-    return h.join(c, (F.col("h.document_version_id") == F.col("c.document_version_id")) & near).select(
-        F.col("h.query_id").alias("query_id"), F.col("h.chunk_id").alias("hit_chunk_id"),
-        F.col("c.chunk_id").alias("chunk_id"), F.col("c.sequence").alias("sequence"), F.col("c.token_count").alias("token_count"),
-    )
+    and direct neighbours, all within one document version; each once per hit.
+
+    Every relation is an equi-join of its own (by chunk, by parent, by place), so no join compares a hit with all chunks of its document.
+    """
+    h = hits.select("query_id", F.col("chunk_id").alias("hit_chunk_id"), "document_version_id", F.col("parent_chunk_id").alias("parent"), F.col("sequence").alias("at"))
+    c = chunks.select("document_version_id", "chunk_id", "parent_chunk_id", "sequence", "token_count")
+    version = "document_version_id"
+    itself = h.withColumn("chunk_id", F.explode(F.array("hit_chunk_id", "parent"))).filter("chunk_id IS NOT NULL").join(c, [version, "chunk_id"])
+    child, orphan = F.col("parent").isNotNull(), F.col("parent_chunk_id").isNull()
+    siblings = h.filter(child).join(c.withColumnRenamed("parent_chunk_id", "parent"), [version, "parent"])
+    roots = h.filter(~child).join(c.filter(orphan), version)
+    beside = h.withColumn("sequence", F.explode(F.array(F.col("at") - 1, F.col("at"), F.col("at") + 1))).join(c, [version, "sequence"])
+    found = None
+    for part in (itself, siblings, roots, beside):
+        part = part.select("query_id", "hit_chunk_id", "chunk_id", "sequence", "token_count")
+        found = part if found is None else found.unionByName(part)
+    return found.distinct()
 
 
 def greedy_budget(expanded: DataFrame, max_tokens: int) -> DataFrame:
-    """Keep items in sequence order while they fit; one that does not fit is skipped, not a stop."""
+    """Keep items in sequence order while they fit; one that does not fit is skipped, not a stop.
+
+    Once an item of some size does not fit, no later one of that size does, so of each size only the first
+    ``max_tokens / size`` items can be kept. Only these are gathered: fewer than ``max_tokens * (1 + ln(max_tokens))`` per hit, however
+    many chunks surround it (items without tokens always fit and are all kept).
+    """
     start = "cast(struct(0 as used, cast(array() as array<string>) as ids) as struct<used:int,ids:array<string>>)"
 
     def take(acc: Column, x: Column) -> Column:
@@ -294,8 +346,11 @@ def greedy_budget(expanded: DataFrame, max_tokens: int) -> DataFrame:
         return F.when(~fits, acc).otherwise(
             F.struct((acc["used"] + x["token_count"]).alias("used"), F.concat(acc["ids"], F.array(x["chunk_id"])).alias("ids")))
 
-    items = F.array_sort(F.collect_set(F.struct("sequence", "chunk_id", "token_count")))
-    return expanded.groupBy("query_id", "hit_chunk_id").agg(items.alias("items")).select(
+    one_size = Window.partitionBy("query_id", "hit_chunk_id", "token_count").orderBy("sequence", "chunk_id")
+    distinct = expanded.select("query_id", "hit_chunk_id", "sequence", "chunk_id", "token_count").distinct()
+    useful = distinct.withColumn("place", F.row_number().over(one_size)).withColumn("useful", F.col("place") * F.col("token_count") <= max_tokens)
+    items = F.array_sort(F.collect_list(F.when(F.col("useful"), F.struct("sequence", "chunk_id", "token_count"))))
+    return useful.groupBy("query_id", "hit_chunk_id").agg(items.alias("items")).select(
         "query_id", "hit_chunk_id", F.aggregate("items", F.expr(start), take).alias("r")
     ).select("query_id", "hit_chunk_id", F.col("r.used").alias("tokens"), F.col("r.ids").alias("chunk_ids"))
 

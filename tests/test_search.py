@@ -116,6 +116,62 @@ def test_reranker_hook(spark):
     assert [r[0] for r in rows(failed.select("chunk_id", "rerank_rank"), "rerank_rank")] == ["c1", "c2"]
 
 
+@pytest.mark.parametrize("pairs_per_call", [1, 7, 1_000])
+def test_reranker_fails_by_query(spark, pairs_per_call):
+    """Whatever the batches and partitions: a query fails alone, with its own reason; the others are scored."""
+    import time
+
+    def model(queries, texts):
+        if "bad" in queries:
+            raise KeyError("bad")
+        if "slow" in queries:
+            time.sleep(1.5)
+        if "short" in queries:
+            return [1.0]
+        return [float("nan") if q == "nan" else float(len(t)) for q, t in zip(queries, texts)]
+
+    names = ["good", "bad", "slow", "short", "nan", "fine"]
+    q = spark.createDataFrame([(n, n) for n in names], "query_id string, text string")
+    c = spark.createDataFrame([(f"c{i}", "x" * (i + 1)) for i in range(5)], "chunk_id string, content string")
+    fused = q.select("query_id").crossJoin(c.select("chunk_id")).selectExpr(
+        "query_id", "chunk_id", "cast(substring(chunk_id, 2) as int) + 1 as fusion_rank", "1.0 / (1 + cast(substring(chunk_id, 2) as int)) as fusion_score")
+    scores = rank.score_with(fused, q, c, model, pairs_per_call=pairs_per_call, timeout=0.5)
+    got = rank.rerank(fused, scores).select("query_id", "chunk_id", "rerank_rank", "fallback_reason").collect()
+    reasons = {r.query_id: r.fallback_reason for r in got}
+    assert reasons == {"good": None, "fine": None, "bad": "reranker_error:KeyError", "slow": rank.TIMEOUT, "short": "reranker_error:ValueError", "nan": "reranker_error:ValueError"}
+    for name in names:
+        order = [r.chunk_id for r in sorted(got, key=lambda r: r.rerank_rank) if r.query_id == name]
+        assert order == ([f"c{i}" for i in (4, 3, 2, 1, 0)] if name in ("good", "fine") else [f"c{i}" for i in range(5)])
+
+
+def test_expansion_and_budget_around_a_hot_document(spark):
+    """A document with a third of all chunks; relations and budget against brute force."""
+    rng = np.random.default_rng(3)
+    rows_, at = [], 0
+    for version, n in [("hot", 400), *((f"v{i}", 20) for i in range(40))]:
+        for s in range(n):
+            parent = None if s % 5 == 0 else f"{version}-{s - s % 5}" if s % 3 else f"{version}-p{s // 7}"
+            rows_.append((f"{version}-{s}", version, s, int(rng.integers(1, 40)), parent))
+            at += 1
+    c = spark.createDataFrame(rows_, "chunk_id string, document_version_id string, sequence int, token_count int, parent_chunk_id string")
+    picked = [rows_[int(i)] for i in rng.choice(len(rows_), 30, replace=False)]
+    h = spark.createDataFrame([(f"q{k % 3}", *r) for k, r in enumerate(picked)], "query_id string, chunk_id string, document_version_id string, sequence int, token_count int, parent_chunk_id string")
+    want, budget = set(), {}
+    for k, (i, v, s, _, p) in enumerate(picked):
+        near = [r for r in rows_ if r[1] == v and (r[0] in (i, p) or r[4] == p or abs(r[2] - s) <= 1)]
+        want |= {(f"q{k % 3}", i, r[0]) for r in near}
+        used, ids = 0, []
+        for r in sorted(near, key=lambda r: r[2]):
+            if used + r[3] <= 90:
+                used, ids = used + r[3], [*ids, r[0]]
+        budget[f"q{k % 3}", i] = (used, ids)
+    expanded = rank.expand_neighbours(h, c)
+    got = [(r.query_id, r.hit_chunk_id, r.chunk_id) for r in expanded.collect()]
+    assert set(got) == want and len(got) == len(want)
+    assert {(r.query_id, r.hit_chunk_id): (r.tokens, list(r.chunk_ids)) for r in rank.greedy_budget(expanded, 90).collect()} == budget
+    assert "NestedLoop" not in expanded._jdf.queryExecution().executedPlan().toString()
+
+
 def test_clean_order_of_rules(spark):
     data = [(1, "a", "d", .9), (2, "a", "d", .9), (3, "b", "d", .1), (4, "c", "d", .8), (5, "e", "d", .7), (6, "f", "x", .6), (7, "g", "x", .5)]
     df = spark.createDataFrame([("q", *r) for r in data], "query_id string, rerank_rank int, chunk_id string, document_id string, final_score double")
