@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lorebase.functions.predicates import access_allowed, permission_reason, searchable
+from lorebase.sources.staging import materialized
 
 
 def scope_filter(records: DataFrame, scopes: DataFrame) -> DataFrame:
@@ -80,3 +81,60 @@ def call_reuse(calls: DataFrame) -> DataFrame:
         .otherwise("executed")
     )
     return ran.join(first_ok, signature, "left").withColumn("outcome", outcome).drop("first", "is_first", "ok_seq")
+
+
+INVALID_FILTER = "invalid"
+
+
+def filter_fingerprints(nodes: DataFrame) -> DataFrame:
+    """``filter_id, digest, n_leaves``: one digest per filter tree, the same for every order of the children of ``and`` and ``or``.
+
+    ``nodes``: ``filter_id, node_id, parent_id`` (null at the root), ``op, field, value`` (null for groups). Trees are hashed from the
+    leaves up, a level a round and all trees at once: a leaf by its field, operator and value, a group by its operator and the sorted
+    digests of its children. A tree that never closes (a group without children, a missing parent, a cycle, ``not`` with
+    other than one child, several roots) has the digest ``invalid``. The digest is 16 hexadecimal digits long.
+    """
+    key = ["filter_id", "node_id"]
+    rows = materialized(nodes.select(*key, "parent_id", "op", "field", "value"), "filter-nodes")
+    leaf = F.sha2(F.to_json(F.struct("field", "op", "value")), 256)
+    group = F.col("op").isin("and", "or", "not")
+    done = rows.filter(~group).select(*key, "parent_id", leaf.alias("hash"))
+    sizes = rows.groupBy("filter_id", F.col("parent_id").alias("node_id")).agg(F.count(F.lit(1)).alias("children"))
+    open_groups = materialized(
+        rows.filter(group).join(sizes, key).filter("op <> 'not' OR children = 1").select(*key, "parent_id", "op", "children"), "filter-groups")
+    done = materialized(done, "filter-hashes")
+    while not open_groups.isEmpty():
+        below = done.groupBy("filter_id", F.col("parent_id").alias("node_id")).agg(
+            F.count(F.lit(1)).alias("known"), F.array_sort(F.collect_list("hash")).alias("hashes"))
+        closed = open_groups.join(below, key).filter("known = children").select(
+            *key, "parent_id", F.sha2(F.concat_ws(",", F.col("op"), F.col("hashes")), 256).alias("hash"))
+        closed = materialized(closed, "filter-hashes")
+        if closed.isEmpty():
+            break
+        open_groups = materialized(open_groups.join(closed.select(*key), key, "left_anti"), "filter-groups")
+        done = materialized(done.unionByName(closed), "filter-hashes")
+    roots = done.filter("parent_id IS NULL").groupBy("filter_id").agg(F.max("hash").alias("hash"))
+    shape = rows.groupBy("filter_id").agg(
+        F.count_if(~group).alias("n_leaves"), F.count(F.lit(1)).alias("n_nodes"), F.count_if(F.col("parent_id").isNull()).alias("n_roots"))
+    closed = done.groupBy("filter_id").agg(F.count(F.lit(1)).alias("n_closed"))
+    groups = rows.filter(group).select("filter_id", F.col("node_id").alias("parent_id"))
+    lost = rows.filter("parent_id IS NOT NULL").join(groups, ["filter_id", "parent_id"], "left_anti").groupBy("filter_id").agg(F.lit(True).alias("lost"))
+    whole = (F.col("n_roots") == 1) & (F.col("n_closed") == F.col("n_nodes")) & F.col("lost").isNull()
+    return shape.join(closed, "filter_id", "left").join(roots, "filter_id", "left").join(lost, "filter_id", "left").select(
+        "filter_id", F.when(whole, F.left("hash", F.lit(16))).otherwise(INVALID_FILTER).alias("digest"), "n_leaves")
+
+
+def filter_summaries(requests: DataFrame, fingerprints: DataFrame) -> DataFrame:
+    """``query_id, summary``: six content-free lines about the filters of every request.
+
+    ``requests``: ``query_id, knowledge_base_ids, index_version_ids, user_filter_id, inferred_filter_id`` (null for no filter).
+    """
+    side = lambda name: fingerprints.select(
+        F.col("filter_id").alias(f"{name}_filter_id"), F.col("digest").alias(f"{name}_digest"), F.col("n_leaves").alias(f"{name}_leaves"))
+    known = requests.join(side("user"), "user_filter_id", "left").join(side("inferred"), "inferred_filter_id", "left")
+    line = lambda label, value: F.concat(F.lit(f"{label}:"), value.cast("string"))
+    return known.select("query_id", F.array(
+        F.lit("hard:tenant"), line("hard:knowledge_bases", F.size("knowledge_base_ids")), line("hard:index_versions", F.size("index_version_ids")),
+        line("user_filters", F.coalesce("user_leaves", F.lit(0))), line("user_ast", F.coalesce("user_digest", F.lit("none"))),
+        line("inferred_ast", F.coalesce("inferred_digest", F.lit("none"))),
+    ).alias("summary"))

@@ -150,13 +150,11 @@ def _picture(blocks: Column) -> Column:
             F.transform(others, lambda b: _single(b, strip(b["text"])))
         )
 
-    pages = F.array_distinct(F.transform(blocks, lambda b: b["page"]))
-    return F.flatten(
-        F.transform(
-            pages,
-            lambda p: let(F.filter(blocks, lambda b: b["page"].eqNullSafe(p)), page_groups),
-        )
-    )
+    # sorted by page, a page is one run; runs then go in the order of their first block
+    placed = F.array_sort(F.transform(blocks, lambda b, i: F.struct(b["page"].alias("page"), i.alias("at"), b.alias("block"))))
+    runs = split_at(placed, lambda cur, prev: ~cur["page"].eqNullSafe(prev["page"]))
+    ordered = F.array_sort(F.transform(runs, lambda r: F.struct(F.get(r, F.lit(0))["at"].alias("at"), r.alias("members"))))
+    return F.flatten(F.transform(ordered, lambda r: let(F.transform(r["members"], lambda m: m["block"]), page_groups)))
 
 
 STRATEGIES: dict[str, Callable[[Column], Column]] = {

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lorebase.sources.staging import materialized
+
 # fixed values: alert rules and histogram bounds (seconds)
 ERROR_RATE_LIMIT = 0.01
 BACKLOG_LIMIT_SECONDS = 300
@@ -71,33 +73,62 @@ def error_rates(requests: DataFrame, at: str = "at", window: str = "5 minutes",
     )
 
 
+def _bracketed(samples: DataFrame, states: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """The samples inside the bracket of their group, with its state; a null edge is open."""
+    v = F.col(value)
+    inside = (F.col("low").isNull() | (v >= F.col("low"))) & (F.col("high").isNull() | (v <= F.col("high")))
+    return samples.select(*keys, value).join(states, keys).filter(inside)
+
+
+def _narrowed(samples: DataFrame, states: DataFrame, keys: list[str], value: str, accuracy: int) -> DataFrame:
+    """One round: the bracket shrinks to about three hundredths of its samples around the wanted rank.
+
+    Edges come from a mergeable sketch; what lies below and between them is then counted exactly. Where the sketch missed the rank,
+    or equal values leave nothing to cut, the group keeps its bracket and is done.
+    """
+    grid = F.percentile_approx(value, F.array(*(F.lit(i / 100) for i in range(101))), accuracy)
+    held = _bracketed(samples, states, keys, value)
+    at = F.floor(100 * (F.col("j") - F.col("skipped")) / F.col("inside"))
+    edges = held.groupBy(*keys).agg(grid.alias("grid")).join(states, keys).select(
+        *keys, F.get("grid", F.greatest(F.lit(0), at - 1).cast("int")).alias("new_low"), F.get("grid", F.least(F.lit(100), at + 2).cast("int")).alias("new_high"))
+    v = F.col(value)
+    counts = held.join(edges, keys).groupBy(*keys, "new_low", "new_high").agg(
+        F.count_if(v < F.col("new_low")).alias("under"), F.count_if((v >= F.col("new_low")) & (v <= F.col("new_high"))).alias("within"))
+    reached = F.col("skipped") + F.col("under")
+    good = (reached < F.col("j")) & (reached + F.col("within") >= F.least(F.col("j") + 1, F.col("n"))) & (F.col("within") < F.col("inside"))
+    pick = lambda new, old: F.when(good, new).otherwise(F.col(old)).alias(old)
+    return states.join(counts, keys).select(
+        *keys, "n", "j", pick(F.col("new_low"), "low"), pick(F.col("new_high"), "high"), pick(reached, "skipped"),
+        pick(F.col("within"), "inside"), (~good).alias("done"))
+
+
 def exclusive_quantile(
-    samples: DataFrame, keys: list[str], value: str, q: float = 0.95, *, accuracy: int = 10_000
+    samples: DataFrame, keys: list[str], value: str, q: float = 0.95, *, accuracy: int = 10_000, bracket_rows: int = 10_000
 ) -> DataFrame:
     """Exclusive quantile: position (n+1)q, clamped to [1, n-1], linear between neighbours.
 
     With few samples it may extrapolate beyond the maximum; a single sample is its own quantile.
 
-    Exact without sorting a group: an approximate quantile with a proven rank error brackets the
-    position, everything below the bracket is only counted, and the running count of values is
-    taken inside the bracket, about ``10 / accuracy`` of the samples. Groups of at most
-    ``accuracy`` samples are their own bracket.
+    Exact without sorting a group: a bracket around the wanted rank is narrowed, round by round, until it holds at most
+    ``bracket_rows`` samples or equal ones only; what lies below is counted. The running count of values is taken inside the
+    bracket, so no task orders more than that, however large a group.
     """
-    margin = 5 / accuracy
-    edges = F.percentile_approx(value, F.array(F.lit(max(0.0, q - margin)), F.lit(min(1.0, q + margin))), accuracy)
-    groups = samples.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), edges.alias("edges"))
-    small = F.col("n") <= accuracy
-    placed = samples.join(groups, keys).select(
-        *keys, "n", F.col(value).alias("v"),
-        (~small & (F.col(value) < F.get("edges", F.lit(0)))).alias("below"),
-        (~small & (F.col(value) > F.get("edges", F.lit(1)))).alias("above"))
-    skipped = placed.groupBy(*keys).agg(F.count_if("below").alias("skipped"))
-    counted = placed.filter("not below and not above").groupBy(*keys, "n", "v").agg(F.count(F.lit(1)).alias("c"))
-    running = Window.partitionBy(*keys).orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     m = q * 100
     position = F.greatest(F.lit(1), F.least(F.floor((F.col("n") + 1) * m / 100), F.col("n") - 1))
-    upto = counted.withColumn("upto", F.sum("c").over(running)).join(skipped, keys).withColumn(
-        "upto", F.col("upto") + F.col("skipped")).withColumn("j", position)
+    kind = dict(samples.dtypes)[value]
+    states = materialized(
+        samples.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).select(
+            *keys, "n", position.alias("j"), F.lit(None).cast(kind).alias("low"), F.lit(None).cast(kind).alias("high"), F.lit(0).cast("long").alias("skipped"),
+            F.col("n").alias("inside"), F.lit(False).alias("done")),
+        "quantile-brackets")
+    while True:
+        wide = (F.col("inside") > bracket_rows) & ~F.col("done")
+        if states.filter(wide).isEmpty():
+            break
+        states = materialized(states.filter(~wide).unionByName(_narrowed(samples, states.filter(wide), keys, value, accuracy)), "quantile-brackets")
+    counted = _bracketed(samples, states, keys, value).groupBy(*keys, "n", "j", "skipped", F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("c"))
+    running = Window.partitionBy(*keys).orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    upto = counted.withColumn("upto", F.sum("c").over(running) + F.col("skipped"))
     first_at = lambda k: F.min(F.when(F.col("upto") >= k, F.col("v")))
     picked = upto.groupBy(*keys, "n", "j").agg(first_at(F.col("j")).alias("lo"), first_at(F.col("j") + 1).alias("hi"))
     delta = (F.col("n") + 1) * m - F.col("j") * 100

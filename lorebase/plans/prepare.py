@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorebase.functions import ids, text as tx
@@ -178,6 +178,25 @@ def filter_digest(spark: SparkSession, d: str) -> DataFrame:
         "query_id", ids.filter_digest(shape).alias("inferred"), ids.filter_digest(describe_filter(None)).alias("user"))
 
 
+def filter_summary(spark: SparkSession, d: str) -> DataFrame:
+    """Six lines about the filters of every request. Every third request has no filter of the user, the others one of two shapes."""
+    n, q = F.col("item_id"), derived.queries(spark, d)
+    node = lambda i, parent, op, field=None, value=None: F.struct(
+        F.lit(i).alias("node_id"), F.lit(parent).cast("int").alias("parent_id"), (op if isinstance(op, Column) else F.lit(op)).alias("op"),
+        F.lit(field).cast("string").alias("field"), (F.lit(None) if value is None else value).cast("string").alias("value"))
+    tree = [
+        node(0, None, F.when(n % 2 == 0, "and").otherwise("or")), node(1, 0, "not"), node(2, 1, "eq", "owner", F.concat(F.lit("u"), n % 7)),
+        node(3, 0, "in", "knowledge_base", F.array_join("knowledge_base_ids", ",")), node(4, 0, "gte", "revision", n % 3)]
+    user = q.filter(n % 3 != 0).select(F.concat(F.lit("user-"), "query_id").alias("filter_id"), F.explode(F.array(*tree)).alias("node"))
+    inferred = q.filter("languages IS NOT NULL").select(
+        F.concat(F.lit("inferred-"), "query_id").alias("filter_id"), node(0, None, "in", "language", F.array_join("languages", ",")).alias("node"))
+    prints = access.filter_fingerprints(user.unionByName(inferred).select("filter_id", "node.*"))
+    requests = q.select(
+        "query_id", "knowledge_base_ids", F.array(F.lit("g1")).alias("index_version_ids"),
+        F.concat(F.lit("user-"), "query_id").alias("user_filter_id"), F.concat(F.lit("inferred-"), "query_id").alias("inferred_filter_id"))
+    return access.filter_summaries(requests, prints).select("query_id", F.array_join("summary", " ").alias("summary"))
+
+
 def permission_decision(spark: SparkSession, d: str) -> DataFrame:
     """Every event is a request of a user for the document of the same number."""
     requests = table(spark, d, "events").select(
@@ -280,7 +299,7 @@ QUERIES = {
     f.__name__: f for f in (
         query_normalize, query_language, query_keywords, query_variants, plan_steps, plan_violations, digests, safe_name,
         redact_text, redact_log, redact_json, secret_scan, injection_flag, token_estimate, scope_filter, acl_filter,
-        metadata_filter, filter_tree, filter_digest, permission_decision, policy_audit, call_reuse, scoped_sql_agg,
+        metadata_filter, filter_tree, filter_digest, filter_summary, permission_decision, policy_audit, call_reuse, scoped_sql_agg,
         scoped_sql_join, scoped_sql_cte, evidence_decision, retry_decision, answer_assemble)
 }
 
@@ -383,6 +402,14 @@ ORACLE = {
         SELECT document_id, block_id FROM filter_rows WHERE (contains_table AND language IS DISTINCT FROM 'en') OR (strategy = 'manual' AND media_type IN ('text/html', 'text/markdown'))"""),
     "filter_digest": query("""
         SELECT query_id, CASE WHEN languages IS NULL THEN 'none' ELSE left(sha256('{"field":"language","op":"in","value":"' || array_to_string(languages, ',') || '"}'), 16) END AS inferred, 'none' AS user FROM queries"""),
+    "filter_summary": query("""
+        SELECT query_id, concat_ws(' ', 'hard:tenant', 'hard:knowledge_bases:' || len(knowledge_base_ids), 'hard:index_versions:1',
+               'user_filters:' || CASE WHEN item_id % 3 = 0 THEN 0 ELSE 3 END,
+               'user_ast:' || CASE WHEN item_id % 3 = 0 THEN 'none' ELSE left(sha256(op || ',' || array_to_string(list_sort([sha256('not,' || owner), kb, revision]), ',')), 16) END,
+               'inferred_ast:' || CASE WHEN languages IS NULL THEN 'none' ELSE left(sha256('{"field":"language","op":"in","value":"' || array_to_string(languages, ',') || '"}'), 16) END) AS summary
+        FROM (SELECT *, CASE WHEN item_id % 2 = 0 THEN 'and' ELSE 'or' END AS op, sha256('{"field":"owner","op":"eq","value":"u' || (item_id % 7) || '"}') AS owner,
+                     sha256('{"field":"knowledge_base","op":"in","value":"' || array_to_string(knowledge_base_ids, ',') || '"}') AS kb,
+                     sha256('{"field":"revision","op":"gte","value":"' || (item_id % 3) || '"}') AS revision FROM queries)"""),
     "permission_decision": query("""
         SELECT event_id, reason, reason LIKE '%allowed' AS allowed FROM (
             SELECT e.event_id, CASE WHEN 't' || (e.user_id % 4 + CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) <> d.tenant_id THEN 'tenant_mismatch'

@@ -260,3 +260,41 @@ def test_stream_ingest_ignores_duplicates(spark, tmp_path):
         got = jobs.ingest(jobs.file_stream(spark, source, "*.parquet", schema), lambda b: b.select("id", "v"), message_id="id", event_time="at", delay="1 day", keys=["id"],
                           out=str(tmp_path / "out"), checkpoint=str(tmp_path / "ck"))
     assert rows(got, "id") == [("a", 1), ("b", 2)]
+
+
+def test_filter_fingerprints_are_order_stable(spark):
+    """Nested trees by one digest each, whatever the order of children and rows; broken trees have none."""
+    def tree(name, order):
+        nodes = [(0, None, "and", None, None), (1, 0, "or", None, None), (2, 0, "not", None, None), (3, 1, "eq", "a", "1"), (4, 1, "in", "b", "[2,3]"), (5, 2, "gte", "c", None)]
+        number = {n[0]: k for k, n in enumerate(nodes[i] for i in order)}
+        return [(name, number[i], None if p is None else number[p], op, f, v) for i, p, op, f, v in (nodes[k] for k in order)]
+
+    rows_ = tree("x", range(6)) + tree("y", [5, 4, 3, 2, 1, 0]) + [("z", *r[1:3], "or" if r[3] == "and" else r[3], *r[4:]) for r in tree("z", range(6))]
+    rows_ += [("leaf", 0, None, "eq", "a", "1"), ("empty", 0, None, "and", None, None), ("two", 0, None, "eq", "a", "1"), ("two", 1, None, "eq", "a", "1")]
+    rows_ += [("loop", 0, 1, "and", None, None), ("loop", 1, 0, "or", None, None), ("lost", 0, None, "eq", "a", "1"), ("lost", 1, 9, "eq", "a", "1")]
+    rows_ += [("nots", 0, None, "not", None, None), ("nots", 1, 0, "eq", "a", "1"), ("nots", 2, 0, "eq", "b", "1")]
+    schema = "filter_id string, node_id int, parent_id int, op string, field string, value string"
+    got = {r.filter_id: (r.digest, r.n_leaves) for r in access.filter_fingerprints(spark.createDataFrame(rows_, schema).repartition(3)).collect()}
+    assert got["x"] == got["y"] and got["x"][1] == 3 and len(got["x"][0]) == 16 and len({got[k][0] for k in ("x", "z", "leaf")}) == 3
+    assert {k for k, v in got.items() if v[0] == access.INVALID_FILTER} == {"empty", "loop", "nots", "two", "lost"}
+    assert access.filter_fingerprints(spark.createDataFrame([], schema)).collect() == []
+
+
+def test_quantile_of_one_large_group_narrows_its_bracket(spark):
+    """One route holds most rows; equal values, ties at the edges and small groups give the exact quantile."""
+    df = spark.range(60_000).selectExpr(
+        "CASE WHEN id % 50 = 0 THEN concat('r', id % 7) ELSE 'hot' END AS route", "cast(pmod(xxhash64(id), 20000) AS double) AS v").unionByName(
+        spark.range(5_000).selectExpr("'same' AS route", "7.0D AS v")).unionByName(
+        spark.range(9_000).selectExpr("'ties' AS route", "cast(least(id, 100) AS double) AS v")).unionByName(spark.createDataFrame([("one", 3.0), ("two", 1.0), ("two", 9.0)], "route string, v double"))
+    samples = {}
+    for r in df.collect():
+        samples.setdefault(r.route, []).append(r.v)
+    got = {r.route: (r.n, r.p95) for r in temporal.exclusive_quantile(df, ["route"], "v", bracket_rows=300).collect()}
+    assert set(got) == set(samples)
+    for route, values in samples.items():
+        values.sort()
+        n = len(values)
+        j = max(1, min(n - 1, (n + 1) * 95 // 100))
+        delta = (n + 1) * 95 - j * 100
+        want = values[0] if n == 1 else (values[j - 1] * (100 - delta) + values[j] * delta) / 100
+        assert got[route] == (n, pytest.approx(want))
