@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -24,7 +25,10 @@ VERSION, BREAK = b"WARC/1.1", b"\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 PAGE_URN = "urn:page:"
 MEMBER = b"\x1f\x8b\x08"
-FILE_BYTES = 32 << 20
+VERSION_LINE = re.compile(rb"WARC/1\.[0-9]{1,3}\r\n")
+STARTS = re.compile(rb"\x1f\x8b\x08|WARC/1\.")
+FILE_BYTES, PIECE = 32 << 20, 64 << 10
+_NUMBER, _ID = re.compile("[0-9]{1,18}"), re.compile("-?[0-9]{1,19}")
 FOUND = (
     "file string, offset long, length long, kind string, reason string, page_id long, url string,"
     " payload_bytes long, payload_digest string, record_type string, refers_to long"
@@ -119,66 +123,87 @@ class Record:
 
 
 class Damaged(Exception):
-    """A record that fails a check."""
+    """A record that fails a check. Version lines from there up to ``until`` fail the same check."""
 
+    def __init__(self, reason: str, until: int = 0) -> None:
+        super().__init__(reason)
+        self.until = until
 
-def parse_record(data, offset: int) -> tuple[Record, int]:
-    """The record at ``offset`` and the offset behind it; raises Damaged with the failed check."""
-    if bytes(data[offset : offset + 7]) != b"WARC/1.":
+
+def parse_record(data: bytes, offset: int) -> tuple[Record, int]:
+    """The record at ``offset`` and the offset behind it; raises Damaged with the failed check.
+
+    Headers are read line by line and reading ends at the first line that is none. A later version line among the same
+    headers has a suffix of them, so it fails too, up to the line that decided; the error names that place.
+    """
+    line = VERSION_LINE.match(data, offset)
+    if not line:
         raise Damaged("no version line")
-    end = data.find(2 * BREAK, offset)
-    if end < 0:
-        raise Damaged("header has no end")
-    headers = {}
-    for line in bytes(data[offset:end]).split(BREAK)[1:]:
-        name, colon, value = line.partition(b":")
+    headers, at, digest_at = {}, line.end(), 0
+    while (end := data.find(BREAK, at)) != at:
+        if end < 0:
+            raise Damaged("header has no end", len(data))
+        name, colon, value = data[at:end].partition(b":")
         if not colon:
-            raise Damaged("header line without a colon")
-        headers[name.strip().decode("latin-1").lower()] = value.strip().decode("utf-8", "replace")
+            raise Damaged("header line without a colon", at)
+        key = name.strip().decode("latin-1").lower()
+        headers[key] = value.strip().decode("utf-8", "replace")
+        if key == "warc-block-digest":
+            digest_at = at
+        at = end + 2
     length = headers.get("content-length", "")
-    if not (length.isascii() and length.isdigit()):
-        raise Damaged("no content length")
-    begin, stop = end + 4, end + 4 + int(length)
-    if bytes(data[stop : stop + 4]) != 2 * BREAK:
-        raise Damaged("length does not end at a record's end")
-    block = bytes(data[begin:stop])
+    if not _NUMBER.fullmatch(length):
+        raise Damaged("no content length", at)
+    begin, stop = at + 2, at + 2 + int(length)
+    if data[stop : stop + 4] != 2 * BREAK:
+        raise Damaged("length does not end at a record's end", at)
+    block = data[begin:stop]
     stated = headers.get("warc-block-digest", "")
     if stated.lower().startswith("sha1:") and stated[5:] != digest(block):
-        raise Damaged("block digest differs")
+        raise Damaged("block digest differs", digest_at)
     return Record(headers, block), stop + 4
 
 
 def _member(data: bytes, offset: int) -> tuple[Record, int]:
-    """The record in the gzip member at ``offset``, and the offset behind the member."""
-    inflate = zlib.decompressobj(31)
+    """The record in the gzip member at ``offset``, and the offset behind the member. The file is fed in small pieces."""
+    inflate, parts, at = zlib.decompressobj(31), [], offset
     try:
-        content = inflate.decompress(memoryview(data)[offset:])
+        while at < len(data) and not inflate.eof:
+            piece = data[at : at + PIECE]
+            parts.append(inflate.decompress(piece))
+            at += len(piece)
     except zlib.error as error:
         raise Damaged(f"gzip: {error}") from None
     if not inflate.eof:
         raise Damaged("gzip: truncated member")
-    found, end = parse_record(content, 0)
+    content = b"".join(parts)
+    try:
+        found, end = parse_record(content, 0)
+    except Damaged as damage:
+        raise Damaged(str(damage)) from None  # its places are those of the content
     if end != len(content):
         raise Damaged("gzip: more than one record in a member")
-    return found, len(data) - len(inflate.unused_data)
+    return found, at - len(inflate.unused_data)
 
 
 def salvage(data: bytes) -> Iterator[tuple[int, int, Record | None, str | None]]:
     """All valid records and all gaps of an archive: (offset, length, record or None, reason or None).
 
-    Together they cover every byte exactly once, in order. Gzip members and plain records may mix.
+    Together they cover every byte exactly once, in order. Gzip members and plain records may mix. One search finds the next
+    member or version line, and version lines that are known to fail are passed over, so the cost is linear in the file,
+    except for blocks and members that lie inside each other and all fail at their end.
     """
     offset, size = 0, len(data)
     while offset < size:
-        start, reason, found = offset, None, None
+        start, reason, found, until = offset, None, None, 0
         while offset < size:
             try:
                 found, end = (_member if data[offset : offset + 3] == MEMBER else parse_record)(data, offset)
                 break
             except Damaged as damage:
-                reason = reason or str(damage)
-            places = [p for p in (data.find(MEMBER, offset + 1), data.find(b"WARC/1.", offset + 1)) if p >= 0]
-            offset = min(places, default=size)
+                reason, until = reason or str(damage), max(until, damage.until)
+            places = (m.start() for m in STARTS.finditer(data, offset + 1) if m.start() >= until or m[0] == MEMBER)
+            offset = next(places, size)
         if offset > start:
             yield start, offset - start, None, reason
         if found is not None:
@@ -188,7 +213,8 @@ def salvage(data: bytes) -> Iterator[tuple[int, int, Record | None, str | None]]
 
 def _page(urn: str | None) -> int | None:
     name = (urn or "").strip("<>").removeprefix(PAGE_URN)
-    return int(name) if name.lstrip("-").isascii() and name.lstrip("-").isdigit() else None
+    value = int(name) if _ID.fullmatch(name) else None
+    return value if value is not None and -(1 << 63) <= value < 1 << 63 else None
 
 
 def _fields(found: Record) -> tuple:
@@ -198,7 +224,7 @@ def _fields(found: Record) -> tuple:
     size, name = len(payload), digest(payload)
     if kind == "revisit":  # the payload is with the response; its size and digest are stated here
         stated = [line[15:].strip() for line in head.split(BREAK) if line[:15].lower() == b"content-length:"]
-        size = int(stated[0]) if stated and stated[0].isdigit() else None
+        size = int(stated[0]) if stated and _NUMBER.fullmatch(stated[0].decode("latin-1")) else None
         name = h.get("warc-payload-digest", "").removeprefix("sha1:") or None
     return _page(h.get("warc-record-id")), h.get("warc-target-uri"), size, name, kind, _page(h.get("warc-refers-to"))
 
@@ -206,8 +232,8 @@ def _fields(found: Record) -> tuple:
 def read_archives(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     """Salvage all archives under ``path``: one row per valid record (kind ``record``) and per gap (``gap``).
 
-    A gap row has the file, the offset and length of its bytes and the first failed check. Files are
-    one task row each; the writer bounds their size.
+    A gap row has the file, the offset and length of its bytes and the first failed check. A file is one
+    row of a task, so it must be smaller than 2 GiB; the writer makes files of about 32 MB.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,7 +258,7 @@ def archive_and_read(pages: DataFrame, *, least: int = 0) -> DataFrame:
     Columns ``page_id, payload_bytes, payload_digest, record_type, refers_to`` (and ``url``). A null html is an empty payload; a
     null url has no target line; null page_ids are never the response unless all of their group are
     null. Rows that repeat the smallest page_id of a group are all responses. An empty table gives no
-    rows; other columns are ignored.
+    rows; other columns are ignored. A long html is written and read whole, as one record that fills a file alone.
     """
     path = shared_dir(pages.sparkSession, "warc")
     write_archives(pages, path, least=least)

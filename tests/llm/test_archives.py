@@ -92,6 +92,33 @@ def test_gaps_are_logged(spark, tmp_path):
                     (sum(map(len, parts[:3])) - 9, 4, "no version line")]
 
 
+def test_salvage_is_linear():
+    import time
+
+    block = random.Random(4).randbytes(200_000)
+    zipped = b"".join(gzip.compress(warc.record(i, "http://a/", block, warc.digest(block), None, "2024-01-01T00:00:00Z"), 1) for i in range(125))
+    damaged = {
+        b"WARC/1.1\r\n" * 700_000: 0, b"a: WARC/1.0\r\n" * 540_000 + b"\r\n\r\n": 0, b"WARC/1.1\r\na: b\r\n" * 440_000: 0,
+        b"WARC/1. x WARC/1.1\r\na: b\r\nz\r\n" * 230_000: 0, b"WARC/1.1\r\nContent-Length: 5\r\nx: WARC/1.0\r\n" * 170_000 + b"\r\nabc": 0, zipped: 125,
+    }
+    for data, n in damaged.items():
+        begin = time.process_time()
+        rows = list(warc.salvage(data + zipped[: len(zipped) // 125]))
+        assert len(data) > 6_000_000 and sum(1 for *_, r, _ in rows if r) == n + 1
+        assert time.process_time() - begin < 8  # a quadratic search takes minutes
+
+
+def test_version_lines_after_a_failure_are_still_found():
+    """A record whose start lies among the failed headers of another one is found if it is whole."""
+    body = b"x" * 5
+    plain = b"WARC/1.1\r\nContent-Length: 5\r\n\r\n" + body + b"\r\n\r\n"
+    wrong = b"WARC/1.1\r\nWARC-Block-Digest: sha1:AAAA\r\nfollowed: by\r\n"
+    for lead in (b"WARC/1.1\r\nno colon\r\n", wrong + b"x: ", b"WARC/1.1\r\na: ", b"WARC/1.1\r\nContent-Length: " + b"9" * 5000 + b"\r\n\r\n", b"WARC/1.\r\n"):
+        rows = list(warc.salvage(lead + plain + b"tail"))
+        assert sum(length for _, length, _, _ in rows) == len(lead + plain) + 4
+        assert [r.block for *_, r, _ in rows if r] == [body], lead
+
+
 TEXTS = [
     (1, "Licensed under the Apache License, Version 2.0."), (2, "MIT License. mit, LICENSE mit licensed"), (3, None), (4, ""),
     (5, "GNU General Public License v3 and SPDX-License-Identifier: MIT"), (None, "The mit\n\nlicense"), (7, "é" * 5 + " 12 words"),
