@@ -49,7 +49,7 @@ CUT_WORDS = frozenset(
 )
 CUT_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert form menu menubar".split())
 PLAIN = frozenset("html body article main p h1 h2 h3 h4 h5 h6 blockquote pre b i em strong a span br code figure figcaption li td th tr tbody thead".split())
-FOUND = "host string, page long, path string, kind int, value long"
+FOUND = "host string, page long, path long, kind int, value long"
 GAMMA, THRESHOLD, LEAST_PAGES = 0.9, 0.3, 3
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
@@ -72,17 +72,23 @@ class _Tree(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = Node("html")
         self.open = [self.root]
+        self.counts: dict[str, int] = {}  # open elements by tag, so a tag that closes nothing costs nothing
+
+    def _close(self, depth: int) -> None:
+        for node in self.open[depth:]:
+            self.counts[node.tag] -= 1
+        del self.open[depth:]
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag == "html":
             return
         closed, barriers = CLOSES.get(tag, ((), ()))
-        for depth in range(len(self.open) - 1, 0, -1):
+        for depth in range(len(self.open) - 1, 0, -1) if any(map(self.counts.get, closed)) else ():
             at = self.open[depth].tag
             if at in barriers:
                 break
             if at in closed:
-                del self.open[depth:]
+                self._close(depth)
                 if at in ("p", "li", "option"):
                     break
         known = dict(reversed(attrs))  # the first of repeated attributes counts
@@ -93,14 +99,15 @@ class _Tree(HTMLParser):
         self.open[-1].parts.append(node)
         if tag not in VOID:
             self.open.append(node)
+            self.counts[tag] = self.counts.get(tag, 0) + 1
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)  # a slash means nothing in HTML
 
     def handle_endtag(self, tag: str) -> None:
-        for depth in range(len(self.open) - 1, 0, -1):
+        for depth in range(len(self.open) - 1, 0, -1) if self.counts.get(tag) else ():
             if self.open[depth].tag == tag:
-                del self.open[depth:]
+                self._close(depth)
                 return
 
     def handle_data(self, data: str) -> None:
@@ -196,36 +203,43 @@ def _starts(root: Node) -> tuple[list[Node], set[int]]:
     return [n for _, n, _ in starts] or [root], holders | {id(n) for _, n, _ in starts}
 
 
-def walk(node: Node, path: str, inside: bool, leave) -> Iterator[tuple[str, str | None]]:
-    """Text pieces as (path of the branch, text); None ends a block. ``leave(node, path, inside)`` skips a branch.
+Path = tuple[int, "Path | None"]  # hash of the styles from the start down to an element, and the path above it
+
+
+def _below(path: Path | None, style: str) -> Path:
+    return xxhash.xxh3_64_intdigest(style.encode("utf-8", "surrogatepass"), path[0] + (1 << 63) if path else 0) - (1 << 63), path
+
+
+def walk(node: Node, inside: bool, leave) -> Iterator[tuple[Path | None, str | None]]:
+    """Text pieces as (path of the branch, text); None ends a block. ``leave(node, hash of its path, inside)`` skips a branch.
 
-    Iterative, so deep nesting cannot exhaust the stack.
+    Iterative, and a path is one hash more than the path above it, so deep nesting costs neither stack nor memory.
     """
-    todo: list = [(node, path, inside)]
+    todo: list = [(node, None, inside)]
     while todo:
         item = todo.pop()
         if item is None:
-            yield "", None
+            yield None, None
             continue
         part, path, inside = item
         if isinstance(part, str):
             yield path, part
             continue
-        path = f"{path}>{part.style}"
-        if leave(part, path, inside):
+        path = _below(path, part.style)
+        if leave(part, path[0], inside):
             if part.tag in BLOCK:
-                yield "", None
+                yield None, None
             continue
         if part.tag == "br":
             yield path, " "
         inside = inside or part.tag in ("article", "main")
         if part.tag in BLOCK:
-            yield "", None
+            yield None, None
             todo.append(None)
         todo += [(p, path, inside) for p in reversed(part.parts)]
 
 
-def _joined(pieces: Iterator[tuple[str, str | None]]) -> Iterator[tuple[str, str]]:
+def _joined(pieces: Iterator[tuple[Path | None, str | None]]) -> Iterator[tuple[Path, str]]:
     """Blocks as (path of the first text, text) with single spaces; empty ones are left out."""
     held: list[str] = []
     first = None
@@ -242,7 +256,7 @@ def _joined(pieces: Iterator[tuple[str, str | None]]) -> Iterator[tuple[str, str
         yield first, block
 
 
-def extract(html: str, low: frozenset[str] | None = None) -> str:
+def extract(html: str, low: frozenset[int] | None = None) -> str:
     """The main text; ``low`` are the paths of low importance on the page's host, None if the host has no tree.
 
     With a tree, a class or id that has other words beside those of boilerplate cuts nothing. Without, it cuts
@@ -254,14 +268,14 @@ def extract(html: str, low: frozenset[str] | None = None) -> str:
     weights = _weights(root) if low is None else {}
     half = sum(weights.get(id(s), 0) for s in starts) / 2
 
-    def text(cut: frozenset[str], named: bool) -> str:
-        def leave(node: Node, path: str, deep: bool) -> bool:
+    def text(cut: frozenset[int], named: bool) -> str:
+        def leave(node: Node, path: int, deep: bool) -> bool:
             if _hard(node, deep) or (path in cut and _removable(node, deep)):
                 return True
             level = _level(node, deep)
             return bool(level) and id(node) not in holders and (level == 2 or (named and weights.get(id(node), 0) < half))
 
-        return "\n\n".join(b for start in starts for _, b in _joined(walk(start, "", inside, leave)))
+        return "\n\n".join(b for start in starts for _, b in _joined(walk(start, inside, leave)))
 
     return text(low or frozenset(), low is None) or text(frozenset(), False)
 
@@ -270,19 +284,20 @@ def _hash(value: str) -> int:
     return xxhash.xxh3_64_intdigest(value.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
-def style_rows(html: str) -> tuple[int, set[tuple[str, int, int]]]:
+def style_rows(html: str) -> tuple[int, set[tuple[int, int, int]]]:
     """A page's signature (its article) and its nodes: (path, 0, layout) and (path, 1, block) of removable branches."""
     root = parse(html)
     starts, holders = _starts(root)
     kept = lambda n, _path, deep: _hard(n, deep) or (_level(n, deep) == 2 and id(n) not in holders)
-    page = _hash("\n".join(b for s in starts for _, b in _joined(walk(s, "", starts[0] is not root, kept))))
-    rows: set[tuple[str, int, int]] = set()
+    page = _hash("\n".join(b for s in starts for _, b in _joined(walk(s, starts[0] is not root, kept))))
+    rows: set[tuple[int, int, int]] = set()
+    outside = {id(s) for s in starts if s is not root}
     # paths are relative to the start of extraction; branches outside an article are seen from the root
     for top in starts if starts[0] is root else [*starts, root]:
-        branches: set[str] = set()
+        branches: set[int] = set()
 
-        def note(node: Node, path: str, deep: bool, seen=branches, top=top) -> bool:
-            if node.tag in ("head", "script", "style") or (top is root and any(node is s for s in starts if s is not root)):
+        def note(node: Node, path: int, deep: bool, seen=branches, top=top) -> bool:
+            if node.tag in ("head", "script", "style") or (top is root and id(node) in outside):
                 return True
             if _removable(node, deep):
                 seen.add(path)
@@ -290,17 +305,19 @@ def style_rows(html: str) -> tuple[int, set[tuple[str, int, int]]]:
                 rows.add((path, 0, _hash(layout)))
             return False
 
-        for path, block in _joined(walk(top, "", top is not root, note)):
+        for path, block in _joined(walk(top, top is not root, note)):
             value, above = _hash(block), path
             while above:
-                if above in branches:
-                    rows.add((above, 1, value))
-                above = above.rpartition(">")[0]
+                if above[0] in branches:
+                    if (above[0], 1, value) in rows:
+                        break  # and so in every branch above
+                    rows.add((above[0], 1, value))
+                above = above[1]
     return page, rows
 
 
 def low_branches(pages: DataFrame, *, gamma: float = GAMMA, threshold: float = THRESHOLD, least_pages: int = LEAST_PAGES) -> DataFrame:
-    """Branches of low importance: ``host, low`` (sorted paths, maybe none) of every host with enough pages.
+    """Branches of low importance: ``host, low`` (sorted path hashes, maybe none) of every host with enough pages.
 
     With m distinct pages on a host, a block on c of them has content entropy log_m(c); a branch's
     content importance is one minus the mean over its blocks, its presentation importance the entropy
@@ -313,9 +330,9 @@ def low_branches(pages: DataFrame, *, gamma: float = GAMMA, threshold: float = T
             rows: set[tuple] = set()
             for host, html in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 page, found = style_rows(html.as_py())
-                rows.add((host, page, "", 2, page))
+                rows.add((host, page, None, 2, page))
                 rows.update((host, page, *row) for row in found)
-            kinds = (pa.string(), pa.int64(), pa.string(), pa.int32(), pa.int64())
+            kinds = (pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
             columns = list(zip(*rows, strict=True)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["host", "page", "path", "kind", "value"])
 
@@ -329,12 +346,12 @@ def low_branches(pages: DataFrame, *, gamma: float = GAMMA, threshold: float = T
             n_of(0, c).alias("layouts"), n_of(0, c * F.log(c)).alias("like"),
         ), "nodes",
     )
-    hosts = nodes.filter("path = ''").select("host", "m").filter(F.col("m") >= least_pages)
+    hosts = nodes.filter("path IS NULL").select("host", "m").filter(F.col("m") >= least_pages)
     base = F.log("m")
     content = F.when(F.col("blocks") > 0, 1 - F.col("shared") / F.col("blocks") / base).otherwise(1.0)
     layout = F.when(F.col("layouts") > 0, (F.log("layouts") - F.col("like") / F.col("layouts")) / base).otherwise(1.0)
     scored = nodes.drop("m").join(hosts, "host").withColumn("importance", (1 - gamma) * layout + gamma * content)
-    low = F.when((F.col("path") != "") & (F.col("importance") < threshold), F.col("path"))
+    low = F.when(F.col("importance") < threshold, F.col("path"))  # null for the page itself
     return scored.groupBy("host").agg(F.sort_array(F.collect_list(low)).alias("low"))
 
 
@@ -343,7 +360,8 @@ def main_text(pages: DataFrame, **options) -> DataFrame:
 
     A null html is empty, and so is its text. A null url (or one without host) belongs to the empty
     host, where nothing is merged. Repeated rows and null page_ids are kept; an empty table gives no
-    rows; other columns are ignored. Only hashes and counts of nodes are shuffled, and pages only if
+    rows; other columns are ignored. A long or deeply nested html is read whole, in time linear in its elements and, for the
+    tree, in the removable branches above each block. Branches with equal importance are treated alike. Only hashes and counts of nodes are shuffled, and pages only if
     the table of low branches is too large for Spark to broadcast.
     """
     own = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), host_of(F.col("url")).alias("host"))

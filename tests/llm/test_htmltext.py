@@ -44,6 +44,70 @@ def test_wrappers_with_boilerplate_words_in_their_names():
     assert htmltext.extract("<main><p>Whole text.</p><div class='sidebar'>Side</div><div class='widget-3'>More and more and more</div></main>") == "Whole text."
 
 
+def test_deep_pages_cost_linear_time_and_memory():
+    import time
+    import tracemalloc
+
+    for page in ("<div>" * 20_000 + "deep", "<p>x<button>" * 20_000, "<div class=a>" * 20_000 + "deep", "<div></b>" * 20_000 + "x", "<article>x</article>" * 20_000, "<dl><dd>" * 20_000 + "x"):
+        begin = time.process_time()
+        _, rows = htmltext.style_rows(page)
+        assert htmltext.extract(page, frozenset()) or "button" in page
+        assert len(rows) <= 80_001 and time.process_time() - begin < 8, page[:30]
+    tracemalloc.start()
+    htmltext.style_rows("<div>" * 20_000 + "deep")
+    assert tracemalloc.get_traced_memory()[1] < 200 << 20
+    tracemalloc.stop()
+
+
+def test_style_tree_equals_brute_force_entropies(spark):
+    """The importance of every branch from its definition, over pages held as nested lists of (style, children or text)."""
+    import math
+    from collections import Counter
+
+    rng = random.Random(9)
+
+    def branch(depth):
+        if depth == 0 or rng.random() < 0.3:
+            return ("div." + rng.choice("abc"), rng.choice(["same words", "other words", f"own {rng.random()}"]))
+        return ("div." + rng.choice("abc"), [branch(depth - 1) for _ in range(rng.randint(1, 3))])
+
+    def markup(node):
+        name, inner = node
+        return f"<div class={name[4:]}>{inner if isinstance(inner, str) else ''.join(map(markup, inner))}</div>"
+
+    trees = [[branch(3) for _ in range(3)] for _ in range(12)]
+    layouts, blocks, chains = {}, {}, {}
+
+    def visit(node, above, page):
+        """Notes layouts; returns the texts below."""
+        name, inner = node
+        path = (*above, name)
+        chains[path] = None
+        kids = [] if isinstance(inner, str) else inner
+        layouts.setdefault(path, set()).add((page, " ".join(k[0] for k in kids)))
+        texts = [inner] if isinstance(inner, str) else [t for k in kids for t in visit(k, path, page)]
+        blocks.setdefault(path, set()).update((page, t) for t in texts)
+        return texts
+
+    for page, tree in enumerate(trees):
+        for node in tree:
+            visit(node, ("html",), page)
+    want = set()
+    for path in chains:
+        low = Counter(v for _, v in layouts[path]).values()
+        total = sum(low)
+        presentation = -sum(c / total * math.log(c / total, len(trees)) for c in low)
+        texts = Counter(v for _, v in blocks[path]).values()
+        content = 1 - sum(c * math.log(c, len(trees)) for c in texts) / sum(texts)
+        if 0.1 * presentation + 0.9 * content < 0.3:
+            above = None
+            for style in path:
+                above = htmltext._below(above, style)
+            want.add(above[0])
+    pages = spark.createDataFrame([("h", "".join(map(markup, tree))) for tree in trees], "host string, html string").repartition(3)
+    assert want and {h: set(x) for h, x in htmltext.low_branches(pages).collect()} == {"h": want}
+
+
 def test_never_fails():
     rng = random.Random(1)
     parts = ["<", ">", "<p", "</", "<!--", "-->", "<![if x]>", "<![CDATA[", "]]>", "<?", "&", "&#x;", "&#99999999;", "<article>", "</p>", "x", "<script>", '"', "'", "=", "<a b=c", "\0", "<!", "<table><tr>"]
