@@ -124,11 +124,12 @@ def write_index(spark: SparkSession, path: str) -> DataFrame:
     """Scan the records once and write the offset index beside them; returns the index.
 
     ``start`` (ids of all records before) is a sum inside each file plus the totals of the files
-    before it; file names sort as their key ranges do.
+    before it, in the order of the numbers in their names, whatever their width.
     """
     scanned = stage(read_frames(spark, path), "frames")
     totals = scanned.groupBy("file").agg(F.sum("n_tokens").alias("n"))
-    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    part = lambda mark: F.regexp_extract("file", f"{mark}([0-9]+)", 1).try_cast("long")
+    before = Window.orderBy(part("^part-"), part("-c"), "file").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select("file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("skipped"))
     inside = Window.partitionBy("file").orderBy("offset").rowsBetween(Window.unboundedPreceding, -1)
     start = F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)) + F.col("skipped")
