@@ -1,7 +1,7 @@
 """Packing token sequences by column generation for the cutting-stock problem.
 
 Documents longer than a sequence are cut into full sequences and one rest. The rests form a
-histogram over length classes. A linear program over patterns (how many pieces of each class one
+histogram over length classes, exact where rounding would waste most. A linear program over patterns (how many pieces of each class one
 sequence takes) is solved by the simplex method; new patterns are priced by an unbounded knapsack
 dynamic program on the dual values. The rounded pattern counts are then assigned to the ranked
 pieces by arithmetic on their rank. Only the histogram, whose size is bounded by the number of
@@ -10,6 +10,7 @@ classes, reaches the driver.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -96,6 +97,7 @@ def patterns(histogram: dict[int, int], capacity: int) -> list[Pattern]:
     rest = {c: int(n) for c, n in sorted(histogram.items()) if n > 0}
     if not rest:
         return []
+    unit = math.gcd(capacity, *rest)  # whole grains make the knapsack that much smaller
     sizes, demand = np.array(list(rest)), np.array(list(rest.values()), dtype=float)
     out = []
 
@@ -106,7 +108,7 @@ def patterns(histogram: dict[int, int], capacity: int) -> list[Pattern]:
             for c, k in counts.items():
                 rest[c] -= k * times
 
-    for x, column in sorted(solve_lp(sizes, demand, capacity), key=lambda p: -p[0]):
+    for x, column in sorted(solve_lp(sizes // unit, demand, capacity // unit), key=lambda p: -p[0]):
         take({int(sizes[k]): int(column[k]) for k in np.flatnonzero(column)}, int(x + 1e-6))
     while any(rest.values()):
         counts, room = {}, capacity
@@ -117,6 +119,20 @@ def patterns(histogram: dict[int, int], capacity: int) -> list[Pattern]:
     return out
 
 
+def length_classes(counts: dict[int, int], grain: int, share: float) -> dict[int, int]:
+    """The class of every length: the next multiple of ``grain``, or the length itself where rounding up would waste most.
+
+    Lengths are kept exact in the order of what their rounding wastes, until the rest adds at most ``share`` of all ids.
+    """
+    allowed = share * sum(length * n for length, n in counts.items())
+    waste = {length: -length % grain * n for length, n in counts.items()}
+    left, classes = sum(waste.values()), {}
+    for length in sorted(counts, key=lambda x: (-waste[x], x)):
+        classes[length] = length if left > allowed else length + -length % grain
+        left -= waste[length] if left > allowed else 0
+    return classes
+
+
 def cut_pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int) -> DataFrame:
     """Tokenise every text once, close it with ``end_id`` and cut it every ``capacity`` ids."""
 
@@ -138,25 +154,28 @@ def cut_pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int) ->
 
 
 def pack(
-    docs: DataFrame, vocabulary: str = "word_bpe_49k.json", *, end_id: int = 1, capacity: int = 2048, grain: int = 16
+    docs: DataFrame, vocabulary: str = "word_bpe_49k.json", *, end_id: int = 1, capacity: int = 2048, grain: int = 16, waste: float = 0.01
 ) -> DataFrame:
     """Pack all documents into sequences of at most ``capacity`` ids.
 
     One row per piece: ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset``. Every id
     lies in exactly one piece and a sequence holds its pieces gapless from offset 0. Rests are packed
-    by their length rounded up to ``grain``, which bounds the linear program to capacity / grain rows.
+    by their length rounded up to ``grain``, but exact lengths where rounding wastes most, until it adds at most ``waste`` of
+    all ids; so the linear program has some capacity / grain rows, and never more than there are lengths.
     A null text is empty, so its document is the single end id. Rows that repeat a ``doc_id`` (or have a null one)
     are packed each on its own; ties rank by doc_id, start, checksum and length, and rows equal in all of these are
     interchangeable. An empty table gives an empty table; other columns are ignored.
     """
     spark = docs.sparkSession
-    units = -(-capacity // grain)
-    size = F.ceil(F.col("length") / grain).cast("int")
-    pieces = stage(cut_pieces(docs, vocabulary, end_id, capacity), "pieces").withColumn("size", size)
-    histogram = {r["size"]: r["n"] for r in pieces.groupBy("size").agg(F.count("*").alias("n")).collect()}
-    full = histogram.pop(units, 0)
-    plan = ([Pattern({units: 1}, full)] if full else []) + patterns(histogram, units)
-    rows, sequence, ranks = [], 0, dict.fromkeys([*histogram, units], 0)
+    cut = stage(cut_pieces(docs, vocabulary, end_id, capacity), "pieces")
+    lengths = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most ``capacity`` rows
+    size_of = {length: min(size, capacity) for length, size in length_classes(lengths, grain, waste).items()}
+    histogram: dict[int, int] = {}
+    for length, size in sorted(size_of.items()):
+        histogram[size] = histogram.get(size, 0) + lengths[length]
+    full = histogram.pop(capacity, 0)
+    plan = ([Pattern({capacity: 1}, full)] if full else []) + patterns(histogram, capacity)
+    rows, sequence, ranks = [], 0, dict.fromkeys([*histogram, capacity], 0)
     for pattern in plan:
         slot = 0
         for c, k in sorted(pattern.counts.items(), reverse=True):
@@ -164,15 +183,15 @@ def pack(
             ranks[c] += k * pattern.times
             slot += k
         sequence += pattern.times
-    # both tables have at most one row per class, or per class and pattern: bounded by capacity / grain
+    # one row per class and pattern, and one per length: bounded by the capacity
     shares = spark.createDataFrame(rows, "size int, first long, beyond long, each long, base long, slot long")
-    histogram[units] = full
+    histogram[capacity] = full
     spread = spark.createDataFrame(
-        [(c, max(LEAST_BUCKETS, -(-n // BUCKET_ROWS))) for c, n in histogram.items()], "size int, buckets long"
+        [(length, c, max(LEAST_BUCKETS, -(-histogram[c] // BUCKET_ROWS))) for length, c in size_of.items()], "length long, size int, buckets long"
     )
     # a class may hold most pieces: rank inside hashed buckets, then add the sizes of the buckets before
     mark = F.xxhash64("doc_id", "start", "ids_crc32")
-    bucketed = pieces.join(F.broadcast(spread), "size").withColumn("bucket", F.pmod(mark, F.col("buckets"))).drop("buckets")
+    bucketed = cut.join(F.broadcast(spread), "length").withColumn("bucket", F.pmod(mark, F.col("buckets"))).drop("buckets")
     before = Window.partitionBy("size").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     buckets = (
         bucketed.groupBy("size", "bucket").agg(F.count("*").alias("n"))

@@ -92,6 +92,34 @@ def test_pack_one_length_and_empty(spark, docs):
     assert packing.pack(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("words, bound", [((13,), 0.02), ((0,), 0.02), ((1, 2, 5, 13, 40), 0.02), ((1100, 3), 0.03)])
+def test_padding_at_production_parameters(spark, words, bound):
+    rows = [(i, "one " * words[i % len(words)]) for i in range(9000 if max(words) < 100 else 600)]
+    if max(words) == 0:
+        rows = [(i, None) for i in range(20480)]
+    elif len(words) == 2:  # a long one and many short ones fill each sequence
+        rows += [(1000 + i, "one two three four") for i in range(60_000)]
+    placed = packing.pack(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    ids, sequences = sum(r.length for r in placed), {r.sequence_id for r in placed}
+    assert ids == sum(r.doc_tokens for r in placed if r.start == 0) and len(sequences) * 2048 * (1 - bound) <= ids + 2048
+
+
+def test_exact_classes_bound_the_rounding():
+    rng = np.random.default_rng(5)
+    for high in (2, 30, 257, 2048):
+        lengths, n = np.unique(rng.integers(1, high, 5000), return_counts=True)
+        classes = packing.length_classes(dict(zip(lengths.tolist(), n.tolist(), strict=True)), 16, 0.01)
+        added = sum((classes[x] - x) * k for x, k in zip(lengths.tolist(), n.tolist(), strict=True))
+        assert all(c in (x, -(-x // 16) * 16) for x, c in classes.items()) and 0 <= added <= 0.01 * (lengths * n).sum()
+
+
+def test_file_order_follows_numbers(spark, monkeypatch):
+    names = ["part-99998-a-c000.txt", "part-99999-a-c000.txt", "part-99999-a-c999.txt", "part-99999-a-c1000.txt", "part-100000-a-c000.txt"]
+    rows = spark.createDataFrame([(f, 0, 10, k, 1 << k, 0, True) for k, f in enumerate(names)], records.INDEX)
+    monkeypatch.setattr(records, "read_frames", lambda *_: rows)
+    assert [(r.doc_id, r.start) for r in records.write_index(spark, "").orderBy("doc_id").collect()] == [(k, (1 << k) - 1) for k in range(5)]
+
+
 def test_records_round_trip(docs):
     rows = records.write_and_read(docs).collect()
     assert all(r.valid for r in rows)
