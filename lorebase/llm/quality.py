@@ -113,7 +113,8 @@ START = [f"(x{k} - d{k}) / greatest(1.4826 * a{k}, {FLOOR[k]}) AS y{k}" for k in
 
 
 def _group() -> Column:
-    return F.concat_ws("", *(F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("-")) for c in ("lang", "source")))
+    # lengths keep apart names that hold the marks themselves
+    return F.concat(*(F.coalesce(F.concat(F.char_length(c).cast("string"), F.lit("="), F.col(c)), F.lit("-")) for c in ("lang", "source")))
 
 
 def _distances(vectors: DataFrame, estimate: DataFrame, how: str = "inner") -> DataFrame:
