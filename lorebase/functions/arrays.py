@@ -37,27 +37,33 @@ def split_at(items: Column, starts_here: Callable[[Column, Column], Column]) ->
     return let(items, cut)
 
 
-def heading_paths(headings: Column) -> Column:
-    """Paths for ``array<struct<level,text>>``: ``path[:level-1] + [text]``, levels may collapse."""
-    return F.aggregate(
-        headings,
-        F.expr("cast(array() as array<array<string>>)"),
-        lambda acc, h: F.concat(
-            acc,
-            F.array(
-                F.concat(
-                    F.slice(
-                        F.coalesce(
-                            F.get(acc, F.size(acc) - 1), F.expr("cast(array() as array<string>)")
-                        ),
-                        F.lit(1),
-                        h["level"] - 1,
-                    ),
-                    F.array(h["text"]),
-                )
-            ),
-        ),
-    )
+def heading_paths(headings: Column, deepest: int = 6) -> Column:
+    """Paths for ``array<struct<level,text>>``: ``path[:level-1] + [text]``, levels (1 to ``deepest``) may collapse.
+
+    A path is at most one longer than the one before, so its length is the least of ``level + distance`` over the last
+    ``deepest`` headings. Its entry ``k`` is the last heading whose path is ``k`` long: one pass per level cuts the array there
+    and hands the text to the run behind it. Linear in the headings.
+    """
+
+    def sized(hs: Column) -> Column:
+        back = lambda i, d: F.get(hs, i - d)["level"] + d  # noqa: E731  null before the first heading
+        return F.transform(hs, lambda h, i: F.struct(
+            F.least(i + 1, *(back(i, d) for d in range(deepest))).alias("depth"), h["text"].alias("text"),
+            F.expr("cast(array() as array<string>)").alias("path"),
+        ))
+
+    def entry(items: Column, k: int) -> Column:
+        def hand_on(run: Column) -> Column:
+            return let(F.get(run, F.lit(0)), lambda head: F.when(head["depth"] == k, F.transform(run, lambda x: F.struct(
+                x["depth"].alias("depth"), x["text"].alias("text"), F.array_append(x["path"], head["text"]).alias("path"),
+            ))).otherwise(run))
+
+        return F.flatten(F.transform(split_at(items, lambda cur, _: cur["depth"] <= k), hand_on))
+
+    def passes(items: Column, k: int) -> Column:
+        return items["path"] if k > deepest else let(entry(items, k), lambda done: passes(done, k + 1))
+
+    return let(let(headings, sized), lambda items: passes(items, 1))
 
 
 def with_heading_paths(blocks: Column) -> Column:

@@ -11,29 +11,21 @@ from lorebase.functions.text import let, words
 def hash_embedding(text: Column, dims: int = 64) -> Column:
     """Counts of word hashes modulo ``dims``, L2-normalised (zero vector stays zero).
 
-    The bucket of a word is the first four digest bytes, big-endian. Counting per dimension uses
-    ``array_remove`` so that only ``dims`` lambda calls are made per row.
+    The bucket of a word is the first four digest bytes, big-endian. Buckets are sorted together with one entry for each of them,
+    so the lengths of the runs, less one, are the counts of all buckets in order, whatever their number.
     """
 
     def counts(slots: Column) -> Column:
-        total = F.size(slots)
-        return F.transform(
-            F.sequence(F.lit(0), F.lit(dims - 1)),
-            lambda d: (total - F.size(F.array_remove(slots, d))).cast("double"),
-        )
-
-    def unit(vector: Column) -> Column:
-        square = F.aggregate(vector, F.lit(0.0), lambda acc, x: acc + x * x)
-        return let(
-            F.sqrt(square),
-            lambda norm: F.transform(vector, lambda x: x / F.when(norm == 0, 1.0).otherwise(norm)),
-        )
+        n = F.size(slots)
+        heads = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (F.get(slots, i) != F.get(slots, i - 1)))
+        return let(heads, lambda h: F.transform(h, lambda p, k: (F.coalesce(F.get(h, k + 1), n) - p - 1).cast("double")))
 
     slots = F.transform(
         words(text),
         lambda w: (F.conv(F.left(F.sha2(w, 256), F.lit(8)), 16, 10).cast("long") % dims).cast("int"),
     )
-    return let(slots, lambda s: let(counts(s), unit))
+    every = F.when(text.isNotNull(), F.sequence(F.lit(0), F.lit(dims - 1)))
+    return let(F.sort_array(F.concat(slots, every)), lambda s: let(counts(s), unit))
 
 
 def dot(left: Column, right: Column) -> Column:

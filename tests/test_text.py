@@ -79,3 +79,46 @@ def test_redact_json_strings_keys_and_lines(spark):
     }
     for text, want in cases.items():
         assert one(spark, tx.redact_json(F.col("t")), t=text) == want
+
+
+def test_heading_paths_equal_a_loop_and_are_linear(spark):
+    import random
+    import time
+
+    from lorebase.functions.arrays import heading_paths
+
+    rng = random.Random(1)
+    kind = "i int, h array<struct<level:int,text:string>>"
+    rows = [(i, [(rng.randint(1, 6), f"h{j}") for j in range(i % 40)]) for i in range(200)]
+
+    def paths(headings):
+        out, path = [], []
+        for level, text in headings:
+            path = [*path[: level - 1], text]
+            out.append(path)
+        return out
+
+    got = spark.createDataFrame([*rows, (-1, None)], kind).select("i", heading_paths(F.col("h")).alias("p")).collect()
+    assert {r.i: r.p for r in got} == {-1: None, **{i: paths(h) for i, h in rows}}
+    many = spark.createDataFrame([(1, [(rng.randint(1, 6), f"h{j}") for j in range(20_000)])], kind)
+    begin = time.time()
+    assert many.select(F.size(heading_paths(F.col("h")))).first()[0] == 20_000 and time.time() - begin < 30
+
+
+def test_hash_embedding_equals_a_loop(spark):
+    import hashlib
+    import math
+
+    from lorebase.functions.vectors import hash_embedding
+
+    texts = ["", "one two two three", "x " * 5000, None, "Ünï straße 12"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", hash_embedding(F.col("t"), 10).alias("v")).collect()
+    for r in rows:
+        if texts[r.i] is None:
+            assert r.v is None
+            continue
+        counts = [0] * 10
+        for w in re.findall(r"\w+", texts[r.i].casefold()):
+            counts[int.from_bytes(hashlib.sha256(w.encode()).digest()[:4]) % 10] += 1
+        norm = math.sqrt(sum(c * c for c in counts)) or 1.0
+        assert r.v == [c / norm for c in counts]
