@@ -18,11 +18,17 @@ from lorebase.sources.staging import materialized
 
 
 def file_stream(spark: SparkSession, directory: str, pattern: str, schema, **options) -> DataFrame:
-    """Files of a folder as a stream; ``maxFilesPerTrigger`` bounds a micro-batch."""
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", pattern)
+    """Files of a folder as a stream; ``maxFilesPerTrigger`` bounds a micro-batch.
+
+    A match may be a file or a table's folder of part files. A plain name is written as a pattern too, since Spark takes a path without
+    one for the folder to list.
+    """
+    if not any(c in pattern for c in "*?[{"):
+        pattern = f"{pattern[:-1]}[{pattern[-1]}]"
+    reader = spark.readStream.schema(schema)
     for key, value in options.items():
         reader = reader.option(key, value)
-    return reader.parquet(directory)
+    return reader.parquet(f"{directory.rstrip('/')}/{pattern}")
 
 
 def _finish(writer, location: str) -> None:
