@@ -68,20 +68,64 @@ def _passes(queries: pa.Table, vectors: pa.Table, facets: list[str]) -> np.ndarr
     return mask
 
 
-def _select(score: np.ndarray, ids: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray]]:
-    """Per query the positions of its best ``k``; ties at the cut go to the smaller id."""
+def _select(score: np.ndarray, ids: np.ndarray, k: int, least: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray]]:
+    """Per query the positions of its best ``k`` (of those that reach ``least``); ties at the cut go to the smaller id."""
     for i, line in enumerate(score):
-        if len(line) > k:
-            picked = np.flatnonzero(line >= np.partition(line, len(line) - k)[len(line) - k])
-        else:
-            picked = np.arange(len(line))
-        picked = picked[line[picked] >= 0]
+        picked = np.flatnonzero(line >= (0.0 if least is None else max(0.0, least[i])))
+        if len(picked) > k:
+            held = line[picked]
+            picked = picked[held >= np.partition(held, len(held) - k)[len(held) - k]]
         if len(picked) > k:
             picked = np.asarray(sorted(picked, key=lambda j: (-line[j], ids[j]))[:k])
         yield i, picked
 
 
-def _best(queries: pa.Table, vectors: pa.Table, k: int, facets: list[str], additive: bool = False) -> pa.Table:
+NOTHING = pa.table({"query_id": pa.array([], pa.string()), "vector_id": pa.array([], pa.string()), "score": pa.array([], pa.float64())})
+
+
+def hits(names: pa.Array, ids: np.ndarray, score: np.ndarray, k: int, least: np.ndarray | None = None) -> pa.Table:
+    """``query_id, vector_id, score`` of the best ``k`` per line of a score matrix; scores below zero are none."""
+    rows, columns = [], []
+    for i, picked in _select(score, ids, k, least):
+        rows.extend([i] * len(picked))
+        columns.extend(picked.tolist())
+    return pa.table({
+        "query_id": names.take(pa.array(rows, pa.int64())),
+        "vector_id": pa.array([ids[j] for j in columns], pa.string()),
+        "score": pa.array(score[rows, columns] if rows else [], pa.float64()),
+    })
+
+
+class Kept:
+    """The best ``k`` hits per query of what a task has seen, in memory that the number of batches does not change.
+
+    ``least`` has the k-th score of every query that has as many hits; what does not reach it need not be added.
+    """
+
+    def __init__(self, names: pa.Array, k: int) -> None:
+        self.names, self.k = names, k
+        self.least = np.full(len(names), -1.0)
+        self.found, self.waiting = NOTHING, []
+
+    def add(self, found: pa.Table) -> None:
+        self.waiting.append(found)
+        if sum(t.num_rows for t in self.waiting) > self.k * len(self.names):
+            self.cut()
+
+    def cut(self) -> pa.Table:
+        rows = pa.concat_tables([self.found, *self.waiting])
+        self.waiting = []
+        rows = rows.take(pc.sort_indices(rows, [("query_id", "ascending"), ("score", "descending"), ("vector_id", "ascending")]))
+        asked = pc.index_in(rows.column("query_id"), self.names).to_numpy()
+        starts = np.flatnonzero(np.diff(asked, prepend=-1))
+        place = np.arange(len(asked)) - np.repeat(starts, np.diff(starts, append=len(asked)))
+        last = place == self.k - 1
+        self.least[asked[last]] = rows.column("score").to_numpy()[last]
+        self.found = rows.filter(pa.array(place < self.k)).combine_chunks()
+        return self.found
+
+
+def _best(queries: pa.Table, vectors: pa.Table, k: int, facets: list[str], additive: bool = False, least: np.ndarray | None = None) -> pa.Table:
     """Top ``k`` vectors per query of one block pair, a slice of queries at a time."""
     ids = np.asarray(vectors.column("vector_id").to_pylist(), dtype=object)
     unit_vectors = _unit(_matrix(vectors.column("v_vector")))
@@ -100,17 +144,9 @@ def _best(queries: pa.Table, vectors: pa.Table, k: int, facets: list[str], addit
         mask = _passes(part, vectors, facets)
         if mask is not None:
             score = np.where(mask, score, -1.0)
-        rows, columns = [], []
-        for i, picked in _select(score, ids, k):
-            rows.extend([i] * len(picked))
-            columns.extend(picked.tolist())
-        found.append(pa.table({
-            "query_id": part.column("query_id").combine_chunks().take(pa.array(rows, pa.int64())),
-            "vector_id": pa.array([ids[j] for j in columns], pa.string()),
-            "score": pa.array(score[rows, columns] if rows else [], pa.float64()),
-        }))
+        found.append(hits(part.column("query_id").combine_chunks(), ids, score, k, None if least is None else least[start : start + QUERY_SLICE]))
     if not found:
-        return pa.table({"query_id": pa.array([], pa.string()), "vector_id": pa.array([], pa.string()), "score": pa.array([], pa.float64())})
+        return NOTHING
     return pa.concat_tables(found)
 
 
@@ -142,7 +178,7 @@ def vector_topk(
     is the number of shared ``words`` plus the cosine, and non-positive scores are dropped.
 
     When the queries are at most ``broadcast_queries`` rows and 64 MB (checked), the vectors are scanned
-    where they lie and never shuffled. Otherwise both sides are cut into bounded blocks.
+    where they lie and never shuffled, and a task hands on its best ``k`` per query. Otherwise both sides are cut into bounded blocks.
     """
     names = list(facets)
     q, v = _sides(queries, vectors, [*names, "words"] if additive else names)
@@ -151,8 +187,10 @@ def vector_topk(
         shared = v.sparkSession.sparkContext.broadcast(head)
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            kept = Kept(shared.value.column("query_id").combine_chunks(), k)
             for batch in batches:
-                yield from _best(shared.value, pa.Table.from_batches([batch]), k, names, additive).to_batches()
+                kept.add(_best(shared.value, pa.Table.from_batches([batch]), k, names, additive, kept.least))
+            yield from kept.cut().to_batches()
 
         found = v.mapInArrow(scan, "query_id string, vector_id string, score double")
     else:
