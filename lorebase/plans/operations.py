@@ -206,7 +206,8 @@ def _run(corpus: retrieval.Corpus) -> DataFrame:
 
 def _judgements(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     corpus = retrieval.Corpus(spark, d)
-    return corpus.queries.select("query_id"), _run(corpus), derived.qrels(spark, d).withColumnRenamed("document_id", "item_id")
+    rels = materialized(derived.qrels(spark, d).withColumnRenamed("document_id", "item_id"), "qrels")  # a metric reads them up to twice
+    return corpus.queries.select("query_id"), _run(corpus), rels
 
 
 def _metric(function, *args, columns: tuple[str, ...]):
