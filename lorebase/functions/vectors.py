@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -28,6 +33,24 @@ def hash_embedding(text: Column, dims: int = 64) -> Column:
     return let(F.sort_array(F.concat(slots, every)), lambda s: let(counts(s), unit))
 
 
+def hash_embedding_of(tokens: Column, dims: int = 64) -> Column:
+    """:func:`hash_embedding` of an array of words. A batch hashes each of its distinct words once and counts buckets of all rows together."""
+
+    @F.arrow_udf("array<double>")
+    def embed(held: pa.Array) -> pa.Array:
+        known = pc.dictionary_encode(held.flatten())
+        slots = np.array([int.from_bytes(hashlib.sha256(w.encode()).digest()[:4], "big") % dims for w in known.dictionary.to_pylist()], dtype=np.int64)
+        sizes = pc.fill_null(pc.list_value_length(held), 0).to_numpy(zero_copy_only=False)
+        rows = np.repeat(np.arange(len(held)), sizes)
+        counts = np.bincount(rows * dims + slots[known.indices.to_numpy()], minlength=len(held) * dims).reshape(len(held), dims).astype(float)
+        length = np.sqrt((counts * counts).sum(axis=1, keepdims=True))
+        values = pa.array((counts / np.where(length == 0, 1.0, length)).ravel())
+        offsets = pa.array(np.arange(len(held) + 1) * dims, pa.int32())
+        return pa.ListArray.from_arrays(offsets, values, mask=held.is_null()) if held.null_count else pa.ListArray.from_arrays(offsets, values)
+
+    return embed(tokens)
+
+
 def dot(left: Column, right: Column) -> Column:
     return F.aggregate(
         F.zip_with(left, right, lambda a, b: a.cast("double") * b.cast("double")),

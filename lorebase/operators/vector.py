@@ -140,11 +140,18 @@ def _best(queries: pa.Table, vectors: pa.Table, k: int, facets: list[str], addit
             score = _round6(shared.astype(np.float64) + cosine)
             score = np.where(score > 0, score, -1.0)
         else:
-            score = _round6((1.0 + cosine) / 2.0)
+            score = (1.0 + cosine) / 2.0
+        floor = np.full(len(score), -1.0) if least is None else least[start : start + QUERY_SLICE]
         mask = _passes(part, vectors, facets)
-        if mask is not None:
+        if not additive:  # what cannot reach the k-th score is not rounded
+            near = score + 1e-6 >= floor[:, None]
+            near = near if mask is None else near & mask
+            rounded = np.full(score.shape, -1.0)
+            rounded[near] = _round6(score[near])
+            score = rounded
+        elif mask is not None:
             score = np.where(mask, score, -1.0)
-        found.append(hits(part.column("query_id").combine_chunks(), ids, score, k, None if least is None else least[start : start + QUERY_SLICE]))
+        found.append(hits(part.column("query_id").combine_chunks(), ids, score, k, floor))
     if not found:
         return NOTHING
     return pa.concat_tables(found)
