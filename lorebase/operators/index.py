@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lorebase.functions.text import let, words
 from lorebase.functions.vectors import hash_embedding
+from lorebase.sources.staging import broadcast_within, materialized
 
 RECORD_COLUMNS = (
     "index_version_id", "tenant_id", "knowledge_base_id", "owner_id", "visibility", "document_id",
@@ -212,6 +213,12 @@ def scope_violations(incoming: DataFrame, tenant: Column | str, dims: int) -> Da
 
 
 def newest_segments(segments: DataFrame, order: str = "batch_id") -> DataFrame:
-    """Of every document version the rows of the latest segment that holds it, so no chunk of an earlier delivery survives."""
-    newest = segments.groupBy("document_version_id").agg(F.max(order).alias(order))
-    return segments.join(newest, ["document_version_id", order], "left_semi")
+    """Of every document version the rows of the latest segment that holds it, so no chunk of an earlier delivery survives.
+
+    Only versions that several segments hold are joined, so rows of the others stay where they are.
+    """
+    newest = segments.groupBy("document_version_id").agg(F.min(order).alias("oldest"), F.max(order).alias("newest"))
+    repeated = materialized(newest.filter("oldest < newest").drop("oldest"), "repeated-versions")
+    marked = segments.join(broadcast_within(repeated), "document_version_id", "left")
+    latest_of = F.coalesce("newest", order)
+    return marked.filter(F.col("document_version_id").isNotNull() & (F.col(order) == latest_of)).select(*segments.columns)

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorebase.functions.text import text_sections
-from lorebase.operators import chunk, index, search
+from lorebase.functions import predicates
+from lorebase.functions.text import text_sections, words
+from lorebase.operators import chunk, index, lexical
 from lorebase.plans import operations
 from lorebase.plans.retrieval import ORACLE as RETRIEVAL
 from lorebase.plans.sqlkit import define, query, windows
@@ -57,14 +58,24 @@ def streamed_index(spark: SparkSession, d: str) -> str:
 
 
 def stream_index_search(spark: SparkSession, d: str) -> DataFrame:
-    """The best ten chunks per query in the published generation of a streamed index."""
+    """The best ten chunks per query in the published generation of a streamed index.
+
+    Postings give frequencies and lengths; the records are scanned, so no pair of a query and a chunk is shuffled.
+    """
     tables = indexing.read(spark, streamed_index(spark, d))
-    stats = index.corpus_statistics(tables["records"])
-    postings = tables["postings"]
-    scored = search.bm25(
-        search.query_terms(derived.queries(spark, d)), postings, index.document_frequencies(postings),
-        stats.select("n_chunks").scalar(), stats.select("avg_length").scalar())
-    return search.top_k(scored, 10).select("query_id", "chunk_id", "document_id", "score", "rank")
+    records, postings = tables["records"], tables["postings"]
+    asked = derived.queries(spark, d).select(
+        "query_id", F.array("tenant_id").alias("tenant"), F.col("knowledge_base_ids").alias("kb"), predicates.held_tokens().alias("access"),
+        words(F.col("text")).alias("words"))
+    held = records.filter(predicates.searchable()).select(
+        F.concat_ws("|", "chunk_id", "document_id").alias("vector_id"), F.array("tenant_id").alias("tenant"),
+        F.array("knowledge_base_id").alias("kb"), predicates.access_tokens().alias("access"), words(F.col("content")).alias("words"))
+    terms = asked.select(F.explode("words").alias("term")).distinct()
+    counted = index.document_frequencies(postings.join(F.broadcast(terms), "term"))
+    n_chunks, n_words = records.count(), postings.agg(F.sum("tf")).first()[0] or 0
+    hits = lexical.bm25_topk(asked, held, counted, n_chunks, n_words / max(1, n_chunks), 10, facets=("tenant", "kb", "access"))
+    found = F.split("vector_id", r"\|")
+    return hits.select("query_id", found[0].alias("chunk_id"), found[1].alias("document_id"), "score", "rank")
 
 
 def stream_index_stages(spark: SparkSession, d: str) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lorebase.operators.index import upsert
 
+COMPRESSION = "zstd"  # of index tables: texts and heading paths repeat over more than the default codec sees
 POINTER_SCHEMA = "table_name string, generation int, location string, rows long"
 
 
@@ -111,7 +112,7 @@ def publish_tables(
     def write(location: str) -> None:
         for table, build in tables.items():
             done = {t: spark.read.parquet(f"{location}/{t}") for t in list(tables)[: list(tables).index(table)]}
-            build(done).write.parquet(f"{location}/{table}")
+            build(done).write.option("compression", COMPRESSION).parquet(f"{location}/{table}")
 
     def check(location: str) -> int:
         staged = _tables(spark, location, tables)

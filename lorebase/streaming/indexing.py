@@ -1,8 +1,8 @@
 """From document messages to a published index: delta segments by micro-batch, compaction into generations.
 
-A micro-batch writes the records (chunks with vectors) and the postings of its documents to folders of its own number, so a
-replayed batch leaves the same files. Compaction merges segments with the current generation and publishes records and
-postings together, after a health check; a failure leaves the current generation as it is.
+A micro-batch writes the records of its documents (chunks with vectors) once, to a folder of its own number, so a replayed batch
+leaves the same files. Compaction merges segments with the current generation and publishes records and the postings built from
+them together, after a health check; a failure leaves the current generation as it is.
 """
 
 from __future__ import annotations
@@ -15,25 +15,24 @@ from pyspark.sql import functions as F
 from lorebase.operators import index
 from lorebase.operators.search import SCOPE
 from lorebase.sources import sinks
+from lorebase.sources.staging import broadcast_within, materialized
 from lorebase.streaming.jobs import _finish
 
 INDEX, TABLES = "index", ("records", "postings")
+CARRIED = ("document_version_id", *SCOPE)
 
 
 def write_segment(batch: DataFrame, batch_id: int, to_chunks: Callable[[DataFrame], DataFrame], *, root: str, dims: int, tenant: Column | str) -> None:
-    """One micro-batch as a segment: ``records``, ``postings`` and ``stages`` under ``batch_id=<n>``; overwrites itself.
+    """One micro-batch as a segment: ``records`` and ``stages`` under ``batch_id=<n>``; overwrites itself.
 
     ``stages`` has a row per document version: ``indexed`` with its number of chunks, ``empty`` without any, or ``failed`` with the code
-    for which the index rejects its rows. Rejected rows are in no segment.
+    for which the index rejects its rows. Rejected rows stay in their segment with ``error_code`` and reach no generation.
     """
     spark = batch.sparkSession
     place = lambda table: f"{root}/segments/{table}/batch_id={batch_id}"
     judged = index.embed(to_chunks(batch), dims=dims).withColumn("error_code", index.scope_error(tenant, dims))
-    judged.write.mode("overwrite").parquet(place("judged"))
-    judged = spark.read.parquet(place("judged"))
-    judged.filter("error_code IS NULL").drop("error_code").write.mode("overwrite").parquet(place("records"))
-    records = spark.read.parquet(place("records"))
-    index.postings(records, ("document_version_id", *SCOPE)).write.mode("overwrite").parquet(place("postings"))
+    judged.write.mode("overwrite").option("compression", sinks.COMPRESSION).parquet(place("records"))
+    judged = spark.read.parquet(place("records"))
     made = judged.groupBy("document_id").agg(F.count_if(F.col("error_code").isNull()).alias("chunks"), F.max("error_code").alias("error_code"))
     code = F.coalesce("error_code", F.lit(""))
     batch.select("document_id").distinct().join(made, "document_id", "left").select(
@@ -74,28 +73,31 @@ def healthy(tables: dict[str, DataFrame], expected: DataFrame) -> bool:
     """Whether every scope has its count of whole records and every chunk with a word has postings, and no other has."""
     records, postings = tables["records"], tables["postings"]
     sick = index.generation_health(records, expected, 1).filter("NOT healthy")
-    strange = postings.join(records, "chunk_id", "left_anti")
+    strange = postings.select("chunk_id").distinct().join(records, "chunk_id", "left_anti")  # a row per chunk leaves a task
     return sick.isEmpty() and strange.isEmpty()
 
 
 def compact(spark: SparkSession, root: str, *, expected_current: int | None = None) -> int:
     """Merge all segments into the current generation and publish the result; returns the generation.
 
-    A document version in a segment replaces that of the generation, the latest segment wins. Postings are rebuilt only for what the
-    segments bring; those of the rest are carried over.
+    A document version in a segment replaces that of the generation, the latest segment wins. Postings are built only for what the
+    segments bring, from the records as published; those of the rest are carried over.
     """
-    fresh = {t: index.newest_segments(spark.read.parquet(f"{root}/segments/{t}")).drop("batch_id") for t in TABLES}
+    segments = spark.read.parquet(f"{root}/segments/records")
+    fresh = index.newest_segments(segments.filter("error_code IS NULL").drop("error_code")).drop("batch_id")
     held = sinks.read_tables(spark, root, INDEX, TABLES)
-    replaced = fresh["records"].select("document_version_id").distinct()
-
-    def merged(table: str) -> DataFrame:
-        if held is None:
-            return fresh[table]
-        return held[table].join(replaced, "document_version_id", "left_anti").select(*fresh[table].columns).unionByName(fresh[table])
-
-    expected = counts(merged("records"))
+    if held is None:
+        merged = fresh
+        posted = lambda done: index.postings(done["records"], CARRIED)
+    else:
+        replaced = broadcast_within(materialized(fresh.select("document_version_id").distinct(), "replaced-versions"))
+        kept = {t: held[t].join(replaced, "document_version_id", "left_anti") for t in TABLES}
+        merged = kept["records"].select(*fresh.columns).unionByName(fresh)
+        posted = lambda done: kept["postings"].unionByName(
+            index.postings(done["records"].join(replaced, "document_version_id", "left_semi"), CARRIED))
+    expected = counts(merged)
     return sinks.publish_tables(
-        {t: (lambda _, t=t: merged(t)) for t in TABLES}, spark, root, INDEX,
+        {"records": lambda _: merged, "postings": posted}, spark, root, INDEX,
         validate=lambda staged: healthy(staged, expected), expected_current=expected_current,
     )
 
