@@ -200,6 +200,17 @@ def upsert(existing: DataFrame, incoming: DataFrame, keys: list[str], order: str
     return latest(both, keys, [F.col(order), F.col("_side")]).drop("_side")
 
 
+def upsert_within(existing: DataFrame, incoming: DataFrame, group: str, keys: list[str], order: str) -> DataFrame:
+    """``upsert`` where a key lies in one group, as a chunk in a document version.
+
+    Only groups with incoming rows are merged, and their rows end side by side; the rows of the others stay where they are.
+    """
+    touched = broadcast_within(materialized(incoming.select(group).distinct(), "touched-groups"))
+    both = existing.join(touched, group, "left_semi").withColumn("_side", F.lit(0)).unionByName(incoming.withColumn("_side", F.lit(1)))
+    merged = latest(both.repartition(group), [group, *keys], [F.col(order), F.col("_side")]).drop("_side")
+    return existing.join(touched, group, "left_anti").unionByName(merged)
+
+
 def scope_error(tenant: Column | str, dims: int) -> Column:
     """Why an index write must reject a row: foreign tenant (against a name or a column) or wrong vector size; null if it need not."""
     return F.when(F.coalesce(F.col("tenant_id") != tenant, F.lit(True)), "index_scope_mismatch").when(

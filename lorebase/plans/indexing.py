@@ -198,18 +198,21 @@ def generation_publish(spark: SparkSession, d: str) -> DataFrame:
         "active": F.lit(False), "embedding": F.when(number % 5 == 0, F.slice("embedding", 1, dims - 1)).otherwise(F.col("embedding"))})
     error = index.scope_error(F.when(number % 4 == 0, "foreign").otherwise(F.col("tenant_id")), dims)
     accepted = written.withColumn("error_code", error).filter("error_code IS NULL").drop("error_code")
-    merged = index.upsert(held["records"].withColumn("write_no", F.lit(1)), accepted.withColumn("write_no", F.lit(2)), ["index_version_id", "chunk_id"], "write_no").drop("write_no")
+    merged = index.upsert_within(
+        held["records"].withColumn("write_no", F.lit(1)), accepted.withColumn("write_no", F.lit(2)), "document_version_id",
+        ["index_version_id", "chunk_id"], "write_no").drop("write_no")
     expected = indexing.counts(held["records"])
     change = {"records": lambda _: merged.select(*held["records"].columns), "postings": lambda done: index.postings(done["records"], carried)}
     check = lambda t: indexing.healthy(t, expected)
-    second = sinks.publish_tables(change, spark, root, indexing.INDEX, validate=check, expected_current=first)
+    counted = lambda records: indexing.whole(records, expected)
+    second = sinks.publish_tables(change, spark, root, indexing.INDEX, first=counted, validate=check, expected_current=first)
     after_merge = staging.materialized(_generation_summary(spark, root, "merged", second), "merged-summary")
 
     lossy = {"records": lambda _: held["records"].filter(number % 7 != 0), "postings": build["postings"]}
     rejected = 0
     for tables, options in ((lossy, {}), (change, {"expected_current": first})):  # loses documents; was based on an old generation
         try:
-            sinks.publish_tables(tables, spark, root, indexing.INDEX, validate=check, **options)
+            sinks.publish_tables(tables, spark, root, indexing.INDEX, first=counted, validate=check, **options)
         except ValueError:
             rejected += 1
     restored = sinks.rollback(spark, root, indexing.INDEX, first, validate=lambda place: check(

@@ -102,22 +102,29 @@ def publish(
 
 def publish_tables(
     tables: dict[str, Callable[[dict[str, DataFrame]], DataFrame]], spark: SparkSession, root: str, name: str, *,
-    validate: Callable[[dict[str, DataFrame]], bool] | None = None, expected_current: int | None = None,
+    validate: Callable[[dict[str, DataFrame]], bool] | None = None, first: Callable[[DataFrame], bool] | None = None,
+    expected_current: int | None = None,
 ) -> int:
     """Publish several tables as one generation, so that readers switch to all of them at once.
 
     Each table is built from those staged before it (postings from the records as written); the first one gives the row count.
+    ``first`` judges the first table before the others are built, ``validate`` all of them.
     """
 
+    def judge(passed: bool) -> None:
+        if not passed:
+            raise ValueError(f"staged generation of {name} failed validation")
+
     def write(location: str) -> None:
         for table, build in tables.items():
             done = {t: spark.read.parquet(f"{location}/{t}") for t in list(tables)[: list(tables).index(table)]}
             build(done).write.option("compression", COMPRESSION).parquet(f"{location}/{table}")
+            if first is not None and not done:
+                judge(first(spark.read.parquet(f"{location}/{table}")))
 
     def check(location: str) -> int:
         staged = _tables(spark, location, tables)
-        if validate is not None and not validate(staged):
-            raise ValueError(f"staged generation of {name} failed validation")
+        judge(validate is None or validate(staged))
         return next(iter(staged.values())).count()
 
     return _publish(spark, root, name, write, check, expected_current)

@@ -69,12 +69,16 @@ def counts(records: DataFrame) -> DataFrame:
     return records.groupBy("index_version_id", "tenant_id", "knowledge_base_id").agg(F.count(F.lit(1)).alias("expected_count"))
 
 
+def whole(records: DataFrame, expected: DataFrame) -> bool:
+    """Whether every scope has its count of whole records."""
+    return index.generation_health(records, expected, 1).filter("NOT healthy").isEmpty()
+
+
 def healthy(tables: dict[str, DataFrame], expected: DataFrame) -> bool:
-    """Whether every scope has its count of whole records and every chunk with a word has postings, and no other has."""
+    """Whether every scope has its count of whole records and no chunk but theirs has postings."""
     records, postings = tables["records"], tables["postings"]
-    sick = index.generation_health(records, expected, 1).filter("NOT healthy")
     strange = postings.select("chunk_id").distinct().join(records, "chunk_id", "left_anti")  # a row per chunk leaves a task
-    return sick.isEmpty() and strange.isEmpty()
+    return whole(records, expected) and strange.isEmpty()
 
 
 def compact(spark: SparkSession, root: str, *, expected_current: int | None = None) -> int:
@@ -98,7 +102,7 @@ def compact(spark: SparkSession, root: str, *, expected_current: int | None = No
     expected = counts(merged)
     return sinks.publish_tables(
         {"records": lambda _: merged, "postings": posted}, spark, root, INDEX,
-        validate=lambda staged: healthy(staged, expected), expected_current=expected_current,
+        first=lambda records: whole(records, expected), validate=lambda staged: healthy(staged, expected), expected_current=expected_current,
     )
 
 
